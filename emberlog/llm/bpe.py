@@ -8,6 +8,7 @@ Null texts count as empty and give no ids; empty tables give empty results; othe
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
@@ -177,9 +178,9 @@ class _Memo(dict):
     def __init__(self, codec: Codec):
         self.codec = codec
 
-    def __missing__(self, piece: str) -> tuple[str, list[int]]:
+    def __missing__(self, piece: str) -> tuple[str, tuple[int, ...]]:
         raw = piece.encode()
-        ids = self.codec.encode_piece(raw)
+        ids = tuple(self.codec.encode_piece(raw))
         found = ",".join(map(str, ids)), ids
         if len(raw) <= MEMO_BYTES:
             if len(self) >= MEMO:
@@ -239,6 +240,7 @@ def digests(df: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...]
     fields = [f for f in df.schema if f.name != "_text"]
 
     def run(batches):
+        gc.set_threshold(200_000, 50, 1000)  # the memo holds many tuples and no cycles
         codec = shared_codec(sent.value)
         for batch in batches:
             n, sha, back = [], [], []
