@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, simhash
+from . import bpe, langid, lines, mixing, quality, simhash
 from .common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,16 +31,46 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH lined AS (
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents
+), each AS (
+  SELECT doc_id, source, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM lined
+), clean AS (
+  SELECT *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM each
+), spread AS (
+  SELECT line FROM clean WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 5
+), kept AS (
+  SELECT doc_id, string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
+  FROM (SELECT *, line <> '' AND line IN (SELECT line FROM spread) AS gone FROM clean) GROUP BY doc_id
+)
+SELECT l.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
+       CASE WHEN l.text IS NULL THEN NULL ELSE sha256(coalesce(k.kept, '')) END AS kept_sha256
+FROM lined l LEFT JOIN kept k ON k.doc_id = l.doc_id
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs, ~held_out()))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
+    "op8_mix": op8_mix,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
