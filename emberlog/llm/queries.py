@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, quality, simhash
+from . import bpe, editprint, langid, lines, mixing, quality, simhash
 from .common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,10 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edited_prints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -72,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
     "op8_mix": op8_mix,
+    "op9_edit_prints": op9_edit_prints,
 }
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
