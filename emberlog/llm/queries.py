@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, editprint, langid, lines, mixing, quality, simhash
+from . import bpe, editprint, langid, lines, mixing, quality, simhash, webp
 from .common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove_spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op5_webp": op5_webp,
     "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
     "op8_mix": op8_mix,
