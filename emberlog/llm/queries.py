@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, editprint, langid, lines, mixing, quality, simhash, webp
+from . import bpe, editprint, langid, lines, mixing, quality, recompress, simhash, webp
 from .common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.dedup_words(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -76,6 +80,7 @@ def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_recompression": op3_recompression,
     "op4_simhash": op4_simhash,
     "op5_webp": op5_webp,
     "op6_line_dedup": op6_line_dedup,
