@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, editprint, langid, lines, mixing, quality, recompress, simhash, webp
+from . import bpe, editprint, langid, lines, mixing, quality, recompress, simhash, suffixes, webp
 from .common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -77,6 +77,10 @@ def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edited_prints(table(spark, sf_dir, "documents"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -87,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_mix": op8_mix,
     "op9_edit_prints": op9_edit_prints,
+    "op10_suffixes": op10_suffixes,
 }
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}

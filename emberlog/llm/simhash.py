@@ -136,9 +136,11 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
 
 
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE) -> DataFrame:
-    """One row of each near-duplicate group stays: that of the least key (of repeated keys, one)."""
+    """One row of each near-duplicate group stays: that of the least key; of rows that repeat a key, the one of least
+    text.  Rows without a key can't be named and stay."""
     columns = df.columns
     found = near_duplicates(df, text, key, width).where(F.col(key) == F.col("component")).select(key).distinct()
     kept = df.join(found, key, "left_semi")
     order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
-    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*columns)
+    kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*columns)
+    return kept.unionByName(df.where(F.col(key).isNull()))
