@@ -3,8 +3,9 @@
 A fingerprint is cut into two segments of 32 bits.  Two fingerprints that differ in at most two bits agree in one
 segment up to one bit, so they share one of the 64 keys (segment, wildcard bit, segment without that bit); an equality
 join on the keys finds the candidates, which are verified.  A key that more than `DENSE` fingerprints share gets no
-pairs: its members are keyed again by the other segment with one or two wildcards, and each such key, whose members are
-within two bits of each other by construction, links them to its least one.  Both ways together lose no link.
+pairs: its members are keyed again by thirds of the other segment, one of which is equal where two bits differ at most.
+Where even such a key has more members, they are keyed by the other segment with one or two wildcards; each of these
+keys, whose members are within two bits of each other by construction, links them to its least one.  No link is lost.
 
 Only distinct fingerprints take part, so copies never make pairs.  Null texts count as empty; a text without words has
 fingerprint zero.  Rows with a null doc_id get a fingerprint and never name a component.
@@ -63,6 +64,13 @@ def _mask(bit):
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
 
+def _verified(members: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs (a, b) of members of equal `by` that differ in at most two bits."""
+    left, right = (members.select(*by, F.col("fp").alias(x)) for x in "ab")
+    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    return left.join(right, by).where(close).select("a", "b").distinct()
+
+
 def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     """Pairs (a, b) of fingerprints of `distinct` (column fp) that connect what differs in at most two bits."""
     halves = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(b).alias("b")) for s in (0, 1) for b in range(32)))
@@ -75,9 +83,16 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     held = keyed.join(sizes, "key")
     held = staged(held)
-    few = held.where(F.col("n") <= dense).select("key", "fp")
-    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where(F.col("a") < F.col("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b").distinct()
+    pairs = _verified(held.where(F.col("n") <= dense), ["key"])
+    # Keys of many members: the other segment, of up to two differing bits, is cut in three, one of which is equal.
     many = held.where(F.col("n") > dense).select("fp", "key")
+    other_half = F.when(F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(1).cast("long")) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(low))
+    thirds = F.array(*(F.shiftrightunsigned(other_half, 11 * j).bitwiseAND(F.lit(2047).cast("long")) for j in range(3)))
+    parts = many.select("fp", "key", F.posexplode(thirds).alias("j", "v"))
+    counts = parts.groupBy("key", "j", "v").agg(F.count("*").alias("n")).where("n > 1")
+    parts = staged(parts.join(counts, ["key", "j", "v"]))
+    pairs = pairs.unionByName(_verified(parts.where(F.col("n") <= dense), ["key", "j", "v"]))
+    many = parts.where(F.col("n") > dense).select("fp", "key").distinct()
     s = F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(1).cast("long"))
     w = F.shiftrightunsigned("key", 33)
     own = F.when(s == 0, F.lit(0).cast("long")).otherwise(F.lit(32).cast("long")) + w
