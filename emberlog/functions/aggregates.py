@@ -120,14 +120,18 @@ REGISTRY["earliest"] = Aggregate(1, 1, _by_time(F.min_by))
 REGISTRY["latest"] = Aggregate(1, 1, _by_time(F.max_by))
 
 
+def _epoch(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp")) / 1e6
+
+
 @register("earliest_time", 0, 1)
 def earliest_time(ctx, x=None):
-    return F.unix_micros(F.min(ctx.time if x is None else F.when(x.isNotNull(), ctx.time))) / 1e6
+    return _epoch(F.min(ctx.time if x is None else F.when(x.isNotNull(), ctx.time)))
 
 
 @register("latest_time", 0, 1)
 def latest_time(ctx, x=None):
-    return F.unix_micros(F.max(ctx.time if x is None else F.when(x.isNotNull(), ctx.time))) / 1e6
+    return _epoch(F.max(ctx.time if x is None else F.when(x.isNotNull(), ctx.time)))
 
 
 @register("values", 1)

@@ -241,7 +241,7 @@ class Builder:
             if call.name == "sumsq":
                 return F.sum(x * x).over(w)
             if call.name in ("earliest_time", "latest_time"):
-                return F.unix_micros((F.min if call.name[0] == "e" else F.max)(ctx.time).over(w)) / 1e6
+                return F.unix_micros((F.min if call.name[0] == "e" else F.max)(ctx.time).over(w).cast("timestamp")) / 1e6
             ex.error("S005", f"`{call.name}` has no running form", call)
         return ex.aggregate(call, ctx).over(w)
 
