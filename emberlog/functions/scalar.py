@@ -224,8 +224,14 @@ def substr(a, start, n=None):
     return F.when(known, F.substring(a.col, at + 1, width))
 
 
+#: Java's \b and \B know letters beyond ASCII; the language's don't, like its \w.
+EDGES = {r"\b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", r"\B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
+
+
 def java_regex(p: str) -> str:
-    return p.replace("(?P<", "(?<")
+    """A pattern of the language for Java: named groups and ASCII word edges."""
+    out = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", lambda m: EDGES.get(m[0], m[0]), p, flags=re.S)
+    return out.replace("(?P<", "(?<")
 
 
 def _pattern(a: Arg) -> Column:

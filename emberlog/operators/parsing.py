@@ -239,13 +239,12 @@ def _declared(inp: Input, into) -> Input:
 
 def _pairs(inp: Input, text: Column, key: str, value: str, name: str, unquote: str = '"') -> tuple[Column, dict[str, Column]]:
     """Fields of a text of pairs; `key` and `value` are patterns of the parts, the assign sign at the key's end."""
-    pair = f"(?:{key})(?:{value})"
     keys = F.regexp_extract_all(text, F.lit(f"({key})(?:{value})"), F.lit(1))
     keys = F.transform(keys, lambda k: F.regexp_replace(k, r"^[\s,;|\t]*|.$", ""))
     values = F.regexp_extract_all(text, F.lit(f"(?:{key})({value})"), F.lit(1))
     q = re.escape(unquote)
     values = F.transform(values, lambda v: F.regexp_replace(F.regexp_replace(v, f"(?s)^{q}(.*){q}$", "$1"), rf"\\({q}|\\)", "$1"))
-    got = inp.keep(F.map_from_entries(F.arrays_zip(keys.alias("k"), values.alias("v"))) if False else F.when(text.isNotNull(), _last_wins(keys, values)))
+    got = inp.keep(F.when(text.isNotNull(), _last_wins(keys, values)))
     ok = F.coalesce(F.size(got) > 0, F.lit(False))
     wanted = dict(inp.into)
     if not wanted:
@@ -257,7 +256,6 @@ def _pairs(inp: Input, text: Column, key: str, value: str, name: str, unquote: s
                 v = v[1:-1] if len(v) > 1 and v[0] == v[-1] == unquote else v
                 kinds.setdefault(k, set()).add(infer(v))
         wanted = {k: widest(v) for k, v in kinds.items()}
-    del pair
     return ok, {f: typed(F.try_element_at(got, F.lit(f)), kind) for f, kind in wanted.items()}
 
 
@@ -365,7 +363,7 @@ def parsed(inp: Input, form: tuple) -> Parsed:
     for p in each:
         now = p.ok & ~ok
         for f, c in p.fields.items():
-            fields[f] = F.when(now, c) if f not in fields else F.coalesce(fields[f], F.when(now, c).cast("string") if False else F.when(now, c))
+            fields[f] = F.when(now, c) if f not in fields else F.coalesce(fields[f], F.when(now, c))
         ok = ok | p.ok
     return Parsed(ok, fields, "first_of")
 

@@ -341,6 +341,9 @@ class Builder:
         self.sinks(stage.args["sink"], frame)
         return frame
 
+    def do_viewscan(self, _, stage: Stage) -> Frame:
+        return self.views.scan(stage)
+
     def do_materialize(self, frame: Frame, stage: Stage) -> Frame:
         self.fail("S031", "materialize creates a view; it can't be run as a query", stage, "use Engine.materialize")
 
