@@ -237,7 +237,7 @@ def _declared(inp: Input, into) -> Input:
     return new
 
 
-def _pairs(inp: Input, text: Column, key: str, value: str, name: str, unquote: str = '"') -> tuple[Column, dict[str, Column]]:
+def _pairs(inp: Input, text: Column, key: str, value: str, name: str, unquote: str = '"', cut=None) -> tuple[Column, dict[str, Column]]:
     """Fields of a text of pairs; `key` and `value` are patterns of the parts, the assign sign at the key's end."""
     keys = F.regexp_extract_all(text, F.lit(f"({key})(?:{value})"), F.lit(1))
     keys = F.transform(keys, lambda k: F.regexp_replace(k, r"^[\s,;|\t]*|.$", ""))
@@ -250,7 +250,7 @@ def _pairs(inp: Input, text: Column, key: str, value: str, name: str, unquote: s
     if not wanted:
         kinds: dict[str, set[str]] = {}
         py = re.compile(f"({key.replace('(?s)', '')})({value})")
-        for line in inp.sample():
+        for line in map(cut, inp.sample()) if cut else inp.sample():
             for k, v in py.findall(line):
                 k = re.sub(r"^[\s,;|\t]*|.$", "", k)
                 v = v[1:-1] if len(v) > 1 and v[0] == v[-1] == unquote else v
@@ -285,11 +285,23 @@ def cef(inp: Input, options: dict) -> Parsed:
     rest = inp.keep(p[7])
     extra = _declared(inp, [(n, k) for n, k in inp.into if n not in names])
     if extra.into or not inp.into:
-        _, more = _pairs(extra, rest, r"(?:^|(?<=\s))[\w.]+=", r"(?:(?!\s[\w.]+=)(?:[^\\]|\\.))*", "cef")
+        _, more = _pairs(extra, rest, r"(?:^|(?<=\s))[\w.]+=", r"(?:(?!\s[\w.]+=)(?:[^\\]|\\.))*", "cef", cut=lambda x: re.split(r"(?<!\\)\|", x, maxsplit=7)[-1])
         made |= {k: v for k, v in more.items() if k not in made}
     return Parsed(ok, made, "cef")
 
 
+def _leef_rest(line: str) -> str:
+    """The pairs of a line, apart by tabs."""
+    parts = line.split("|", 5)
+    rest = parts[-1]
+    m = re.match(r"(x?[0-9A-Fa-f]{2,4}|[^|\w\s])\|", rest)
+    if not m:
+        return rest
+    code = m[1].removeprefix("x")
+    sep = chr(int(code, 16)) if re.fullmatch(r"[0-9A-Fa-f]{2,4}", code) else code
+    return rest[m.end() :].replace(sep, "\t")
+
+
 def leef(inp: Input, options: dict) -> Parsed:
     names = ["leef_version", "device_vendor", "device_product", "device_version", "event_id"]
     ok, p = inp.match(r".*?LEEF:\s*([\d.]+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(?:(x?[0-9A-Fa-f]{2,4}|[^|\w\s])\|)?(.*)")
@@ -298,7 +310,7 @@ def leef(inp: Input, options: dict) -> Parsed:
     rest = inp.keep(F.call_function("replace", p[6], delimiter, F.lit("\t")))
     extra = _declared(inp, [(n, k) for n, k in inp.into if n not in names])
     if extra.into or not inp.into:
-        _, more = _pairs(extra, rest, r"(?:^|(?<=[\t|^]))[\w.]+=", r"[^\t]*", "leef")
+        _, more = _pairs(extra, rest, r"(?:^|(?<=[\t|^]))[\w.]+=", r"[^\t]*", "leef", cut=_leef_rest)
         made |= {k: v for k, v in more.items() if k not in made}
     return Parsed(ok, made, "leef")
 

@@ -17,7 +17,7 @@ from ..lang.ast import Field, Stage
 
 BUILTIN = ("_time", "_raw", "_source", "_sourcetype", "host", "index")
 #: Layouts of times in logs, from the most to the least usual.
-LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][,SSS]", "dd/MMM/yyyy:HH:mm:ss xx", "yyyy/MM/dd HH:mm:ss", "EEE MMM dd HH:mm:ss[.SSSSSS] yyyy", "dd MMM yyyy HH:mm:ss.SSS")
+LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][,SSS]", "dd/MMM/yyyy:HH:mm:ss xx", "yyyy/MM/dd HH:mm:ss", "MMM d HH:mm:ss[.SSSSSS] yyyy", "dd MMM yyyy HH:mm:ss.SSS")
 TIME_FIELDS = ("_time", "timestamp", "@timestamp", "time", "ts", "datetime", "date", "created_at")
 _COMBINED = re.compile(r'^\S+ \S+ \S+ \[[^\]]+\] "[^"]*" \d{3} (\d+|-)')
 _SYSLOG = re.compile(r"^(<\d{1,3}>|[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d )")
@@ -58,6 +58,7 @@ def any_time(c: Column) -> Column:
     """A time in any of the usual layouts, or in seconds, milliseconds, microseconds or nanoseconds since 1970."""
     number = F.when(c.rlike(r"^\d{9,19}(\.\d+)?$"), c.try_cast("double"))
     scale = F.when(number < 1e11, 1e6).when(number < 1e14, 1e3).when(number < 1e17, 1.0).otherwise(1e-3)
+    c = F.regexp_replace(c, r"^[A-Z][a-z]{2},? (?=[A-Z][a-z]{2} )", "")  # a weekday says nothing new
     return F.coalesce(F.try_to_timestamp(c), *(F.try_to_timestamp(c, F.lit(x)) for x in LAYOUTS), F.timestamp_micros((number * scale).cast("bigint")))
 
 
