@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import bpe, langid, lines, mixing, simhash
-from emberlog.llm.common import held_out, prepare, staged, table
+from emberlog.llm.common import fresh, held_out, prepare, staged, table
 from emberlog.llm.queries import VOCABULARY
 
 #: A text is rejected if it has no letter, or if no language is likelier than this.
@@ -32,8 +32,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that many sources carry."""
     prepare(spark)
-    found = lines.remove_spread(docs, out="_kept")
-    new = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}
+    kept = fresh(docs, "_kept")
+    found = lines.remove_spread(docs, out=kept)
+    new = {"text": F.col(kept), "n_chars": F.char_length(kept).cast("long")}
     return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 

@@ -64,6 +64,13 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def held_out():
     """crc32(doc_id as text) mod 3 is 1: rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

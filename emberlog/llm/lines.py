@@ -6,8 +6,8 @@ estimate lies within `margin` of the threshold get exact distinct counts; the re
 error is far smaller than the margin.  Lines of at least `min_sites` sites are removed from every document.
 
 A line that only one site carries is settled by the least and greatest site alone.  Null sites count as no site.  Null
-texts stay null, empty texts stay empty, and a text whose lines all go becomes empty.  Everything is DataFrame
-functions; sites per line are sketched or counted, never collected.
+texts stay null, empty texts stay empty, and a text whose lines all go becomes empty.  Columns named as the results are
+replaced.  Everything is DataFrame functions; sites per line are sketched or counted, never collected.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 
 MIN_SITES = 5
 LG_K = 12  # a relative error of 1.6 %
@@ -54,13 +54,13 @@ def remove_spread(df: DataFrame, text: str = "text", site: str = "source", key:
     Rows of one key share the set of removed hashes, all of which are boilerplate, so repeated keys are right too.
     """
     spread = spread_lines(df, text, site, min_sites, margin)
-    body = F.col(text).cast("string")
-    rows = df.select(F.col(key).alias("_key"), F.explode(_hashes(body)).alias("line")).where("line is not null")
-    hits = rows.join(spread, "line", "left_semi").groupBy("_key").agg(F.collect_set("line").alias("_gone"))
-    joined = df.join(hits, F.col(key).eqNullSafe(F.col("_key")), "left")
-    lines, none = F.split(body, "\n"), F.array().cast("array<bigint>")
-    gone = F.coalesce(F.col("_gone"), none)
-    kept = F.filter(lines, lambda x: (_clean(x) == "") | ~F.array_contains(gone, F.xxhash64(_clean(x))))
+    body, own, gone, left = F.col(text).cast("string"), *(fresh(df, x) for x in ("_key", "_gone", "_left"))
+    rows = df.select(F.col(key).alias(own), F.explode(_hashes(body)).alias("line")).where("line is not null")
+    hits = rows.join(spread, "line", "left_semi").groupBy(own).agg(F.collect_set("line").alias(gone))
+    joined = df.join(hits, F.col(key).eqNullSafe(F.col(own)), "left")
+    all_lines, removed = F.split(body, "\n"), F.coalesce(F.col(gone), F.array().cast("array<bigint>"))
+    kept = F.filter(all_lines, lambda x: (_clean(x) == "") | ~F.array_contains(removed, F.xxhash64(_clean(x))))
     n = lambda x: F.coalesce(F.when(body.isNotNull(), F.size(x)), F.lit(0)).cast("long")
-    joined = joined.withColumn("_kept", F.when(F.size(gone) > 0, kept).otherwise(lines))
-    return joined.select(*(df[c] for c in df.columns), F.array_join("_kept", "\n").alias(out), n(lines).alias("n_lines"), (n(lines) - n(F.col("_kept"))).alias("n_removed"))
+    joined = joined.withColumn(left, F.when(F.size(removed) > 0, kept).otherwise(all_lines))
+    rest = [F.col(c) for c in df.columns if c not in (out, "n_lines", "n_removed")]
+    return joined.select(*rest, F.array_join(left, "\n").alias(out), n(all_lines).alias("n_lines"), (n(all_lines) - n(F.col(left))).alias("n_removed"))

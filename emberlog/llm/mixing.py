@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -107,9 +107,8 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
 
 def repeat(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The mix as rows: each row as often as the larger part of its words is taken (floor(taken / size + 1/2))."""
-    columns = df.columns
-    taken = mix(df, text, source, key, **options)
-    times = taken.groupBy(key).agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
-    times = times.select(F.col(key).alias("_k"), F.expr("CASE WHEN _size > 0 THEN cast(floor(_taken / _size + 0.5D) AS int) ELSE 0 END").alias("_times"))
-    joined = df.join(times.where("_times > 0"), F.col(key).eqNullSafe(F.col("_k")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    columns, own, times, copy = df.columns, *(fresh(df, x) for x in ("_k", "_times", "_copy"))
+    taken = mix(df, text, source, key, **options).groupBy(key).agg(F.sum("size").alias("n"), F.sum("taken").alias("t"))
+    counts = taken.select(F.col(key).alias(own), F.expr("CASE WHEN n > 0 THEN cast(floor(t / n + 0.5D) AS int) ELSE 0 END").alias(times))
+    joined = df.join(counts.where(F.col(times) > 0), F.col(key).eqNullSafe(F.col(own)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, staged
+from .common import fresh, prepare, staged
 
 SEED = 42
 SHINGLE = 3
@@ -157,5 +157,6 @@ def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", width: in
     found = near_duplicates(df, text, key, width).where(F.col(key) == F.col("component")).select(key).distinct()
     kept = df.join(found, key, "left_semi")
     order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
-    kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*columns)
+    nth = fresh(df, "_nth")
+    kept = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*columns)
     return kept.unionByName(df.where(F.col(key).isNull()))
