@@ -56,7 +56,7 @@ def detect(lines: list[str]) -> str:
 
 def any_time(c: Column) -> Column:
     """A time in any of the usual layouts, or in seconds, milliseconds, microseconds or nanoseconds since 1970."""
-    number = F.when(c.rlike(r"^\d{9,19}(\.\d+)?$"), c.try_cast("double"))
+    number = F.when(c.rlike(r"^\d+(\.\d+)?([eE]\d+)?$") & (c.try_cast("double") >= 1e8), c.try_cast("double"))
     scale = F.when(number < 1e11, 1e6).when(number < 1e14, 1e3).when(number < 1e17, 1.0).otherwise(1e-3)
     c = F.regexp_replace(c, r"^[A-Z][a-z]{2},? (?=[A-Z][a-z]{2} )", "")  # a weekday says nothing new
     return F.coalesce(F.try_to_timestamp(c), *(F.try_to_timestamp(c, F.lit(x)) for x in LAYOUTS), F.timestamp_micros((number * scale).cast("bigint")))
