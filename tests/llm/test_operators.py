@@ -349,7 +349,7 @@ def test_lines_against_brute_force(docs, spark):
             kept = [x for x in own if not (clean(x) and len(sites.get(clean(x), ())) >= least)]
             assert (got[k]["kept"], got[k]["n_lines"], got[k]["n_removed"]) == (None if t is None else "\n".join(kept), len(own), len(own) - len(kept))
     many = spark.createDataFrame([(i, f"line {i % 7}", f"s{i}") for i in range(2000)], "doc_id long, text string, source string")
-    assert lines.remove_spread(many, min_sites=280).where("n_removed = 1").count() == 5 * 286
+    assert lines.remove_spread(many, min_sites=286).where("n_removed = 1").count() == 5 * 286
 
 
 # 8
