@@ -31,15 +31,16 @@ def settle(segments: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
     """
     place = F.struct("row", "at") if within else F.struct("row")
     counted = segments.groupBy("key").agg(F.count("*").alias("c"), F.min("row").alias("a"), F.max("row").alias("z"))
-    shared = counted.where("c > 1" if within else "a < z").select("key")
+    # Written first: a join straight over two exchanges is one whose skewed partitions Spark can split.
+    shared = staged(counted.where("c > 1" if within else "a < z").select("key"))
     held = staged(segments.join(shared, "key"))
     first = held.groupBy("key", "content").agg(F.min(place).alias("first"))
     first = staged(first)
-    kinds = first.groupBy("key").agg(F.count("*").alias("several"))
+    kinds = staged(first.groupBy("key").agg(F.count("*").alias("several")).where("several > 1"))
     told = held.join(first, ["key", "content"]).withColumn("copy", place > F.col("first"))
     copies = told.where("copy").select("row", "at", "n")
     # A text's later segments of its own first content stay open only if they can't be copies (place equal to first).
-    rest = told.where(~F.col("copy")).join(kinds.where("several > 1"), "key").select("row", "at", "n", "key", "several")
+    rest = told.where(~F.col("copy")).join(kinds, "key").select("row", "at", "n", "key", "several")
     return copies, rest
 
 
