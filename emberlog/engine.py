@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .frame import Frame, from_dataframe
 from .lang.ast import Pipeline, Query
 from .lang.desugar import Rewrite, desugar_query, show, show_query
+from .lang.lint import Lint, lint
 from .lang.parser import parse
 from .plans.build import Builder
 from .session import configure
@@ -70,6 +71,9 @@ class Engine:
         plan = found.df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return "\n".join(map(show, found.query.pipeline.stages)) + "\n\n" + plan
 
+    def lint(self, text: str) -> list[Lint]:
+        return lint(parse(text, self.fragments))
+
     def format(self, text: str) -> str:
         """The canonical spelling of a query."""
         return show_query(parse(text, self.fragments))

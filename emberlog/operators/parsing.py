@@ -154,6 +154,7 @@ haproxy = fixed("haproxy", r'.*?(\d{1,3}(?:\.\d{1,3}){3}|[0-9a-fA-F:]+):(\d+) \[
 
 def redis(inp: Input, options: dict) -> Parsed:
     ok, p = inp.match(r"\s*(\d+):([A-Z]) (\d{1,2} \w{3}(?: \d{4})? \d\d:\d\d:\d\d\.\d+) ([.\-*#]) (.*)")
+    # Names by character (fixed values of the format).
     role = F.create_map(*(F.lit(x) for x in ("M", "master", "S", "replica", "C", "rdb_child", "X", "sentinel")))
     level = F.create_map(*(F.lit(x) for x in (".", "debug", "-", "verbose", "*", "notice", "#", "warning")))
     made = {"pid": p[0].try_cast("bigint"), "role_char": p[1], "timestamp": p[2], "level_char": p[3], "message": p[4], "role": F.try_element_at(role, p[1]), "level": F.try_element_at(level, p[3])}

@@ -63,6 +63,14 @@ def _final(call: Call) -> Column:
     return F.sqrt(var) if name.startswith("stdev") else var
 
 
+def shared_folder(spark) -> str:
+    """A new folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/views-{uuid.uuid4().hex}"
+
+
 @dataclass
 class View:
     """status: active or paused; retention in microseconds."""

@@ -10,6 +10,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from .engine import Engine
+from .operators import legacy, metadata
+from .plans.views import Views, shared_folder
 
 #: Sources: columns that order them, event time, raw text.
 TABLES = {
@@ -184,5 +186,95 @@ def runner(text: str):
     return run
 
 
+# Queries that are calls: views, questions about a source, operators of the former dialect
+
+CALLS: dict = {}
+
+
+def call(name: str, sql: str):
+    def put(fn):
+        CALLS[name] = fn
+        SQL[name] = sql
+        return fn
+
+    return put
+
+
+VIEW = "from events | stats count() as n, sum(value) as s, avg(value) as a, max(value) as m, stdev(value) as d by event_type, bin(_time, 1h)"
+
+
+def viewed(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query answered by a view, or an error."""
+    e = engine(spark, sf_dir)
+    Views(e, shared_folder(spark)).create(VIEW, "hourly")
+    found = e.run(text, NOW)
+    if found.query.pipeline.stages[0].name != "viewscan":
+        raise RuntimeError("the view isn't used")
+    return found.df
+
+
+@call("view_exact", f"SELECT event_type, {bucket('ts', HOUR)} AS _time, count(*) AS n, round(avg(value), 6) AS a FROM events GROUP BY 1, 2")
+def view_exact(spark, sf_dir):
+    return viewed(spark, sf_dir, "from events | stats count() as n, avg(value) as a by event_type, bin(_time, 1h) | extend a = round(a, 6)")
+
+
+@call("view_fewer_keys", "SELECT event_type, round(sum(value), 4) AS s, max(value) AS m, round(stddev_samp(value), 5) AS d FROM events GROUP BY 1")
+def view_fewer_keys(spark, sf_dir):
+    return viewed(spark, sf_dir, "from events | stats sum(value) as s, max(value) as m, stdev(value) as d by event_type | extend s = round(s, 4), d = round(d, 5)")
+
+
+@call("view_wider_buckets", f"SELECT {bucket('ts', DAY)} AS _time, count(*) AS n FROM events GROUP BY 1")
+def view_wider_buckets(spark, sf_dir):
+    return viewed(spark, sf_dir, "from events | stats count() as n by bin(_time, 1d)")
+
+
+@call("meta_histogram", f"SELECT {bucket('o_orderdate', 7 * DAY)} AS bucket, o_orderstatus, count(*) AS count FROM orders GROUP BY 1, 2")
+def meta_histogram(spark, sf_dir):
+    return metadata.histogram(engine(spark, sf_dir).query("from orders"), 7 * DAY, by="o_orderstatus")
+
+
+@call("meta_field_values", "SELECT o_orderpriority AS value, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS percent FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
+def meta_field_values(spark, sf_dir):
+    return metadata.field_values(engine(spark, sf_dir).query("from orders"), "o_orderpriority")
+
+
+@call("meta_fields", "SELECT 'n_nationkey' AS field, count(n_nationkey) AS present, 1.0::DOUBLE AS coverage FROM nation UNION ALL SELECT 'n_name', count(n_name), 1.0 FROM nation UNION ALL SELECT 'n_regionkey', count(n_regionkey), 1.0 FROM nation")
+def meta_fields(spark, sf_dir):
+    return metadata.field_catalog(engine(spark, sf_dir).query("from nation")).select("field", "present", "coverage")
+
+
+@call("old_fillnull", "SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def old_fillnull(spark, sf_dir):
+    f = engine(spark, sf_dir).run("from documents | join type=left on doc_id with [from labels] | keep doc_id, quality").frame
+    return legacy.fillnull(f, -1, ["quality"]).output()
+
+
+@call("old_untable", "SELECT n_nationkey, 'n_name' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', n_regionkey::VARCHAR FROM nation")
+def old_untable(spark, sf_dir):
+    return legacy.untable(engine(spark, sf_dir).run("from nation").frame, "n_nationkey", "k", "v").output()
+
+
+@call("old_mvcombine", "SELECT n_regionkey, list(n_name ORDER BY n_nationkey) AS n_name FROM nation GROUP BY 1")
+def old_mvcombine(spark, sf_dir):
+    return legacy.mvcombine(engine(spark, sf_dir).run("from nation | keep n_regionkey, n_name").frame, "n_name").output()
+
+
+@call("old_makemv_nomv", "SELECT p_partkey, string_split(p_name, ' ') AS words, replace(p_name, ' ', '+') AS again FROM part")
+def old_makemv_nomv(spark, sf_dir):
+    f = engine(spark, sf_dir).run("from part | extend words = p_name, again = p_name | keep p_partkey, words, again").frame
+    return legacy.nomv(legacy.makemv(legacy.makemv(f, "words", " "), "again", " "), "again", "+").output()
+
+
+@call("old_appendcols", "SELECT n_nationkey, r_name FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) LEFT JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) USING (i)")
+def old_appendcols(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    return legacy.appendcols(e.run("from nation | keep n_nationkey").frame, e.run("from region | keep r_name").frame).output()
+
+
+@call("old_pack_json", "SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS packed FROM region")
+def old_pack_json(spark, sf_dir):
+    return legacy.pack_json(engine(spark, sf_dir).run("from region").frame, ["r_regionkey", "r_name"], "packed").output().select("r_regionkey", "packed")
+
+
 def queries() -> dict:
-    return {name: runner(text) for name, text in TEXTS.items()}
+    return {name: runner(text) for name, text in TEXTS.items()} | CALLS
