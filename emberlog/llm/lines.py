@@ -23,7 +23,7 @@ MARGIN = 0.25
 
 
 def _clean(line):
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def _hashes(text):
