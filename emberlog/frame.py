@@ -77,14 +77,10 @@ class Frame:
     def ordered_by(self, keys: list[tuple[Column, bool]], keep: bool = True, is_sorted: bool = True) -> Frame:
         """Order by `keys` (column, descending), then by the present order."""
         before = self.order if keep else ()
-        names = [f"{HIDDEN}k{i}" for i in range(len(keys))]
-        moved = {o.name: f"{HIDDEN}p{i}" for i, o in enumerate(before)}
-        df = self.df.select(*map(col, self.columns), *(k.alias(n) for (k, _), n in zip(keys, names)), *(col(o).alias(n) for o, n in moved.items()))
-        # Hidden names are made anew each time, so that they can't meet.
-        final = {n: f"{HIDDEN}{i}" for i, n in enumerate([*names, *moved.values()])}
-        df = df.withColumnsRenamed(final)
-        order = [Order(final[n], d) for (_, d), n in zip(keys, names)] + [Order(final[moved[o.name]], o.desc) for o in before]
-        return replace(self, df=df, order=tuple(order), sorted=is_sorted)
+        final = [f"{HIDDEN}{i}" for i in range(len(keys) + len(before))]
+        made = [k.alias(n) for (k, _), n in zip(keys, final)] + [col(o.name).alias(n) for o, n in zip(before, final[len(keys) :])]
+        order = [Order(n, d) for (_, d), n in zip(keys, final)] + [Order(n, o.desc) for o, n in zip(before, final[len(keys) :])]
+        return replace(self, df=self.df.select(*map(col, self.columns), *made), order=tuple(order), sorted=is_sorted)
 
     def sort_columns(self, reverse: bool = False) -> list[Column]:
         return [o.reverse() if reverse else o.sort() for o in self.order]

@@ -16,15 +16,19 @@ HLL_LG, RSD = 14, 0.008
 
 @dataclass
 class Context:
-    """rank: the row order as one comparable column; time: the event time; span: seconds of a bucket, if grouped by
+    """order: makes the row order as one comparable column, `rank`; time: the event time; span: seconds of a bucket, if grouped by
     one; window: whether the aggregate runs over a window; approximate: percentiles by sketches."""
 
-    rank: Column
+    order: Callable[[], Column]
     time: Column | None
     span: float | None = None
     window: bool = False
     approximate: bool = False
 
+    @property
+    def rank(self) -> Column:
+        return self.order()
+
 
 @dataclass(frozen=True)
 class Aggregate:

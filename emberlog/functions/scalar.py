@@ -304,7 +304,8 @@ TOKEN_SPLIT = r"[^\p{L}\p{Nd}]+"
 
 
 def tokens_of(s: str) -> list[str]:
-    return [t for t in re.split(r"[\W_]+", s.lower()) if t]
+    """Runs of letters and decimal digits, in lower case."""
+    return "".join(c if c.isalpha() or c.isdecimal() else " " for c in s.lower()).split()
 
 
 @register("has", 2)
@@ -314,11 +315,11 @@ def has(f, term):
         wanted = tokens_of(str(term.value))
         if not wanted:
             return F.when(body.isNotNull(), F.lit(False))
-        own = F.split(F.lower(body), TOKEN_SPLIT)
-        # A substring test comes first: it is cheap, and the reader can push it to the scan.
+        # A substring test comes first: it is cheap and rules most rows out.  A token is then a match between edges of
+        # runs, found without making the list of all tokens.
         out = None
         for t in wanted:
-            one = F.contains(F.lower(body), F.lit(t)) & F.array_contains(own, t)
+            one = F.contains(F.lower(body), F.lit(t)) & F.rlike(F.lower(body), F.lit(rf"(?<![\p{{L}}\p{{Nd}}]){t}(?![\p{{L}}\p{{Nd}}])"))
             out = one if out is None else out & one
         return out
     return F.forall(F.filter(F.split(F.lower(term.col), TOKEN_SPLIT), lambda t: t != ""), lambda t: F.array_contains(F.split(F.lower(body), TOKEN_SPLIT), t))

@@ -156,7 +156,7 @@ class Builder:
 
     def context(self, frame: Frame, by: list[Assign], window: bool = False) -> A.Context:
         span = next((a.value.args[1].value / 1e6 for a in by if isinstance(a.value, Call) and a.value.name == "bin" and isinstance(a.value.args[1], Literal)), None)
-        return A.Context(frame.rank(), col("_time") if "_time" in frame.columns else None, span, window, self.approximate)
+        return A.Context(frame.rank, col("_time") if "_time" in frame.columns else None, span, window, self.approximate)
 
     def grouped(self, frame: Frame, aggs: list[Agg], by: list[Assign]) -> tuple[list[Column], list[Column], Frame]:
         ex = self.exprs(frame)

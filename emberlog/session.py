@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+#: Settings that only a new session takes: columns are made without call sites, which cost more than the columns.
+BUILT = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
@@ -24,7 +27,7 @@ def configure(spark: SparkSession) -> SparkSession:
 def session(name: str = "emberlog", **conf: str) -> SparkSession:
     """A session with the settings; further ones by keyword with _ for dots."""
     builder = SparkSession.builder.appName(name)
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | BUILT).items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
