@@ -53,7 +53,8 @@ def remove_spread(df: DataFrame, text: str = "text", site: str = "source", key:
 
     Rows of one key share the set of removed hashes, all of which are boilerplate, so repeated keys are right too.
     """
-    spread = spread_lines(df, text, site, min_sites, margin)
+    # Written first: Spark then knows its size, and can split a skewed join over two plain exchanges.
+    spread = staged(spread_lines(df, text, site, min_sites, margin))
     body, own, gone, left = F.col(text).cast("string"), *(fresh(df, x) for x in ("_key", "_gone", "_left"))
     rows = df.select(F.col(key).alias(own), F.explode(_hashes(body)).alias("line")).where("line is not null")
     hits = rows.join(spread, "line", "left_semi").groupBy(own).agg(F.collect_set("line").alias(gone))
