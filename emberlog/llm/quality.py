@@ -1,6 +1,6 @@
 """Quality classifier (operator 1): Naive Bayes support vectors.
 
-Indicators of hashed byte n-grams, words and word pairs are scaled by their class log-count ratios; a linear hinge-loss
+Indicators of hashed byte n-grams, words, word pairs and shapes of word n-grams (which words repeat) are scaled by their class log-count ratios; a linear hinge-loss
 model is fitted on them by dual coordinate descent and interpolated with its mean weight.  Scores are a logistic
 function of the margin.  The fit takes a bounded sample of labelled rows (`per_class` of each class, those of least
 hash); every row is scored, on its whole text.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import flat, mix, prepare, word_hashes, words_of
 
 BITS = 18
+#: Bounds of the classes of the share of words that equal the one before.
+SHARES = (1e-9, 0.02, 0.1, 0.3, 0.6)
 ORDERS = (1, 2, 3, 4)
 #: Labelled rows of each class that the fit takes at most.
 PER_CLASS = 1200
@@ -43,6 +45,11 @@ def features(data: np.ndarray, bits: int = BITS, orders: tuple[int, ...] = ORDER
     seen[h >> top] = True
     if len(h) > 1:
         seen[mix(h[:-1] * np.uint64(3) + h[1:]) >> top] = True
+        # Shapes of word n-grams: which of three neighbours are equal, and how large a share equals its neighbour.
+        near, far = h[1:] == h[:-1], h[2:] == h[:-2]
+        shapes = np.unique(near[:-1] + 2 * near[1:] + 4 * far) if len(h) > 2 else np.zeros(0, np.int64)
+        share = 8 + np.searchsorted(SHARES, [near.mean()], "right")
+        seen[mix(np.concatenate([shapes, share]).astype(np.uint64) + np.uint64(1 << 40)) >> top] = True
     return np.flatnonzero(seen)
 
 
