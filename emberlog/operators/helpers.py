@@ -102,13 +102,17 @@ def patterns(b, frame: Frame, stage) -> Frame:
 
 
 def outliers(b, frame: Frame, stage) -> Frame:
-    """_outlier and _score by quartiles, mean or median; the one row of statistics is broadcast."""
+    """_outlier and _score by quartiles, mean or median; the one row of statistics is broadcast.
+
+    Quartiles and medians are exact unless the engine is `approximate`, which bounds their memory.
+    """
+    quantile = (lambda c, p: F.percentile_approx(c, p, 10_000)) if b.approximate else F.percentile
     method = stage.get("method", "iqr")
     limit = float(stage.get("threshold", {"iqr": 1.5, "zscore": 3.0, "mad": 3.5}.get(method, 0)))
     v = b.exprs(frame).column(Field(stage.args["field"])).cast("double")
     zero = F.lit(0.0)
     if method == "iqr":
-        stats = frame.df.agg(F.count(v).alias("__c"), F.percentile(v, 0.25).alias("__a"), F.percentile(v, 0.75).alias("__z"))
+        stats = frame.df.agg(F.count(v).alias("__c"), quantile(v, 0.25).alias("__a"), quantile(v, 0.75).alias("__z"))
         spread = F.col("__z") - F.col("__a")
         low, high = F.col("__a") - limit * spread, F.col("__z") + limit * spread
         score = F.when(v < low, (low - v) / spread).when(v > high, (v - high) / spread).otherwise(zero)
@@ -118,8 +122,8 @@ def outliers(b, frame: Frame, stage) -> Frame:
         score = F.abs((v - F.col("__a")) / F.col("__z"))
         ok, out = (F.col("__c") >= 2) & (F.col("__z") != 0), score > limit
     elif method == "mad":
-        middle = frame.df.agg(F.count(v).alias("__c"), F.percentile(v, 0.5).alias("__a"))
-        stats = frame.df.select(v.alias("v")).crossJoin(F.broadcast(middle)).groupBy("__c", "__a").agg(F.percentile(F.abs(F.col("v") - F.col("__a")), 0.5).alias("__z"))
+        middle = frame.df.agg(F.count(v).alias("__c"), quantile(v, 0.5).alias("__a"))
+        stats = frame.df.select(v.alias("v")).crossJoin(F.broadcast(middle)).groupBy("__c", "__a").agg(quantile(F.abs(F.col("v") - F.col("__a")), 0.5).alias("__z"))
         score = 0.6745 * F.abs(v - F.col("__a")) / F.col("__z")
         ok, out = (F.col("__c") >= 3) & (F.col("__z") != 0), score > limit
     else:
