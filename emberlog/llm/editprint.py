@@ -117,7 +117,8 @@ def neighbours(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
         named = spark.createDataFrame(guests, "_key long, _at int")
         more = rows.join(F.broadcast(named), "_key").select("_key", "_null", "_text", F.col("_at").alias("_bucket"), F.lit(True).alias("_guest"))
         rows = rows.unionByName(more)
-    return rows.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_guest", F.col("_key").desc(), "_null", "_text")
+    # By number, not by hash: buckets are even and shouldn't meet in one task.
+    return rows.repartitionById(n, "_bucket").sortWithinPartitions("_bucket", "_guest", F.col("_key").desc(), "_null", "_text")
 
 
 def edited_prints(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
