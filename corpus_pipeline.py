@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, langid, lines, mixing, simhash
+from emberlog.llm import bpe, langid, lines, mixing, resemble
 from emberlog.llm.common import fresh, held_out, prepare, staged, table
 from emberlog.llm.queries import VOCABULARY
 
@@ -39,9 +39,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: that of the least doc_id."""
+    """Keep one document of each group linked by a five-word Jaccard similarity of at least 0.8: that of the least
+    doc_id.  Op4's SimHash at two bits of three-word shingles would leave most of these."""
     prepare(spark)
-    return simhash.keep_first(docs)
+    return resemble.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ STAGES = [
     ("mix_sources", mix_sources),
     ("byte_bpe", tokenize),
 ]
-#: No SQL expresses the trained model of the first stage or XXH64 of the third; tests hold `run` against brute force.
+#: No SQL expresses the trained model of the first stage or the groups of the third; tests hold `run` against brute force.
 ORACLE_SQL = None
 
 

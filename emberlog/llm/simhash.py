@@ -153,8 +153,13 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE) -> DataFrame:
     """One row of each near-duplicate group stays: that of the least key; of rows that repeat a key, the one of least
     text.  Rows without a key can't be named and stay."""
+    return stay(df, near_duplicates(df, text, key, width), text, key)
+
+
+def stay(df: DataFrame, groups: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of `df` whose key names a component of `groups`, once for each key, and those without a key."""
     columns = df.columns
-    found = near_duplicates(df, text, key, width).where(F.col(key) == F.col("component")).select(key).distinct()
+    found = groups.where(F.col(key) == F.col("component")).select(key).distinct()
     kept = df.join(found, key, "left_semi")
     order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
     nth = fresh(df, "_nth")
