@@ -30,10 +30,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that many sources carry."""
+    """Remove lines that many sources carry in different texts: copies of a text count as one, so that a copied
+    document keeps its lines and the next stage thins it out."""
     prepare(spark)
     kept = fresh(docs, "_kept")
-    found = lines.remove_spread(docs, out=kept)
+    found = lines.remove_spread(docs, out=kept, counted=lines.one_of_each(docs))
     new = {"text": F.col(kept), "n_chars": F.char_length(kept).cast("long")}
     return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 

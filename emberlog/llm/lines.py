@@ -48,13 +48,15 @@ def spread_lines(df: DataFrame, text: str = "text", site: str = "source", min_si
     return sure.unionByName(exact)
 
 
-def remove_spread(df: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES, margin: float = MARGIN, out: str = "kept") -> DataFrame:
+def remove_spread(df: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES, margin: float = MARGIN, out: str = "kept", counted: DataFrame | None = None) -> DataFrame:
     """`df` with `out` (the text without boilerplate lines), n_lines and n_removed.
 
+    counted: the rows whose sites count, if not all (`one_of_each`).
+
     Rows of one key share the set of removed hashes, all of which are boilerplate, so repeated keys are right too.
     """
     # Written first: Spark then knows its size, and can split a skewed join over two plain exchanges.
-    spread = staged(spread_lines(df, text, site, min_sites, margin))
+    spread = staged(spread_lines(df if counted is None else counted, text, site, min_sites, margin))
     body, own, gone, left = F.col(text).cast("string"), *(fresh(df, x) for x in ("_key", "_gone", "_left"))
     rows = df.select(F.col(key).alias(own), F.explode(_hashes(body)).alias("line")).where("line is not null")
     hits = rows.join(spread, "line", "left_semi").groupBy(own).agg(F.collect_set("line").alias(gone))
@@ -65,3 +67,17 @@ def remove_spread(df: DataFrame, text: str = "text", site: str = "source", key:
     joined = joined.withColumn(left, F.when(F.size(removed) > 0, kept).otherwise(all_lines))
     rest = [F.col(c) for c in df.columns if c not in (out, "n_lines", "n_removed")]
     return joined.select(*rest, F.array_join(left, "\n").alias(out), n(all_lines).alias("n_lines"), (n(all_lines) - n(F.col(left))).alias("n_removed"))
+
+
+def one_of_each(df: DataFrame, text: str = "text", site: str = "source") -> DataFrame:
+    """`text` and `site` of one row of each group of texts that are equal but for case and white space.
+
+    The row is that of least hash of text and site, so that groups which many sites carry fall to different sites.
+    Rows without a site count for no line and are left out.
+    """
+    body = F.col(text).cast("string")
+    words = F.btrim(F.regexp_replace(F.lower(body), "[ \\t\\n\\x0B\\f\\r]+", " "))
+    rows = df.where(body.isNotNull() & F.col(site).isNotNull()).select(body.alias(text), F.col(site).cast("string").alias(site), F.xxhash64(words).alias("_same"))
+    rows = rows.withColumn("_rank", F.xxhash64("_same", site, text))
+    least = staged(rows.groupBy("_same").agg(F.min("_rank").alias("_rank")))
+    return staged(rows.join(least, ["_same", "_rank"]).select(text, site))
