@@ -2,16 +2,18 @@
 
 A format is compiled to `Parsed`: whether the row parsed, and a column for each field.  Formats of fixed fields match
 one regular expression once, whose groups go into an array.  Formats whose fields depend on the data (json, logfmt,
-kv, w3c, extensions of cef and leef) take the fields of `into`, or those found in a sample of SAMPLE rows.
+kv, w3c, extensions of cef and leef) take the fields of `into`, or those found by an aggregation over all rows.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +24,6 @@ from ..functions.types import kind_of
 from ..lang.ast import Field
 from ..lang.errors import QueryError
 
-SAMPLE = 200
 MARK, SEP = "\u0002", "\u0001"
 
 
@@ -55,16 +56,35 @@ class Input:
 
     def __init__(self, frame: Frame, text: Column, into: list[tuple[str, str | None]]):
         self.frame, self.text, self.into = frame, text, into
-        self._sample: list[str] | None = None
         self.made: dict[str, Column] = {}  # intermediate columns, computed once
 
-    def sample(self) -> list[str]:
-        if self._sample is None:
-            if self.frame.streaming:
-                raise QueryError("S022", "a stream's fields can't be sampled", hint="declare them: into (name as type, ...)")
-            rows = self.frame.df.select(self.text.alias("t")).where("t is not null").limit(SAMPLE).collect()
-            self._sample = [r[0] for r in rows]
-        return self._sample
+    def texts(self) -> DataFrame:
+        """All texts, in column t."""
+        if self.frame.streaming:
+            raise QueryError("S022", "a stream's fields can't be found beforehand", hint="declare them: into (name as type, ...)")
+        return self.frame.df.select(self.text.alias("t")).where("t is not null")
+
+    def found(self, pairs: Callable[[str], Iterable[tuple[str, str]]]) -> dict[str, set[str]]:
+        """The kinds of each field that `pairs` finds in any row; in order of least place in a row, then name."""
+
+        def run(batches):
+            least: dict[tuple[str, str], int] = {}
+            for batch in batches:
+                for line in batch.column(0).to_pylist():
+                    for at, pair in enumerate(pairs(line)):
+                        if at < least.get(pair, at + 1):
+                            least[pair] = at
+            names, kinds = ([pair[i] for pair in least] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(least.values(), pa.int32())], ["name", "kind", "at"])
+
+        rows = self.texts().mapInArrow(run, "name string, kind string, at int").groupBy("name", "kind").agg(F.min("at").alias("at")).collect()
+        out: dict[str, set[str]] = {}
+        first: dict[str, int] = {}
+        for r in rows:
+            first[r["name"]] = min(r["at"], first.get(r["name"], r["at"]))
+        for r in sorted(rows, key=lambda r: (first[r["name"]], r["name"])):
+            out.setdefault(r["name"], set()).add(r["kind"])
+        return out
 
     def keep(self, c: Column) -> Column:
         """A column computed before the fields are taken from it."""
@@ -172,22 +192,27 @@ def flatten(value, prefix: str = "") -> dict[str, str]:
         if isinstance(v, dict):
             out |= flatten(v, name + ".")
         else:
-            out[name] = "null" if v is None else "bool" if isinstance(v, bool) else "int" if isinstance(v, int) else "float" if isinstance(v, float) else "string"
+            out[name] = "null" if v is None else "bool" if isinstance(v, bool) else "int" if isinstance(v, int) and -(1 << 63) <= v < 1 << 63 else "float" if isinstance(v, (int, float)) else "string"
     return out
 
 
 def json_fields(inp: Input) -> dict[str, str | None]:
     if inp.into:
         return dict(inp.into)
-    kinds: dict[str, set[str]] = {}
-    for line in inp.sample():
+
+    def pairs(line: str):
         try:
-            found = json.loads(line)
-        except ValueError:
-            continue
-        for k, kind in (flatten(found) if isinstance(found, dict) else {}).items():
-            kinds.setdefault(k, set()).add(kind)
-    return {k: widest(v) for k, v in kinds.items()}
+            value = json.loads(line)
+        except (ValueError, RecursionError):
+            return ()
+        return flatten(value).items() if isinstance(value, dict) else ()
+
+    kinds = inp.found(pairs)
+    # What is an object in some rows and a value in others stays text; a null isn't a value.
+    parents = {k.rsplit(".", i)[0] for k in kinds for i in range(1, k.count(".") + 1)}
+    both = {k for k in parents if kinds.get(k, {"null"}) != {"null"}}
+    under = lambda k: any(k.rsplit(".", i)[0] in both for i in range(1, k.count(".") + 1))
+    return {k: "string" if k in both else widest(v) for k, v in kinds.items() if not under(k) and (k in both or k not in parents)}
 
 
 CORRUPT = "__corrupt"
@@ -234,7 +259,7 @@ def docker(inp: Input, options: dict) -> Parsed:
 
 def _declared(inp: Input, into) -> Input:
     new = Input(inp.frame, inp.text, into)
-    new.made, new._sample = inp.made, inp._sample
+    new.made = inp.made
     return new
 
 
@@ -249,14 +274,14 @@ def _pairs(inp: Input, text: Column, key: str, value: str, name: str, unquote: s
     ok = F.coalesce(F.size(got) > 0, F.lit(False))
     wanted = dict(inp.into)
     if not wanted:
-        kinds: dict[str, set[str]] = {}
         py = re.compile(f"({key.replace('(?s)', '')})({value})")
-        for line in map(cut, inp.sample()) if cut else inp.sample():
-            for k, v in py.findall(line):
+
+        def pairs(line: str):
+            for k, v in py.findall(cut(line) if cut else line):
                 k = re.sub(r"^[\s,;|\t]*|.$", "", k)
-                v = v[1:-1] if len(v) > 1 and v[0] == v[-1] == unquote else v
-                kinds.setdefault(k, set()).add(infer(v))
-        wanted = {k: widest(v) for k, v in kinds.items()}
+                yield k, infer(v[1:-1] if len(v) > 1 and v[0] == v[-1] == unquote else v)
+
+        wanted = {k: widest(v) for k, v in inp.found(pairs).items()}
     return ok, {f: typed(F.try_element_at(got, F.lit(f)), kind) for f, kind in wanted.items()}
 
 
@@ -317,8 +342,13 @@ def leef(inp: Input, options: dict) -> Parsed:
 
 
 def w3c(inp: Input, options: dict) -> Parsed:
-    """Fields by place; the header is given, or the sample's #Fields line."""
-    header = options.get("header") or next((x for x in inp.sample() if x.startswith("#Fields:")), "")
+    """Fields by place; the header is given, or the one #Fields line that the rows have."""
+    header = options.get("header")
+    if not header:
+        headers = [r[0] for r in inp.texts().where(F.startswith("t", F.lit("#Fields:"))).select(F.trim("t")).distinct().limit(2).collect()]
+        if len(headers) > 1:
+            raise QueryError("S023", "w3c found several headers", hint='parse each part with its own: w3c("#Fields: date time ...")')
+        header = headers[0] if headers else ""
     names = [re.sub(r"\W+", "_", n).strip("_") for n in re.sub(r"^#Fields:\s*", "", str(header)).split()]
     if not names:
         raise QueryError("S023", "w3c needs its header", hint='w3c("#Fields: date time ...")')
