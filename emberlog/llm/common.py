@@ -7,14 +7,18 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; long documents make a batch of a few MB, not hundreds.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch that Spark sends, and bytes of text that are looked at together.
+BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 512, 16 << 20, 4 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: The separators of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
@@ -27,9 +31,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
+def by_bytes(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts in `column` make up about `most` bytes; a longer text is alone in its slice."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows or not batch.num_rows and lo == 0:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,23 +57,43 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberlog-"))
     return sc.getCheckpointDir()
 
 
+#: Spark's setting that drops a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it back.
 
-    The files outlive lost executors; they are deleted when the driver's Python ends.
+    The files outlive lost executors; they are deleted by `forget`, or when the driver's Python ends.  The shuffles that
+    made them aren't needed again, so Spark may drop these at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    atexit.register(_delete, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def forget(*staged_frames: DataFrame) -> None:
+    """Delete the files of staged frames that no later plan reads."""
+    for df in staged_frames:
+        _delete(df.sparkSession, df._staged_at)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -135,16 +173,38 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, off)
 
 
+#: Lanes of 8 bytes of a word that are mixed in turn; longer words are hashed whole.
+LANES = 32
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each word's bytes: 8 at a time, each lane mixed by a bijection, so that words of up to 8 bytes
+    and equal lengths never collide."""
     lens = ends - starts
-    first = np.cumsum(lens) - lens
-    inside = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    up, _ = powers(int(lens.max()) + 1)
-    values = BYTE_VALUE[data[inside + np.repeat(starts, lens)]] * up[inside]
-    return mix(np.add.reduceat(values, first) + lens.astype(np.uint64))
+    out = mix(lens.astype(np.uint64) * _M1 + np.uint64(1))
+    if not len(starts):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    left = np.flatnonzero((lens > 0) & (lens <= 8 * LANES))
+    for i in range(LANES):
+        if not len(left):
+            break
+        rest = lens[left] - 8 * i
+        value = lanes[starts[left] + 8 * i] & (~np.uint64(0) >> (np.uint64(8) * np.maximum(8 - rest, 0).astype(np.uint64)))
+        out[left] = mix((out[left] ^ value) * _M2 + np.uint64(i))
+        left = left[rest > 8]
+    for i in np.flatnonzero(lens > 8 * LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def digests(body: bytes | memoryview, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a cryptographic digest of each stretch of `body`, as two longs: equal ones stand for equal bytes."""
+    body = memoryview(body)
+    raw = b"".join([blake2b(body[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    both = np.frombuffer(raw, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
@@ -158,6 +218,17 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
 
 
+def shingles(values: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each `width` consecutive values, mixed one by one."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = mix(values[:n] * _M1 + np.uint64(width))
+    for i in range(1, width):
+        out = mix((out ^ values[i : i + n]) * _M2 + np.uint64(i))
+    return out
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` consecutive values, by doubling."""
     have, out = 1, values

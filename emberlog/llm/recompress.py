@@ -1,17 +1,20 @@
 """Substring dedup (operator 3) by recompression.
 
-A document's words are symbols.  Rounds rename runs (two equal neighbours that stand alone) and pairs (a symbol of the
-left class before one of the right class) until symbols stand for up to 16 words.  Names are global: a name is a hash
-of what it stands for and classes are a hash of the name, so all tasks give equal names without a dictionary, and a
-round decides by the symbols next to each other only.  Two equal windows of 50 words are thus parsed alike but for
-at most 16 words at either end (2 from runs, then 2, 4 and 8 from three rounds of pairs), and a symbol begins in each
-stretch of 16 words.  The symbol of least rank that begins in a window's middle 18 words is its anchor; equal windows
-share it, with the 32 words about it, which lie in the window.  `repeats` settles what shares anchors, and the windows
-of what is left are compared by 64-bit hashes of their 50 words.
+A document's words are symbols.  Rounds rename runs (a symbol that stands two to RUN times in a row) and pairs (a symbol
+of the left class before one of the right class) until symbols stand for up to 16 words.  Names are global: a name is a
+hash of what it stands for and classes are a hash of the name, so all tasks give equal names without a dictionary, and
+a round decides by the symbols next to each other only.  Two equal windows of 50 words are thus parsed alike but for at
+most 16 words at either end (4 from runs, then 8 and 16 from two rounds of pairs), and a symbol begins in each stretch
+of 16 words; a longer run stays single symbols, as its ends may lie outside a window.  The symbol of least rank that
+begins in a window's middle 18 words is its anchor; equal windows share it, with the 32 words about it, which lie in the
+window.  Spark counts these shared symbols over all documents, which reveals what may repeat; `repeats` then verifies
+segments, and the windows of what is left, by 128-bit digests of their words' bytes.  Colliding names can therefore not
+remove anything.
 
 Rows are told by `doc_id`; a window is removed if its words also start in a document of a smaller id.  Rows of one id
 (repeated rows) are one place, so neither removes the other.  Null ids are greater than all others and equal among
-themselves.  Null texts and texts of white space have no words.  Other columns are not read.
+themselves.  Null texts and texts of white space have no words.  Texts are looked at in slices of a few MB; a longer
+text is alone in its slice and takes some 30 times its size.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, prepare, sliding_min, window_hashes, word_hashes, words_of
+from .common import by_bytes, digests, flat, mix, prepare, sliding_min, window_hashes, word_hashes, words_of
 from .repeats import SEGMENT, earlier, settle
 
 WIDTH = 50
+RUN = 4  # words of a run that gets a name
 LONGEST = 16  # words of a symbol
 EDGE = 16  # words at either end of a window whose symbols may depend on what is outside it
 CORE = WIDTH - 2 * EDGE
@@ -35,42 +39,40 @@ NULL_ID = (1 << 63) - 1
 _PAIR, _RUN, _RANK = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def rounds(symbols: np.ndarray, text: np.ndarray, pairs: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rounds(symbols: np.ndarray, text: np.ndarray, pairs: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names, first words and lengths of the symbols after one round of runs and `pairs` of pairs.
 
     symbols: a name for each word; text: the number of the text it stands in.
     """
-    n = len(symbols)
-    start, length = np.arange(n), np.ones(n, np.int64)
-    for r in range(pairs + 1):
-        n = len(symbols)
-        if n < 2:
-            break
-        if r == 0:
-            same = np.concatenate([[False], (symbols[1:] == symbols[:-1]) & (text[1:] == text[:-1]), [False]])
-            joins = same[1:-1] & ~same[:-2] & ~same[2:]  # i and i + 1 are a run of two
-            names = mix(symbols[:-1] * _RUN + np.uint64(2))
-        else:
-            right = (mix(symbols ^ np.uint64(r) * _RANK) & np.uint64(1)).astype(bool)
-            joins = ~right[:-1] & right[1:] & (text[1:] == text[:-1]) & (length[:-1] + length[1:] <= LONGEST)
-            names = mix(symbols[:-1] * _PAIR + (symbols[1:] ^ np.uint64(r)))
-        at = np.flatnonzero(joins)
-        symbols, length = symbols.copy(), length.copy()
-        symbols[at] = names[at]
+    if not len(symbols):
+        return symbols, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    head = np.concatenate([[True], (symbols[1:] != symbols[:-1]) | (text[1:] != text[:-1])])
+    at = np.flatnonzero(head)
+    count = np.diff(np.append(at, len(symbols)))
+    named = (count > 1) & (count <= RUN)
+    symbols, length = symbols.copy(), np.ones(len(symbols), np.int64)
+    symbols[at[named]] = mix(symbols[at[named]] * _RUN + count[named].astype(np.uint64))
+    length[at[named]] = count[named]
+    start = np.flatnonzero(head | np.repeat(~named, count))
+    symbols, length, text = symbols[start], length[start], text[start]
+    for r in range(1, pairs + 1):
+        right = (mix(symbols ^ np.uint64(r) * _RANK) & np.uint64(1)).astype(bool)
+        at = np.flatnonzero(~right[:-1] & right[1:] & (text[1:] == text[:-1]) & (length[:-1] + length[1:] <= LONGEST))
+        symbols[at] = mix(symbols[at] * _PAIR + (symbols[at + 1] ^ np.uint64(r)))
         length[at] += length[at + 1]
-        keep = np.ones(n, bool)
+        keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, start, length, text = symbols[keep], start[keep], length[keep], text[keep]
     return symbols, start, length
 
 
 def segments_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the word names of several texts (offsets `first`): text, first window (within the text), windows, key and
-    content of each segment."""
+    """Of the word names of several texts (offsets `first`): text, first window (among all words), windows and key of
+    each segment."""
     none = np.zeros(0, np.int64)
     counts = np.diff(first)
     if len(words) < WIDTH or counts.max(initial=0) < WIDTH:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     text = np.repeat(np.arange(len(counts)), counts)
     names, start, _ = rounds(words, text)
     place_bits = np.uint64(max(1, int(len(words)).bit_length()))
@@ -85,72 +87,80 @@ def segments_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     around = window_hashes(words, 2 * AROUND)
     name_at = np.zeros(len(words), np.uint64)
     name_at[start] = names
-    key = mix(around[x - AROUND] + name_at[x])
-    # The content of n windows is their n + WIDTH - 1 words; a prefix hash gives it for any length.
-    hashes = window_hashes(words, WIDTH)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(hashes ^ _PAIR), out=sums[1:])
-    content = mix((sums[at + n] - sums[at]) ^ (hashes[at] * _RUN) ^ n.astype(np.uint64) ^ (hashes[at + n - 1] * _PAIR))
-    return text[at], at - first[text[at]], n, key, content
+    return text[at], at, n, mix(around[x - AROUND] + name_at[x])
 
 
-def _named(batch, column: int):
-    data, off = flat(batch.column(column))
-    starts, ends, first = words_of(data, off)
-    return data, off, starts, ends, first, word_hashes(data, starts, ends)
+class Words:
+    """The words of a batch's texts: their bounds, each text's first word, names, and their bytes joined by spaces."""
 
+    def __init__(self, batch, column: int):
+        self.data, self.off = flat(batch.column(column))
+        self.starts, self.ends, self.first = words_of(self.data, self.off)
 
-def dedup_words(df: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:
-    """`key`, n_words, n_removed, kept_sha256 and, with `with_text`, kept (the words that stay, joined by one space)."""
+    def names(self) -> np.ndarray:
+        return word_hashes(self.data, self.starts, self.ends)
+
+    def digests(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the n words from `at` on."""
+        raw, off = self.data.tobytes(), self.off.tolist()
+        joined = b" ".join([b" ".join(raw[a:b].split()) for a, b, w in zip(off, off[1:], np.diff(self.first).tolist()) if w])
+        size = self.ends - self.starts
+        start = np.cumsum(size + 1) - (size + 1)
+        return digests(joined, start[at], start[at + n - 1] + size[at + n - 1])
+
+
+def dedup_words(df: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False, sieve: int = 64) -> DataFrame:
+    """`key`, n_words, n_removed, kept_sha256 and, with `with_text`, kept (the words that stay, joined by one space).
+
+    sieve: bits of the keys; fewer bring more together, with the same results.
+    """
     prepare(df.sparkSession)
     kind = dict(df.dtypes)[key]
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("row"), F.col(text).cast("string").alias("text"))
 
     def segments(batches):
-        for batch in batches:
-            *_, first, words = _named(batch, 1)
-            t, at, n, k, content = segments_of(words, first)
-            ids = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[t]), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(k.view(np.int64)), pa.array(content.view(np.int64))], ["row", "at", "n", "key", "content"])
+        for batch in by_bytes(batches, 1):
+            words = Words(batch, 1)
+            t, at, n, k = segments_of(words.names(), words.first)
+            c1, c2 = words.digests(at, n + WIDTH - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[t]), pa.array(at - words.first[t], pa.int32()), pa.array(n, pa.int32()), pa.array((k >> np.uint64(64 - sieve)).view(np.int64)), pa.array(c1), pa.array(c2)], ["row", "at", "n", "key", "c1", "c2"])
 
     copies, rest = settle(rows.mapInArrow(segments, SEGMENT), within=False)
     # Each text's open stretches of windows; a text has no more of them than words.
     stretches = rest.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def windows(batches):
-        for batch in batches:
-            *_, first, words = _named(batch, 1)
-            ids, spans = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            out_row, out_at, out_hash = [], [], []
-            for i, own in enumerate(spans):
-                hashes = window_hashes(words[first[i] : first[i + 1]], WIDTH)
-                at = np.unique(np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in own]))
-                at = at[at < len(hashes)]  # rows of one id may differ in length
-                out_row.append(np.full(len(at), ids[i]))
-                out_at.append(at)
-                out_hash.append(hashes[at])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_row).astype(np.int64)), pa.array(np.concatenate(out_at).astype(np.int32)), pa.array(np.concatenate(out_hash).astype(np.uint64).view(np.int64))], ["row", "at", "hash"])
-
-    single = earlier(rows.join(stretches, "row").select("row", "text", "spans").mapInArrow(windows, "row long, at int, hash long"), within=False)
+        for batch in by_bytes(batches, 1):
+            words = Words(batch, 1)
+            count = np.diff(words.first)
+            places = []
+            for i, own in enumerate(batch.column(2)):
+                lo, n = (own.values.field(c).to_numpy().astype(np.int64) for c in ("at", "n"))
+                at = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                places.append(at[at + WIDTH <= count[i]])  # rows of one id may differ in length
+            text, at = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate([*places, np.zeros(0, np.int64)])
+            c1, c2 = words.digests(words.first[text] + at, np.full(len(at), WIDTH))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[text]), pa.array(at, pa.int32()), pa.array(c1), pa.array(c2)], ["row", "at", "c1", "c2"])
+
+    single = earlier(rows.join(stretches, "row").select("row", "text", "spans").mapInArrow(windows, "row long, at int, c1 long, c2 long"))
     gone = copies.unionByName(single.select("row", "at", F.lit(1).alias("n")))
     gone = gone.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def removed(batches):
-        for batch in batches:
-            data, off, starts, ends, first, _ = _named(batch, 1)
+        for batch in by_bytes(batches, 1):
+            words = Words(batch, 1)
+            body = words.data.tobytes()
             out: list[list] = [[] for _ in range(4)]
-            for i, own in enumerate(batch.column(2).to_pylist()):
-                a, b = first[i], first[i + 1]
+            for i, own in enumerate(batch.column(2)):
+                a, b = words.first[i], words.first[i + 1]
                 n = int(b - a)
                 cover = np.zeros(n + 1, np.int64)
-                if own:
-                    lo = np.array([s["at"] for s in own])
-                    hi = lo + np.array([s["n"] for s in own]) + WIDTH - 1
+                if own.is_valid:
+                    lo = own.values.field("at").to_numpy().astype(np.int64)
                     np.add.at(cover, np.minimum(lo, n), 1)
-                    np.add.at(cover, np.minimum(hi, n), -1)
+                    np.add.at(cover, np.minimum(lo + own.values.field("n").to_numpy() + WIDTH - 1, n), -1)
                 stays = np.cumsum(cover[:-1]) == 0
-                body = data.tobytes() if i == 0 else body
-                kept = b" ".join([body[s:e] for s, e in zip(starts[a:b][stays].tolist(), ends[a:b][stays].tolist())])
+                kept = b" ".join([body[s:e] for s, e in zip(words.starts[a:b][stays].tolist(), words.ends[a:b][stays].tolist())])
                 for column, x in zip(out, (n, int(n - stays.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))):
                     column.append(x)
             arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]

@@ -8,8 +8,12 @@ segment.  What happens to segments is the same for both:
 2. segments of equal content are settled but for the first, whose windows the others repeat;
 3. first segments whose key has several contents are left, and only these are looked at window by window.
 
+Keys are fast hashes that only bring candidates together: two contents under one key cost time, not correctness.  What
+is taken for equal has equal 128-bit cryptographic digests of its bytes.
+
 All grouping is partial aggregation and equality joins, so a passage that a third of the rows hold is summed up before
-it is dealt out and its join is split by Spark where it is skewed.
+it is dealt out and its join is split by Spark where it is skewed.  Each aggregate is written before it is joined: Spark
+splits the skewed partitions of a join that stands straight over two exchanges, not over an aggregate.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import forget, staged
 
-#: Rows of segments: row (number of the text), at (first window), n (windows), key and content hashes.
-SEGMENT = "row long, at int, n int, key long, content long"
+#: Rows of segments: row (number of the text), at (first window), n (windows), key, and the content's digest.
+SEGMENT = "row long, at int, n int, key long, c1 long, c2 long"
 
 
 def settle(segments: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
@@ -29,23 +33,21 @@ def settle(segments: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
 
     within: whether an earlier place of the same text counts as earlier.
     """
-    place = F.struct("row", "at") if within else F.struct("row")
+    place = F.struct("row", "at") if within else F.col("row")
     counted = segments.groupBy("key").agg(F.count("*").alias("c"), F.min("row").alias("a"), F.max("row").alias("z"))
-    # Written first: a join straight over two exchanges is one whose skewed partitions Spark can split.
     shared = staged(counted.where("c > 1" if within else "a < z").select("key"))
     held = staged(segments.join(shared, "key"))
-    first = held.groupBy("key", "content").agg(F.min(place).alias("first"))
-    first = staged(first)
+    first = staged(held.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.min("key").alias("key")))
     kinds = staged(first.groupBy("key").agg(F.count("*").alias("several")).where("several > 1"))
-    told = held.join(first, ["key", "content"]).withColumn("copy", place > F.col("first"))
-    copies = told.where("copy").select("row", "at", "n")
+    told = staged(held.join(first.drop("key"), ["c1", "c2"]).select("row", "at", "n", "key", (place > F.col("first")).alias("copy")))
     # A text's later segments of its own first content stay open only if they can't be copies (place equal to first).
-    rest = told.where(~F.col("copy")).join(kinds, "key").select("row", "at", "n", "key", "several")
-    return copies, rest
+    rest = staged(told.where(~F.col("copy")).join(kinds, "key").select("row", "at", "n", "key", "several"))
+    forget(shared, held, first, kinds)
+    return told.where("copy").select("row", "at", "n"), rest
 
 
-def earlier(windows: DataFrame, within: bool) -> DataFrame:
-    """(row, at) of the windows (row, at, hash) that have an earlier window of equal hash."""
-    place = F.struct("row", "at") if within else F.struct("row")
-    first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") < F.col("last")).select("hash", "first")
-    return windows.join(first, "hash").where(place > F.col("first")).select("row", "at")
+def earlier(windows: DataFrame) -> DataFrame:
+    """(row, at) of the windows (row, at, c1, c2) of which an earlier row has an equal one."""
+    windows = staged(windows)
+    first = staged(windows.groupBy("c1", "c2").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").drop("last"))
+    return windows.join(first, ["c1", "c2"]).where("row > first").select("row", "at")

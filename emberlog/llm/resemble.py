@@ -1,25 +1,33 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of at least 0.8, found without loss.
 
-SimHash at a radius that few segments can search misses such pairs (at 0.83, five words, 17 bits of 64 were seen), so
-candidates are found by prefixes: in any common order of all shingles, two sets of similarity 0.8 share one of the
-first n - ceil(0.8 n) + 1 of each.  The order puts shingles last that a sample of the texts has often, then goes by
-hash; it steers cost only.  Pairs that share a key are held against exact bounds (sizes, places of the key, parity bits
-of the sets), and what is left is verified on the whole sets.
+SimHash links come first: fingerprints of the same shingles that differ in two bits at most (operator 4's deletion
+variants) name pairs that are then verified on the whole sets.  At that radius SimHash misses similar pairs (at 0.83,
+five words, 17 bits of 64 were seen), and a radius that lost none would need segments too short to tell texts apart.  So
+what it hasn't linked is searched by prefixes: in any common order of all shingles, two sets of similarity 0.8 share one
+of the first n - ceil(0.8 n) + 1 of each.  The order puts shingles last that a sample of the texts has often, then goes
+by hash; it steers cost only.  Pairs that share a key are held against exact bounds (sizes, places of the key, parity
+bits of the sets), and what is left is verified on the whole sets.
 
 Keys of more than DENSE sets aren't paired at once: their members are compared with one leader a key, and again with a
 leader from outside the key's largest component; what then is outside is compared with all members.  Members of one
-component need no pair.  Only distinct sets take part, and no link between two components is lost.
+component need no pair.  Only distinct sets take part, and no link between two components is lost.  Sets are told by
+64-bit digests.
+
+Null and empty texts and texts of white space are one empty set, which is like itself only; a text of fewer words is one
+shingle.  Rows without a key link nothing; repeated rows of a key are one document for each text.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, prepare, staged, window_hashes, word_hashes, words_of
-from .simhash import components, stay
+from .common import by_bytes, flat, forget, mix, prepare, shingles, staged, word_hashes, words_of
+from .simhash import components, fingerprint, links, stay
 
 WIDTH = 5
 #: Sets under one key beyond which leaders come first, and how many leaders.
@@ -38,12 +46,12 @@ def sets_of(column: pa.Array, width: int = WIDTH):
     starts, ends, first = words_of(data, off)
     values = word_hashes(data, starts, ends)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        yield np.unique(window_hashes(values[a:b], min(width, b - a))) if b > a else np.zeros(0, np.uint64)
+        yield np.unique(shingles(values[a:b], min(width, b - a))) if b > a else np.zeros(0, np.uint64)
 
 
 def name_of(found: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    return int(window_hashes(found, len(found)).view(np.int64)[0]) if len(found) else 0
+    return int.from_bytes(blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) if len(found) else 0
 
 
 def parity(found: np.ndarray, width: int = 256) -> np.ndarray:
@@ -54,7 +62,7 @@ def parity(found: np.ndarray, width: int = 256) -> np.ndarray:
 
 def _frequent(df: DataFrame, text: str, key: str) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             found = [*sets_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["s"])
 
@@ -66,12 +74,13 @@ def _frequent(df: DataFrame, text: str, key: str) -> tuple[np.ndarray, np.ndarra
 
 
 def _marked(df: DataFrame, text: str, key: str, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, set's name, size, parity and prefix of each row."""
+    """id, set's name, fingerprint, size, parity and prefix of each row."""
     s, n = often
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             out: list[list] = [[] for _ in range(7)]
+            prints = np.array([fingerprint(t, WIDTH) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             for found in sets_of(batch.column(1)):
                 size = len(found)
                 if len(s):
@@ -83,11 +92,11 @@ def _marked(df: DataFrame, text: str, key: str, often: tuple[np.ndarray, np.ndar
                 for column, x in zip(out, (name_of(found), size, *parity(found).tolist(), ordered[:take].view(np.int64))):
                     column.append(x)
             kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["id", "sid", "n", *QUARTERS, "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *(pa.array(c, k) for c, k in zip(out, kinds))], ["id", "fp", "sid", "n", *QUARTERS, "marks"])
 
     kind = dict(df.dtypes)[key]
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, sid long, n int, {', '.join(f'{q} long' for q in QUARTERS)}, marks array<long>")
+    return rows.mapInArrow(run, f"id {kind}, fp long, sid long, n int, {', '.join(f'{q} long' for q in QUARTERS)}, marks array<long>")
 
 
 def _bounds(a: str, b: str):
@@ -107,13 +116,13 @@ def _pairs(left: DataFrame, right: DataFrame, where) -> DataFrame:
 
 def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
     """Of the pairs (a, b) of names, those whose whole sets have a similarity of at least 0.8."""
-    pairs = staged(staged(pairs).distinct())
+    pairs = staged(pairs.distinct())
     wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
     heads = staged(nodes.join(wanted, "sid").select(F.col("head").alias("id")).distinct())
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(heads, "id", "left_semi")
 
     def whole(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             found = [*sets_of(batch.column(1))]
             wide = pa.array([parity(x, WIDE).tolist() for x in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), wide, pa.array([x.tobytes() for x in found], pa.binary())], ["sid", "n", "wide", "body"])
@@ -124,7 +133,8 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
     # Wide parities leave few pairs whose sets must meet.
     one, two = (bodies.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide")) for c in "ab")
     apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = staged(pairs.join(one, "a").join(two, "b").where(9 * apart <= F.col("a_n") + F.col("b_n")).select("a", "b"))
+    near = staged(pairs.join(one, "a").join(two, "b").where(9 * apart <= F.col("a_n") + F.col("b_n")).select("a", "b"))
+    forget(pairs, wanted, heads)
 
     def similar(batches):
         for batch in batches:
@@ -136,38 +146,59 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one, two = (bodies.select(F.col("sid").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
-    return staged(pairs.join(one, "a").join(two, "b").select("a", "b", "a_body", "b_body").mapInArrow(similar, "a long, b long"))
+    good = staged(near.join(one, "a").join(two, "b").select("a", "b", "a_body", "b_body").mapInArrow(similar, "a long, b long"))
+    forget(near)
+    return good
+
+
+def _hashed(nodes: DataFrame, df: DataFrame, text: str, key: str) -> DataFrame:
+    """Verified pairs among sets of equal fingerprints and of fingerprints that SimHash links."""
+    reps = staged(nodes.groupBy("fp").agg(F.min("sid").alias("rep")))
+    same = nodes.join(reps, "fp").where("sid <> rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+    one, two = (reps.select(F.col("fp").alias(f"{c}p"), F.col("rep").alias(c)) for c in "ab")
+    near = links(reps.select("fp")).toDF("ap", "bp").join(one, "ap").join(two, "bp").select("a", "b")
+    return _verified(same.unionByName(near), df, nodes, text, key)
+
+
+def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members with their component as `root`."""
+    found = staged(components(edges))
+    out = staged(members.drop("root").join(found, members["sid"] == found["node"], "left").drop("node").withColumn("root", F.coalesce("root", "sid")))
+    forget(found)
+    return out
 
 
 def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", dense: int = DENSE) -> DataFrame:
     """`key` and `component` (least key of the group) for each row of `df` that has a key."""
     prepare(df.sparkSession)
     rows = staged(_marked(df, text, key, _frequent(df, text, key)))
-    nodes = staged(rows.groupBy("sid").agg(F.min("id").alias("head"), F.first("n").alias("n"), *(F.first(q).alias(q) for q in QUARTERS)))
-    marks = rows.select("sid", F.posexplode("marks").alias("at", "key"))
-    shared = staged(marks.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a < z").select("key"))
-    held = staged(staged(marks.join(shared, "key")).distinct())
-    held = staged(held.join(staged(held.groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("leader"))), "key"))
-    held = staged(held.join(nodes.drop("head"), "sid"))
-    thin, many = held.where(F.col("c") <= dense), held.where(F.col("c") > dense).drop("c")
-    edges = _verified(_pairs(thin, thin, F.col("x.sid") < F.col("y.sid")), df, nodes, text, key)
-    if not many.isEmpty():
-        members = many.withColumn("root", F.col("sid"))
-        firsts = many.where("sid = leader")
+    nodes = staged(rows.groupBy("sid").agg(F.min("id").alias("head"), F.first("fp").alias("fp"), F.first("n").alias("n"), *(F.first(q).alias(q) for q in QUARTERS)))
+    edges = _hashed(nodes, df, text, key)
+    one_each = rows.join(nodes.select("sid", F.col("head").alias("id")), ["sid", "id"])
+    marks = staged(one_each.select("sid", F.posexplode("marks").alias("at", "key")).distinct())
+    shared = staged(marks.groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("leader")).where("c > 1"))
+    # A single row of each name: its prefix; sizes and parities join what is left of it.
+    met = staged(marks.join(shared, "key"))
+    forget(marks, shared)
+    held = staged(met.join(nodes.drop("head", "fp"), "sid"))
+    forget(met)
+    held = _rooted(held, edges)
+    thin, members = held.where(F.col("c") <= dense), held.where(F.col("c") > dense).drop("c")
+    edges = edges.unionByName(_verified(_pairs(thin, thin, (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))), df, nodes, text, key))
+    if not members.isEmpty():
+        firsts = members.where("sid = leader")
         for i in range(LEADERS + 1):
-            differ = F.lit(True) if i == 0 else F.col("x.root") != F.col("y.root")
-            edges = edges.unionByName(_verified(_pairs(members, firsts, differ), df, nodes, text, key))
+            edges = edges.unionByName(_verified(_pairs(members, firsts, F.col("x.root") != F.col("y.root")), df, nodes, text, key))
             if i == LEADERS:
                 break
-            found = staged(components(edges))
-            members = staged(many.join(found, many["sid"] == found["node"], "left").select(*many.columns, F.coalesce("root", "sid").alias("root")))
+            members = _rooted(members, edges)
             sizes = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
-            outside = staged(members.join(staged(sizes), "key").where("root <> most"))
+            outside = staged(members.join(staged(sizes), "key").where("root <> most").drop("most"))
             if outside.isEmpty():
                 break
             # The last turn compares all that is outside.
             leaders = staged(outside.groupBy("key").agg(F.min_by("sid", F.xxhash64("sid", F.lit(i))).alias("now")))
-            firsts = outside if i == LEADERS - 1 else staged(outside.join(leaders, "key").where("sid = now"))
+            firsts = outside if i == LEADERS - 1 else staged(outside.join(leaders, "key").where("sid = now").drop("now"))
     found = components(edges)
     linked = staged(found.join(nodes, found["node"] == nodes["sid"]).select("sid", "root", "head"))
     named = staged(linked.groupBy("root").agg(F.min("head").alias("component")))

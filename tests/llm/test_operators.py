@@ -152,7 +152,7 @@ def test_recompression_names_equal_windows_alike():
     for _ in range(60):
         lead, tail = (rng.integers(1, 9, rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
         words = recompress.mix(np.concatenate([lead, body, tail]))
-        _, at, n, key, _ = recompress.segments_of(words, np.array([0, len(words)]))
+        _, at, n, key = recompress.segments_of(words, np.array([0, len(words)]))
         mine = next(k for a, m, k in zip(at, n, key) if a <= len(lead) < a + m)
         alone = recompress.segments_of(recompress.mix(body), np.array([0, 50]))[3][0]
         assert mine == alone
@@ -172,9 +172,9 @@ def brute_bytes(texts, width=100):
     return out
 
 
-@pytest.mark.parametrize("hot, bucket", [(suffixes.HOT, suffixes.BUCKET), (0, 10), (1, 3)])
-def test_suffixes_remove_what_brute_force_does(docs, texts, hot, bucket):
-    got = by_id(suffixes.dedup_bytes(docs, hot=hot, bucket=bucket))
+@pytest.mark.parametrize("bucket", [suffixes.BUCKET, 10, 1])
+def test_suffixes_remove_what_brute_force_does(docs, texts, bucket):
+    got = by_id(suffixes.dedup_bytes(docs, bucket=bucket))
     assert got == brute_bytes(texts)
     assert sum(r["n_removed"] for r in got.values()) > 3000
 
@@ -182,11 +182,71 @@ def test_suffixes_remove_what_brute_force_does(docs, texts, hot, bucket):
 def test_suffixes_piecewise(docs, texts, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 150)  # the closure carries the module's value only in this process
     data = np.frombuffer(("abc" * 100 + prose(40)).encode(), np.uint8)
-    whole = {a + i for a, n, _, _ in zip(*suffixes.segments_of(data)) for i in range(n)}
+    whole = {a + i for a, n, _ in zip(*suffixes.segments_of(data)) for i in range(n)}
     assert whole == set(range(len(data) - suffixes.WIDTH + 1))
     assert by_id(suffixes.dedup_bytes(clashing(docs))) == brute_bytes(texts)
 
 
+def test_colliding_names_remove_nothing(docs, texts):
+    """Keys of a few bits bring all sorts of segments together; the results are the same."""
+    assert by_id(recompress.dedup_words(docs, sieve=3)) == brute_words(texts)
+    assert by_id(suffixes.dedup_bytes(docs, sieve=3, bucket=50)) == brute_bytes(texts)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_of_colliding_polynomials_differ(spark):
+    """The Thue-Morse word of 1024 letters and its complement have the same value under any polynomial modulo 2^64."""
+    w = thue_morse(1024)
+    other = w.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(12)
+    body = prose(60, rng).split()
+    rows = [(1, " ".join([*body[:30], w, *body[30:]])), (2, " ".join([*body[:30], other, *body[30:]])), (3, " ".join([*body[:30], w, *body[30:]]))]
+    got = by_id(recompress.dedup_words(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_words(dict(rows)) and [got[k]["n_removed"] for k in (1, 2, 3)] == [0, 0, 61]
+    from emberlog.llm.common import word_hashes
+
+    data = np.frombuffer((w + other + "ab" * 600).encode(), np.uint8)
+    ends = np.array([1024, 2048, 2048 + 1200])
+    assert len(set(word_hashes(data, np.array([0, 1024, 2048]), ends).tolist())) == 3
+
+
+def test_word_hashes_are_of_the_bytes_alone():
+    from emberlog.llm.common import word_hashes
+
+    rng = random.Random(13)
+    words = sorted({bytes(rng.randrange(256) for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 300]))) for _ in range(400)})
+    for lead in (b"", b"xyz"):
+        data = np.frombuffer(lead + b"".join(words), np.uint8)
+        ends = np.cumsum([len(lead), *map(len, words)])
+        got = word_hashes(data, ends[:-1], ends[1:]).tolist()
+        assert len(set(got)) == len(words)
+        first = got if not lead else first
+        assert got == first
+
+
+def test_very_long_texts(spark, vocabulary):
+    """Texts of several MB, with and without spaces, beside short ones: whole results."""
+    rng = random.Random(14)
+    long = " ".join(rng.choice(VOCAB) for _ in range(700_000))
+    rows = [(1, long), (2, "short"), (3, long[: 1 << 20] + "Z" * 60_000), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = by_id(recompress.dedup_words(df))
+    assert words[1]["n_words"] == 700_000 and words[1]["n_removed"] == 0 and words[3]["n_removed"] >= words[3]["n_words"] - 1
+    found = by_id(suffixes.dedup_bytes(df))
+    assert found[1]["n_removed"] == 0 and found[3]["n_removed"] == (1 << 20) + 60_000 - 1
+    prints = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(df).collect()}
+    assert prints[2] == brute_fingerprint("short") and prints[4] == 0 and prints[1] == brute_fingerprint(long)
+    media = by_id(webp.media(df))
+    assert [media[k]["payload_sha256"] for k in (1, 3)] == [sha(t.encode() + b"\xff" * (-len(t) % 576)) for t in (long, rows[2][1])]
+    near = by_id(editprint.edited_prints(df.where("doc_id < 3")))
+    assert near[1]["fingerprint"] == editprint.fingerprint(long)
+    ids = by_id(bpe.digests(df.where("doc_id < 3"), *vocabulary))
+    assert ids[1]["decoded_sha256"] == sha(long.encode())
+
+
 def test_longest_previous_factors():
     rng = random.Random(3)
     for _ in range(30):
@@ -210,6 +270,25 @@ def test_repeated_ids_are_one_place(spark):
     assert got == [(False, 1, 0), (False, 1, 0), (False, 2, n), (True, 0, n), (True, 0, n)]
 
 
+def test_repeated_ids_beside_partly_equal_texts(spark):
+    """Rows of one id, with equal and with different texts, stand at one place each start."""
+    p, q = prose(60), prose(40)
+    rows = [(1, p), (1, p), (1, q + " " + p), (2, p[: len(p) // 2] + " x " + q), (3, q), (None, q), (None, q)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffixes.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for bucket in (1, 2):
+        again = suffixes.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket)
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in again.collect()) == got
+    first = {}
+    for k, t in ((9 if k is None else k, t) for k, t in rows):
+        for i in range(len(t) - 99):
+            first[t[i : i + 100]] = min(first.get(t[i : i + 100], (k, i)), (k, i))
+    want = []
+    for k, t in rows:
+        gone = {j for i in range(len(t) - 99) if first[t[i : i + 100]] < (9 if k is None else k, i) for j in range(i, i + 100)}
+        want.append((k is None, k or 0, len(t), len(gone)))
+    assert got == sorted(want)
+
+
 # 4
 
 
