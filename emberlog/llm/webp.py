@@ -1,12 +1,17 @@
 """Media columns (operator 5): lossless WebP.
 
 `decode` reads any still lossless file: simple and normal prefix codes, meta prefix groups, back-references, colour
-cache, and the predictor, cross-colour, subtract-green and palette transforms, inverted in reverse order.  `encode`
-writes files that use any of these.  `pack` stores bytes as the four samples of 144 pixels a row, with one prefix code
-that is the same for all files; `unpack_many` decodes such files side by side, one symbol of each at a step.
-
-A payload is a text's UTF-8 bytes (null: none) filled with 255 up to a positive multiple of 576.  Payloads beyond what
-one image holds make it wider; a payload of over 1 GB is refused.  Other columns are not read.
+cache, and the predictor, cross-colour, subtract-green and palette transforms, inverted in reverse order.  `decode_many`
+reads many files side by side, one symbol of each at a step, with all of these but meta prefix groups, for which it
+calls `decode`.  `encode` writes an image with given transforms; `pack_many` chooses for each image what it gains by:
+a palette, a predictor, or cross-colour, then back-references to earlier pixels, a colour cache, and the cheapest of a
+few prefix codes.  Choices depend on the image alone, so equal texts give equal files.
+
+A payload is a text's UTF-8 bytes (null: none) filled with 255 up to a positive multiple of 576: the green, red, blue
+and alpha samples of 144 pixels a row.  Payloads beyond what one image holds are stored as several images one after
+another, each a file of its own.  Repeated rows, ties and clashing names change nothing, as each row stands alone; texts
+are packed and read in groups of some MB, and a longer text is alone in its group and takes some 60 times its size.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import flat, prepare
+from .common import by_bytes, flat, mix, prepare
 
 ROW = 576
 CODES = (280, 256, 256, 256, 40)  # alphabets of green with lengths, red, blue, alpha, distance
@@ -379,7 +384,6 @@ def cross_colour(image: np.ndarray, elements: np.ndarray, bits: int, back: bool)
     """elements: (rows, blocks, 3) signed green to red, green to blue, red to blue."""
     h, w, _ = image.shape
     e = elements.astype(np.int8).astype(np.int64)[np.arange(h)[:, None] >> bits, np.arange(w)[None] >> bits]
-    signed = lambda x: x.astype(np.uint8).astype(np.int8).astype(np.int64)
     out = image.astype(np.int64)
     red, green = out[..., 1], signed(out[..., 2])
     new = red + (1 if back else -1) * (e[..., 0] * green >> 5)
@@ -433,25 +437,28 @@ def encode(image: np.ndarray, transforms=(), cache_bits: int = 0, references: bo
             out.put(2, 2)
             now = green(now, False)
         else:
-            colours = sorted(set(joined(now)))
-            if len(colours) > 256:
-                raise ValueError("a palette of over 256 colours")
-            out.put(3, 2)
-            out.put(len(colours) - 1, 8)
-            table = split(colours)
-            write_image(out, joined(np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8))), len(colours), False)
-            index = np.searchsorted(np.array(colours), np.array(joined(now))).reshape(now.shape[:2])
-            k = _palette_bits(len(colours))
-            each = 8 >> k
-            index = np.pad(index, ((0, 0), (0, -index.shape[1] % (1 << k))))
-            packed = sum(index[:, i :: 1 << k] << i * each for i in range(1 << k))
-            now = np.zeros((*packed.shape, 4), np.uint8)
-            now[..., 0], now[..., 2] = 255, packed
+            now = _to_palette(now, out)
     out.put(0, 1)
     write_image(out, joined(now), now.shape[1], True, cache_bits, references)
     return contained(out.done())
 
 
+def _to_palette(image: np.ndarray, out: Writer) -> np.ndarray:
+    """Write the palette of an image's colours, and give the image of packed indexes."""
+    colours, index = np.unique(np.ascontiguousarray(image).view(">u4")[..., 0].astype(np.uint32), return_inverse=True)
+    if len(colours) > 256:
+        raise ValueError("a palette of over 256 colours")
+    out.put(3, 2)
+    out.put(len(colours) - 1, 8)
+    write_image(out, joined(np.diff(split(colours), axis=0, prepend=np.zeros((1, 4), np.uint8))), len(colours), False)
+    index, k = index.reshape(image.shape[:2]), _palette_bits(len(colours))
+    index = np.pad(index, ((0, 0), (0, -index.shape[1] % (1 << k))))
+    packed = sum(index[:, i :: 1 << k] << i * (8 >> k) for i in range(1 << k))
+    now = np.zeros((*packed.shape, 4), np.uint8)
+    now[..., 0], now[..., 2] = 255, packed
+    return now
+
+
 def contained(stream: bytes) -> bytes:
     """The RIFF file of a lossless stream."""
     body = stream + b"\0" * (len(stream) & 1)
@@ -477,11 +484,9 @@ def head(bits: Bits) -> tuple[int, int]:
     return w, h
 
 
-def decode(file: bytes) -> np.ndarray:
-    """The pixels (height, width, 4) of A, R, G, B."""
-    bits = Bits(stream_of(file))
-    width, h = head(bits)
-    w, todo = width, []
+def transforms_of(bits: Bits, w: int, h: int) -> tuple[list[tuple], int]:
+    """The transforms of a stream, as (kind, data, block bits, width before), and the width that is left."""
+    todo: list[tuple] = []
     while bits.read(1):
         kind = bits.read(2)
         if kind in [t[0] for t in todo]:
@@ -498,177 +503,470 @@ def decode(file: bytes) -> np.ndarray:
             table = np.cumsum(split(read_image(bits, n, 1, False)), axis=0, dtype=np.uint8)
             todo.append((3, table, _palette_bits(n), w))
             w = (w + (1 << todo[-1][2]) - 1) >> todo[-1][2]
-    now = split(read_image(bits, w, h, True)).reshape(h, w, 4)
+    return todo, w
+
+
+def restored(now: np.ndarray, todo: list[tuple]) -> np.ndarray:
+    """The image before its transforms."""
     for kind, data, k, w in reversed(todo):
         if kind == 0:
-            now = predict(now, data, k, True)
+            now = unpredicted(now, data, k)
         elif kind == 1:
             now = cross_colour(now, data, k, True)
         elif kind == 2:
             now = green(now, True)
         else:
             each, packed = 8 >> k, now[..., 2].astype(np.int64)
-            index = np.stack([packed >> i * each & ((1 << each) - 1) for i in range(1 << k)], -1).reshape(h, -1)[:, :w]
+            index = np.stack([packed >> i * each & ((1 << each) - 1) for i in range(1 << k)], -1).reshape(len(now), -1)[:, :w]
             now = np.concatenate([data, np.zeros((256 - len(data), 4), np.uint8)])[index]
     return now
 
 
-# Bytes as images, by one prefix code
+def unpredicted(residuals: np.ndarray, modes: list[int], bits: int) -> np.ndarray:
+    """The image of its residuals; one mode throughout, of those that look at one neighbour, is a running sum."""
+    if set(modes) not in ({1}, {2}):
+        return predict(residuals, modes, bits, True)
+    out = residuals.copy()
+    out[0, 0, 0] = (int(out[0, 0, 0]) + 255) & 255  # opaque black stands before the first pixel
+    out[0] = np.cumsum(out[0], 0, dtype=np.uint8)
+    if modes[0] == 2:
+        return np.cumsum(out, 0, dtype=np.uint8)
+    out[:, 0] = np.cumsum(out[:, 0], 0, dtype=np.uint8)
+    out[1:] = np.cumsum(out[1:], 1, dtype=np.uint8)
+    return out
+
+
+def residuals_of(image: np.ndarray, mode: int) -> np.ndarray:
+    """What `unpredicted` sums up, for one mode (1: left, 2: top) throughout."""
+    out = image.copy()
+    if mode == 2:
+        out[1:] -= image[:-1]
+    else:
+        out[:, 1:] -= image[:, :-1]
+        out[1:, 0] -= image[:-1, 0]
+    out[0, 1:] = image[0, 1:] - image[0, :-1]
+    out[0, 0, 0] = (int(out[0, 0, 0]) - 255) & 255
+    return out
+
+
+def decode(file: bytes) -> np.ndarray:
+    """The pixels (height, width, 4) of A, R, G, B."""
+    bits = Bits(stream_of(file))
+    width, h = head(bits)
+    todo, w = transforms_of(bits, width, h)
+    return restored(split(read_image(bits, w, h, True)).reshape(h, w, 4), todo)
+
+
+# Payloads as images
+
 
+#: Bits of the colour cache that files with one have, and the least and most pixels that a back-reference copies.
+CACHE_BITS, LEAST_COPY, MOST_COPY = 8, 3, 4096
 
-def _usual_lengths() -> list[int]:
-    """Prefix code lengths by a rough model of text bytes: letters by rank, then other classes."""
-    weight = [1] * 256
-    for b in range(0x80, 0xC0):
-        weight[b] = 8
-    for b in (*range(0x41, 0x5B), *range(0x30, 0x3A), 0x2E, 0x2C, 0x0A, 0xC3, 0xFF):
-        weight[b] = 16
+
+def _usual() -> np.ndarray:
+    """Weights of bytes by a rough model of text: letters by rank, then other classes."""
+    weight = np.ones(256, np.int64)
+    weight[0x80:0xC0] = 8
+    weight[[*range(0x41, 0x5B), *range(0x30, 0x3A), 0x2E, 0x2C, 0x0A, 0xC3, 0xFF]] = 16
     for rank, b in enumerate(b" etanoisrhldcumfpgwybvkxjqz"):
         weight[b] = int(1600 / (rank + 1.5)) + 8
-    return code_lengths(weight, 11)
+    return weight
+
+
+class Coding:
+    """Prefix codes for literals of some weights, copies, and cached pixels: their stored form and each symbol's bits."""
+
+    def __init__(self, weight: np.ndarray, cache: bool):
+        total = int(weight.sum())
+        copies = [max(1, total // 400)] * 24
+        greens = [*weight.tolist(), *copies, *([max(1, total // 2000)] * (1 << CACHE_BITS) if cache else [])]
+        self.cache = cache
+        lengths = [code_lengths(greens, 13), *[code_lengths(weight.tolist(), 12)] * 3, code_lengths([1] * CODES[4], 6)]
+        out = Writer()
+        out.put(int(cache), 1)
+        if cache:
+            out.put(CACHE_BITS, 4)
+        out.put(0, 1)  # no meta prefix codes
+        self.bits, self.sizes = [], []
+        for own in lengths:
+            write_code(out, own)
+            codes = canonical(own)
+            self.bits.append(np.array([codes[s][0] for s in range(len(own))], np.uint64))
+            self.sizes.append(np.array([codes[s][1] for s in range(len(own))], np.int64))
+        self.head = (int.from_bytes(out.done(), "little"), sum(map(len, out.parts)) * 8 + out.n)
+
+
+_codings: list[Coding] = []
+
+
+def codings() -> list[Coding]:
+    """By number: text, flat, residuals; each without and with a cache."""
+    if not _codings:
+        peaked = (4096 / (1 + np.minimum(np.arange(256), 256 - np.arange(256)) ** 2) + 1).astype(np.int64)
+        _codings.extend(Coding(w, c) for w in (_usual(), np.full(256, 16), peaked) for c in (False, True))
+    return _codings
+
+
+def shapes_of(n: int) -> list[tuple[int, int]]:
+    """Width and height of each image of `n` payload bytes, a multiple of ROW: as few images as hold it."""
+    rows, most = n // ROW, 113 * 16384  # 113 x 144 pixels are the widest multiple that a file may have
+    return [(144 * -(-r // 16384), -(-r // -(-r // 16384))) for r in (min(most, rows - lo) for lo in range(0, rows, most))]
+
+
+def images_of(payload: np.ndarray) -> list[np.ndarray]:
+    """The images (height, width, 4) of A, R, G, B that hold a payload, the last filled with 255."""
+    out, at = [], 0
+    for w, h in shapes_of(len(payload)):
+        part = payload[at : at + 4 * w * h]
+        at += len(part)
+        part = np.concatenate([part, np.full(4 * w * h - len(part), 255, np.uint8)]).reshape(h, w, 4)
+        out.append(part[..., (3, 1, 0, 2)])
+    return out
+
+
+#: Multipliers that cross-colour is tried with, in 32nds of green.
+FACTORS = (32, -32, 16, 64)
+
+
+def chosen_transform(image: np.ndarray) -> tuple | None:
+    """The transform that makes most of an image's pixels repeat, if one does."""
+    pixels = np.ascontiguousarray(image).view(">u4")[..., 0].astype(np.uint32)
+    n = pixels.size
+    if len(set(pixels[0].tolist())) <= 16 and len(np.unique(pixels)) <= 16:  # a row of more colours rules it out
+        return ("palette",)
+    # Equal steps from pixel to pixel leave equal residuals, which copies then take.
+    steps = pixels[:, 1:] - pixels[:, :-1], pixels[1:] - pixels[:-1]
+    even = np.count_nonzero(steps[0][:, 1:] == steps[0][:, :-1]), np.count_nonzero(steps[1][1:] == steps[1][:-1])
+    mode = 1 if even[0] >= even[1] else 2
+    if even[mode - 1] > n // 2 and np.count_nonzero(steps[mode - 1]) > n // 4:
+        return ("predict", mode)
+    levels = image[..., 2].astype(np.int16)
+    for first, c in ((True, 1), (False, 3)):  # red, then blue, of green
+        for f in FACTORS:
+            left = (image[..., c] - (f * np.where(levels > 127, levels - 256, levels) >> 5)) & 255
+            if np.count_nonzero(left) < n // 8 and np.count_nonzero(image[..., c]) > n // 2:
+                return ("cross", f if first else 0, 0 if first else f)
+    return None
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint8).astype(np.int8).astype(np.int64)
 
 
-_packing: dict = {}
+def _transformed(image: np.ndarray, transform: tuple | None, out: Writer) -> np.ndarray:
+    """Write the transform and give the image that is left."""
+    h, w, _ = image.shape
+    if transform is None:
+        return image
+    out.put(1, 1)
+    if transform[0] == "palette":
+        return _to_palette(image, out)
+    blocks = ((w + 511) >> 9) * ((h + 511) >> 9)
+    out.put(0 if transform[0] == "predict" else 1, 2)
+    out.put(7, 3)  # blocks of 512
+    if transform[0] == "predict":
+        write_image(out, [0xFF000000 | transform[1] << 8] * blocks, (w + 511) >> 9, False)
+        return residuals_of(image, transform[1])
+    red, blue = transform[1:]
+    write_image(out, [0xFF000000 | (blue & 255) << 8 | red & 255] * blocks, (w + 511) >> 9, False)
+    return cross_colour(image, np.broadcast_to(np.array([red, blue, 0], np.int8), ((h + 511) >> 9, (w + 511) >> 9, 3)), 9, False)
+
+
+def copies_of(pixels: np.ndarray, own: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references (place, length, distance) in the pixels of several images: at each place that no other covers,
+    the latest earlier place in the image of the same LEAST_COPY pixels, copied as far as it agrees."""
+    n = len(pixels) - LEAST_COPY + 1
+    if n <= 0:
+        return []
+    key = pixels[:n].astype(np.uint64)
+    for i in range(1, LEAST_COPY):
+        key = mix(key) ^ pixels[i : i + n]
+    key = mix(key) ^ own[:n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    place, source = order[again + 1], order[again]
+    inside = (own[place] == own[source]) & (place + LEAST_COPY <= first[own[place] + 1])
+    for i in range(LEAST_COPY):
+        inside &= pixels[place + i] == pixels[source + i]
+    place, source = place[inside], source[inside]
+    ranked = np.argsort(place)
+    out, end = [], 0
+    stop = first[own[place[ranked]] + 1].tolist() if len(place) else []
+    for p, s, e in zip(place[ranked].tolist(), source[ranked].tolist(), stop):
+        if p < end:
+            continue
+        most, length = min(MOST_COPY, e - p), LEAST_COPY
+        while length < most:
+            step = min(max(16, length), most - length)
+            differ = pixels[p + length : p + length + step] != pixels[s + length : s + length + step]
+            if differ.any():
+                length += int(differ.argmax())
+                break
+            length += step
+        out.append((p, length, p - s))
+        end = p + length
+    return out
 
 
-def _pack_code():
-    if not _packing:
-        lengths = _usual_lengths()
+def pack_many(images: list[np.ndarray]) -> list[bytes]:
+    """A lossless file of each image (height, width, 4) of A, R, G, B."""
+    if not images:
+        return []
+    heads, left = [], []
+    for image in images:
         out = Writer()
-        out.put(0, 3)  # no transform, no colour cache, no meta prefix codes
-        for size in CODES[:4]:
-            write_code(out, lengths + [0] * (size - 256))
-        write_code(out, [0] * CODES[4])
-        codes = canonical(lengths)
-        _packing["head"] = (int.from_bytes(out.done(), "little"), sum(map(len, out.parts)) * 8 + out.n)
-        _packing["bits"] = np.array([codes[b][0] for b in range(256)], np.uint64)
-        _packing["n"] = np.array([codes[b][1] for b in range(256)], np.int64)
-    return _packing["head"], _packing["bits"], _packing["n"]
-
-
-def shape_of(n: int) -> tuple[int, int]:
-    """Width and height of `n` payload bytes, a multiple of ROW."""
-    rows = n // ROW
-    wide = -(-rows // 16384)
-    return 144 * wide, -(-rows // wide)
-
-
-def pack(payload: np.ndarray) -> bytes:
-    """A lossless file whose pixels' green, red, blue and alpha samples are the payload (filled with 255 to the shape)."""
-    (head_bits, head_n), bits, n = _pack_code()
-    w, h = shape_of(len(payload))
-    if w > 16384:
-        raise ValueError("a payload of over 1 GB")
-    payload = np.concatenate([payload, np.full(4 * w * h - len(payload), 255, np.uint8)]) if 4 * w * h > len(payload) else payload
-    alpha = int((payload[3::4] != 255).any())
-    start = 40 + head_n
-    lead = (0x2F | (w - 1) << 8 | (h - 1) << 22 | alpha << 36 | head_bits << 40).to_bytes(-(-start // 32) * 4, "little")
-    length = n[payload]
-    at = np.cumsum(length)
+        out.put(0x2F, 8)
+        out.put(image.shape[1] - 1, 14)
+        out.put(image.shape[0] - 1, 14)
+        out.put(int((image[..., 0] != 255).any()), 1)
+        out.put(0, 3)
+        left.append(_transformed(image, chosen_transform(image), out))
+        out.put(0, 1)
+        heads.append((int.from_bytes(out.done(), "little"), sum(map(len, out.parts)) * 8 + out.n))
+    sizes = np.array([x.shape[0] * x.shape[1] for x in left])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    samples = np.concatenate([x.reshape(-1, 4) for x in left])
+    pixels = np.ascontiguousarray(samples).view(">u4").ravel().astype(np.uint32)
+    own = np.repeat(np.arange(len(left)), sizes)
+    # Symbols: literals have four fields, copies two, cached pixels one, and what copies cover none.
+    copies = copies_of(pixels, own, first)
+    covered, starts = np.zeros(len(pixels) + 1, np.int64), np.array([c[0] for c in copies], np.int64)
+    lengths, distances = (np.array([c[i] for c in copies], np.int64) for i in (1, 2))
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, starts + lengths, -1)
+    literal = np.cumsum(covered[:-1]) == 0
+    slot = (pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - CACHE_BITS)
+    order = np.argsort(own.astype(np.int64) << CACHE_BITS | slot, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (pixels[order[1:]] == pixels[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+    hit &= literal
+    # The cheapest coding of each image.
+    every, per = codings(), np.zeros((len(codings()), len(left)))
+    fields = samples[:, (2, 1, 3, 0)]  # green, red, blue, alpha
+    for k, coding in enumerate(every):
+        cost = sum(coding.sizes[c][fields[:, c]] for c in range(4))
+        cost = np.where(hit, coding.sizes[0][np.minimum(280 + slot, len(coding.sizes[0]) - 1)], cost) if coding.cache else cost
+        per[k] = np.bincount(own, np.where(literal, cost, 0), len(left)) + coding.head[1]
+    best = per.argmin(0)
+    near = {144 * y + x: i for i, (x, y) in reversed([*enumerate(NEAR, 1)])}
+    files = []
+    copy_at = np.searchsorted(starts, first)
+    for i in range(len(left)):
+        coding, lo, hi = every[best[i]], first[i], first[i + 1]
+        value, n = np.zeros((hi - lo, 4), np.uint64), np.zeros((hi - lo, 4), np.int64)
+        cached = hit[lo:hi] & coding.cache
+        whole = literal[lo:hi] & ~cached
+        for c in range(4):
+            value[whole, c], n[whole, c] = coding.bits[c][fields[lo:hi, c][whole]], coding.sizes[c][fields[lo:hi, c][whole]]
+        if coding.cache:
+            value[cached, 0], n[cached, 0] = coding.bits[0][280 + slot[lo:hi][cached]], coding.sizes[0][280 + slot[lo:hi][cached]]
+        width = left[i].shape[1]
+        for j in range(copy_at[i], copy_at[i + 1]):
+            d = int(distances[j])
+            d = near.get(d, d + 120) if width == 144 else d + 120
+            for c, code, offset, x in ((0, 0, 256, int(lengths[j])), (1, 4, 0, d)):
+                symbol, extra, more = _prefixed(x)
+                size = int(coding.sizes[code][offset + symbol])
+                value[starts[j] - lo, c], n[starts[j] - lo, c] = int(coding.bits[code][offset + symbol]) | extra << size, size + more
+        files.append(contained(_stream(heads[i], coding.head, value.ravel(), n.ravel())))
+    return files
+
+
+def _stream(one: tuple[int, int], two: tuple[int, int], value: np.ndarray, n: np.ndarray) -> bytes:
+    """The bits of two heads and of many fields."""
+    start = one[1] + two[1]
+    lead = (one[0] | two[0] << one[1]).to_bytes(-(-start // 32) * 4, "little")
+    at = np.cumsum(n)
     total = start + int(at[-1])
-    at += start - length
-    words = np.zeros(-(-total // 32) + 1, np.float64)
-    value = bits[payload] << (at & 31).astype(np.uint64)
+    at += start - n
+    words = np.zeros(-(-total // 32) + 2, np.float64)
+    value = value << (at & 31).astype(np.uint64)
     place = at >> 5
     words[: len(lead) // 4] += np.frombuffer(lead, "<u4")
     words += np.bincount(place, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), len(words))
-    words += np.bincount(place + 1, (value >> np.uint64(32)).astype(np.float64), len(words))[: len(words)]
-    return contained(words.astype(np.uint64).astype("<u4").tobytes()[: -(-total // 8)])
+    words += np.bincount(place + 1, (value >> np.uint64(32)).astype(np.float64), len(words))
+    return words.astype(np.uint64).astype("<u4").tobytes()[: -(-total // 8)]
 
 
-def unpack_many(files: list[bytes]) -> list[np.ndarray]:
-    """The samples green, red, blue, alpha of each file in turn, as one array of bytes for each.
+class _Tables:
+    """Decoding tables of the prefix codes that a set of files has, one after another: symbol and length by bits."""
 
-    Files of literals only, under the same prefix codes, are decoded side by side; any other one by itself.
-    """
-    known: list = []  # of headers met: stored bits, their number, tables or None
+    def __init__(self):
+        self.parts, self.size, self.known = [], 0, {}
+
+    def add(self, code: Code) -> tuple[int, int]:
+        """Where the code's table begins, and the mask of its bits."""
+        raw = (code.lengths.astype(np.int64) << 16) | code.symbols
+        key = raw.tobytes()
+        if key not in self.known:
+            self.known[key] = self.size, (1 << code.width) - 1
+            self.parts.append(raw)
+            self.size += len(raw)
+        return self.known[key]
+
+
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """The pixels (height, width, 4) of A, R, G, B of each file: as `decode` gives them, many at a time."""
     out: list = [None] * len(files)
-    together: dict[int, list] = {}
+    tables, heads = _Tables(), {}
+    jobs = []  # file, stream, bits read, width, height, transforms, cache bits, tables
     for i, file in enumerate(files):
         stream = stream_of(file)
         bits = Bits(stream)
-        w, h = head(bits)
-        part = int.from_bytes(stream[5:2053], "little")
-        k = next((k for k, (value, n, _) in enumerate(known) if part & ((1 << n) - 1) == value), None)
-        if k is None:
-            tables = None
-            if bits.peek(3) == 0:
-                bits.at += 3
-                tables = [read_code(bits, size) for size in CODES][:4]
-                if tables[0].symbols.max() > 255:
-                    tables = None
-            if tables and bits.at - 40 <= 16384:
-                known.append((part & ((1 << bits.at - 40) - 1), bits.at - 40, tables))
-                k = len(known) - 1
-        if k is None:
-            out[i] = decode(file)[..., (2, 1, 3, 0)].ravel()
+        width, h = head(bits)
+        todo, w = transforms_of(bits, width, h)
+        # Heads of codes that are met again aren't read again.
+        raw = int.from_bytes(stream[bits.at >> 3 : (bits.at >> 3) + 512], "little") >> (bits.at & 7)
+        found = next((x for x in heads.items() if raw & ((1 << x[0][0]) - 1) == x[0][1]), None)
+        if found is None:
+            at = bits.at
+            cache = bits.read(4) if bits.read(1) else 0
+            if cache > 11:
+                raise ValueError("a colour cache of over 11 bits")
+            if bits.read(1):
+                out[i] = decode(file)  # meta prefix codes
+                continue
+            codes = [tables.add(read_code(bits, n + (c == 0 and (1 << cache if cache else 0)))) for c, n in enumerate(CODES)]
+            size = bits.at - at
+            if size <= 3800 and len(heads) < 64:
+                heads[(size, raw & ((1 << size) - 1))] = (cache, codes)
         else:
-            together.setdefault(k, []).append((4 * w * h, i, stream))
-    for k, group in together.items():
-        _, start, tables = known[k]
-        group.sort(key=lambda x: -x[0])
-        sizes = np.array([g[0] for g in group])
-        base = np.cumsum([0, *(len(g[2]) for g in group)])
-        raw = np.frombuffer(b"".join([*(g[2] for g in group), b"\0" * 4]), np.uint8).astype(np.uint32)
-        window = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16)
-        place = base[:-1] * 8 + 40 + start
-        to = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        samples = np.zeros(int(sizes.sum()), np.uint8)
-        active = np.searchsorted(-sizes, -np.arange(0, int(sizes[0]), 4), "left")  # files of more than so many samples
-        each = [((t.lengths.astype(np.int64) << 8) | t.symbols, np.uint32((1 << t.width) - 1)) for t in tables]
-        for step, n in enumerate(active.tolist()):
-            p = place[:n]
-            for c, (table, mask) in enumerate(each):
-                got = table[(window[p >> 3] >> (p & 7).astype(np.uint32)) & mask]
-                samples[to[:n] + (4 * step + c)] = got
-                p += got >> 8
-        if (place > base[1:] * 8).any():
-            raise ValueError("the stream ends early")
-        for (n, i, _), at in zip(group, to):
-            out[i] = samples[at : at + n]
+            (size, _), (cache, codes) = found
+            bits.at += size
+        jobs.append((i, stream, bits.at, w, h, todo, cache, codes))
+    if jobs:
+        for job, pixels in zip(jobs, _pixels(jobs, np.concatenate(tables.parts))):
+            i, _, _, w, h, todo, _, _ = job
+            out[i] = restored(np.ascontiguousarray(pixels.astype(">u4")).view(np.uint8).reshape(h, w, 4), todo)
     return out
 
 
-def media(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), stored: bool = False, group_bytes: int = 24 << 20) -> DataFrame:
-    """Store each text's payload as a lossless image, read it back and describe it.
+def _pixels(jobs: list[tuple], table: np.ndarray) -> list[np.ndarray]:
+    """The entropy-coded pixels of each job, one symbol of each at a step."""
+    n = len(jobs)
+    total = np.array([j[3] * j[4] for j in jobs])
+    to = np.concatenate([[0], np.cumsum(total)])
+    out = np.zeros(int(to[-1]), np.uint32)
+    base = np.cumsum([0, *(len(j[1]) for j in jobs)])
+    raw = np.frombuffer(b"".join([*(j[1] for j in jobs), b"\0" * 8]), np.uint8).astype(np.uint32)
+    window = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    place = base[:-1] * 8 + np.array([j[2] for j in jobs])
+    end = base[1:] * 8
+    start = [np.array([j[7][c][0] for j in jobs]) for c in range(5)]
+    mask = [np.array([j[7][c][1] for j in jobs], np.uint32) for c in range(5)]
+    cache_bits = np.array([j[6] for j in jobs])
+    slots = np.where(cache_bits > 0, 1 << cache_bits, 1)
+    cache_at, cache = np.cumsum(slots) - slots, np.zeros(int(slots.sum()), np.uint32)
+    shift = np.where(cache_bits > 0, 32 - cache_bits, 31).astype(np.uint32)
+    keeps = bool((cache_bits > 0).any())
+    at = to[:-1].copy()
+
+    def peek(i):
+        p = place[i]
+        return window[p >> 3] >> (p & 7).astype(np.uint32)
+
+    def read(i, c):
+        got = table[start[c][i] + (peek(i) & mask[c][i])]
+        place[i] += got >> 16
+        return got & 0xFFFF
+
+    def number(i, symbol):
+        """A length or distance from its prefix symbol and extra bits."""
+        more = np.maximum(symbol - 2 >> 1, 0)
+        extra = (peek(i) & ((np.uint32(1) << more.astype(np.uint32)) - np.uint32(1))).astype(np.int64)
+        place[i] += more
+        return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << more) + extra + 1)
+
+    active = np.arange(n)
+    steps = 0
+    while len(active):
+        s = read(active, 0)
+        plain = s < 256
+        if plain.all():
+            some, g = active, s
+        else:
+            some, g = active[plain], s[plain]
+        if len(some):
+            p = (read(some, 1) << 16 | g << 8 | read(some, 2)).astype(np.uint32)
+            p |= read(some, 3).astype(np.uint32) << np.uint32(24)
+            out[at[some]] = p
+            at[some] += 1
+            if keeps:
+                cache[cache_at[some] + np.where(cache_bits[some] > 0, (p * np.uint32(CACHE_FACTOR)) >> shift[some], 0)] = p
+        if len(some) < len(active):
+            cached = s >= 280
+            if cached.any():
+                f = active[cached]
+                out[at[f]] = cache[cache_at[f] + s[cached] - 280]
+                at[f] += 1
+            copied = ~plain & ~cached
+            if copied.any():
+                f = active[copied]
+                length = number(f, s[copied] - 256)
+                for i, m, d in zip(f.tolist(), length.tolist(), number(f, read(f, 4)).tolist()):
+                    if d > 120:
+                        d -= 120
+                    else:
+                        dx, dy = NEAR[d - 1]
+                        d = max(1, dx + dy * jobs[i][3])
+                    a = int(at[i])
+                    if a - d < to[i] or a + m > to[i + 1]:
+                        raise ValueError("a back-reference outside the image")
+                    out[a : a + m] = out[a - d : a - d + m] if d >= m else np.resize(out[a - d : a], m)
+                    at[i] += m
+                    if cache_bits[i]:
+                        new = out[a : a + m]
+                        cache[cache_at[i] + ((new * np.uint32(CACHE_FACTOR)) >> shift[i])] = new
+        steps += 1
+        done = at[active] == to[active + 1]
+        if done.any():
+            active = active[~done]
+        if steps % 1024 == 0 and (place[active] > end[active]).any():
+            break
+    if (place > end).any():
+        raise ValueError("the stream ends early")
+    return [out[a:b] for a, b in zip(to[:-1], to[1:])]
+
+
+#: Bytes of text that are packed and read together.
+GROUP_BYTES = 8 << 20
+
+
+def media(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), stored: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Store each text's payload as lossless images, read them back and describe them.
 
     `keep`, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of the payload as read back), media_bytes,
-    media_sha256, feature (shape, sample means and a histogram of 16 classes, from the pixels), and with `stored` the
-    file itself as `media`.  Texts are decoded in groups of about `group_bytes`, whatever their number.
+    media_sha256, feature (shapes, sample means and a histogram of 16 classes, from the pixels), and with `stored` the
+    files themselves, one after another, as `media`.
     """
     prepare(df.sparkSession)
     df = df.select(*keep, df[text].cast("string").alias("_text"))
     names = [*keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media"] if stored else [])]
 
-    def described(kept, sizes, files):
-        rows: list[list] = [[] for _ in range(7)]
-        for n, file, samples in zip(sizes, files, unpack_many(files)):
-            payload = samples[: max(ROW, -(-n // ROW) * ROW)]
-            raw = payload.tobytes()
-            w, h = shape_of(len(payload))
-            grams = np.bincount(payload >> 4, minlength=16)
-            feature = f"{w}x{h};" + ",".join(f"{x:.4f}" for x in payload.reshape(-1, 4).mean(0)) + ";" + ",".join(map(str, grams.tolist()))
-            for column, x in zip(rows, (n, len(raw), sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(file), sha256(file).hexdigest(), feature)):
-                column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        arrays = [pa.concat_arrays([b.column(i) for b in kept]) for i in range(len(keep))]
-        return pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, t) for c, t in zip(rows, kinds)), *([pa.array(files, pa.binary())] if stored else [])], names)
-
     def run(batches):
-        kept, sizes, files, held = [], [], [], 0
-        for batch in batches:
+        for batch in by_bytes(batches, len(keep), group_bytes):
             data, off = flat(batch.column(len(keep)))
-            kept.append(batch)
-            for i in range(batch.num_rows):
-                body = data[off[i] : off[i + 1]]
-                sizes.append(len(body))
-                files.append(pack(np.concatenate([body, np.full(-len(body) % ROW if len(body) else ROW, 255, np.uint8)])))
-                held += len(body) + ROW
-            if held >= group_bytes:
-                yield described(kept, sizes, files)
-                kept, sizes, files, held = [], [], [], 0
-        if kept:
-            yield described(kept, sizes, files)
+            sizes = np.diff(off).tolist()
+            images, count = [], []
+            for a, n in zip(off.tolist(), sizes):
+                own = images_of(np.concatenate([data[a : a + n], np.full(-n % ROW if n else ROW, 255, np.uint8)]))
+                images += own
+                count.append(len(own))
+            files = pack_many(images)
+            shapes, images = [f"{x.shape[1]}x{x.shape[0]}" for x in images], None
+            read, rows, at = decode_many(files), [[] for _ in range(8)], 0
+            for n, c in zip(sizes, count):
+                samples = np.concatenate([x[..., (2, 1, 3, 0)].ravel() for x in read[at : at + c]])
+                payload = samples[: max(ROW, -(-n // ROW) * ROW)]
+                raw, file = payload.tobytes(), b"".join(files[at : at + c])
+                grams = np.bincount(payload >> 4, minlength=16)
+                feature = "+".join(shapes[at : at + c]) + ";" + ",".join(f"{x:.4f}" for x in payload.reshape(-1, 4).mean(0)) + ";" + ",".join(map(str, grams.tolist()))
+                for column, x in zip(rows, (n, len(raw), sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(file), sha256(file).hexdigest(), feature, file)):
+                    column.append(x)
+                at += c
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(c, t) for c, t in list(zip(rows, kinds))[: 7 + stored])], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
     return df.mapInArrow(run, f"{kinds}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * stored)
