@@ -1,13 +1,16 @@
 """Line dedup (operator 6), native: lines that many sites carry are removed as boilerplate.
 
 A line is what stands between line feeds, without white space at its ends; lines without a character are never
-removed.  HyperLogLog sketches of the sites are built for each line's hash and merged by aggregation.  Lines whose
-estimate lies within `margin` of the threshold get exact distinct counts; the rest are decided by the sketch, whose
-error is far smaller than the margin.  Lines of at least `min_sites` sites are removed from every document.
+removed.  HyperLogLog sketches of the sites are built straight from the rows for each line's hash, within each task
+first, and merged by aggregation: a line's share of the shuffle doesn't grow with its sites.  Lines whose estimate lies
+within `margin` of the threshold get exact distinct counts, and only these lines' sites are dealt out one by one; the
+rest are decided by the sketch, whose error is far smaller than the margin.  Lines of at least `min_sites` sites are
+removed from every document.
 
 A line that only one site carries is settled by the least and greatest site alone.  Null sites count as no site.  Null
-texts stay null, empty texts stay empty, and a text whose lines all go becomes empty.  Columns named as the results are
-replaced.  Everything is DataFrame functions; sites per line are sketched or counted, never collected.
+texts stay null, empty texts stay empty, and a text whose lines all go becomes empty.  Repeated rows add no site and are
+each cleaned; nothing depends on ties.  Long texts are split by Spark within their row.  Columns named as the results
+are replaced.  Everything is DataFrame functions; sites per line are sketched or counted, never collected.
 """
 
 from __future__ import annotations
@@ -39,17 +42,16 @@ def spread_lines(df: DataFrame, text: str = "text", site: str = "source", min_si
         return ends.select("line")
     several = staged(ends.where("a <> b").select("line"))
     rows = rows.join(several, "line", "left_semi")
-    # Sketches are merged of (line, site) pairs, which a first aggregation makes distinct before they are dealt out.
-    pairs = staged(rows.groupBy("line", "site").agg(F.count("*").alias("n")))
-    sketches = pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
+    sketches = staged(rows.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("sites")))
     sure = sketches.where(F.col("sites") >= min_sites * (1 + margin)).select("line")
     near = sketches.where((F.col("sites") < min_sites * (1 + margin)) & (F.col("sites") >= min_sites * (1 - margin))).select("line")
-    exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites).select("line")
+    pairs = rows.join(staged(near), "line", "left_semi").select("line", "site").distinct()
+    exact = pairs.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
     return sure.unionByName(exact)
 
 
-def remove_spread(df: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES, margin: float = MARGIN, out: str = "kept", counted: DataFrame | None = None) -> DataFrame:
-    """`df` with `out` (the text without boilerplate lines), n_lines and n_removed.
+def remove_spread(df: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES, margin: float = MARGIN, out: str = "kept", counted: DataFrame | None = None, counts: bool = True) -> DataFrame:
+    """`df` with `out` (the text without boilerplate lines) and, with `counts`, n_lines and n_removed.
 
     counted: the rows whose sites count, if not all (`one_of_each`).
 
@@ -65,8 +67,9 @@ def remove_spread(df: DataFrame, text: str = "text", site: str = "source", key:
     kept = F.filter(all_lines, lambda x: (_clean(x) == "") | ~F.array_contains(removed, F.xxhash64(_clean(x))))
     n = lambda x: F.coalesce(F.when(body.isNotNull(), F.size(x)), F.lit(0)).cast("long")
     joined = joined.withColumn(left, F.when(F.size(removed) > 0, kept).otherwise(all_lines))
-    rest = [F.col(c) for c in df.columns if c not in (out, "n_lines", "n_removed")]
-    return joined.select(*rest, F.array_join(left, "\n").alias(out), n(all_lines).alias("n_lines"), (n(all_lines) - n(F.col(left))).alias("n_removed"))
+    counts = [(n(all_lines), "n_lines"), (n(all_lines) - n(F.col(left)), "n_removed")] if counts else []
+    rest = [F.col(c) for c in df.columns if c not in (out, *(name for _, name in counts))]
+    return joined.select(*rest, F.array_join(left, "\n").alias(out), *(c.alias(name) for c, name in counts))
 
 
 def one_of_each(df: DataFrame, text: str = "text", site: str = "source") -> DataFrame:
