@@ -4,10 +4,13 @@ A random walk that all texts share moves over the characters: step j emits the c
 one if a random bit of (j mod PERIOD, character class) is set.  Texts of small edit distance thus get emissions of small
 Hamming distance, as walks that an edit has set apart meet again.  A fingerprint holds one hashed bit of the emission at
 each of BITS sampled steps; slot k samples the step of least rank among those the walk has, so texts of different
-lengths sample alike.  Likeness is the share of agreeing bits, with chance agreement taken as 0.
+lengths sample alike.  Likeness is the share of agreeing bits, with chance agreement taken as 0.  `search` finds near
+fingerprints by bands of sampled bits, which are then verified; it works on distinct fingerprints, so that copies never
+make pairs.
 
 Null texts count as empty; the empty text's fingerprint is all zeros.  Rows follow each other by descending key, null
-keys last, repeated keys by text.  Other columns are not read.
+keys last, repeated keys by text.  A task holds two texts at a time, each with some 40 times its size.  Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prepare
+from .common import mix, prepare, staged
 
 PERIOD, CLASSES, BITS = 4096, 64, 256
 _state: dict = {}
@@ -107,8 +110,11 @@ def neighbours(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = F.lit(-(1 << 63))
     rows = df.select(F.coalesce(F.col(key).cast("long"), low).alias("_key"), F.col(key).isNull().alias("_null"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    cuts = sorted({int(x) for x in df.select(F.col(key).cast("double").alias("k")).stat.approxQuantile("k", [i / n for i in range(1, n)], 0.002)}) if n > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("_key"))) if cuts else F.lit(0)
+    cuts = sorted({int(x) for x in df.select(F.col(key).cast("double").alias("k")).stat.approxQuantile("k", [i / n for i in range(1, n)], 1 / (4 * n))}, reverse=True) if n > 1 else []
+    # Cuts above the key, descending: first among every 128th, then in the stretch that follows the last of these.
+    above = lambda some: F.size(F.filter(some, lambda c: c > F.col("_key"))).cast("int")
+    start = F.greatest(above(F.array(*map(F.lit, cuts[::128]))) - 1, F.lit(0)) * 128 if cuts else None
+    bucket = start + above(F.slice(F.array(*map(F.lit, cuts)), start + 1, F.lit(128))) if cuts else F.lit(0)
     rows = rows.withColumn("_bucket", bucket.cast("int")).withColumn("_guest", F.lit(False))
     heads = {r["_bucket"]: r["k"] for r in rows.groupBy("_bucket").agg(F.max("_key").alias("k")).collect()}
     order = sorted(heads)
@@ -163,23 +169,46 @@ def edited_prints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return neighbours(df, text, key).mapInArrow(run, f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def search(queries: DataFrame, rows: DataFrame, least: float = 0.8, bands: int = 40, width: int = 12, seed: int = 5) -> DataFrame:
-    """Pairs (query, doc, likeness) of at least `least` between two frames (doc_id, fingerprint).
+#: Bands, and sampled bits of each.
+BANDS, BAND_BITS = 60, 24
 
-    Banding by sampled bits: rows that agree on all `width` bits of one of `bands` samples are verified.  At 90 %
-    agreeing bits (likeness 0.8) a pair is missed with probability (1 - 0.9^12)^40, below 10^-5.
+
+def search(queries: DataFrame, rows: DataFrame, least: float = 0.8, bands: int = BANDS, width: int = BAND_BITS, seed: int = 5) -> DataFrame:
+    """Pairs (query, fingerprint, likeness) of distinct fingerprints of two frames with a column `fingerprint`, of at
+    least `least` likeness; a fingerprint that both have is its own partner.  Members follow by joining the frames.
+
+    Banding by sampled bits: fingerprints that agree on all `width` bits of one of `bands` samples are verified on all
+    bits.  At 90 % agreeing bits (likeness 0.8) a pair is missed with probability (1 - 0.9^24)^60, below 0.01, and less
+    often the nearer it is.
     """
+    prepare(queries.sparkSession)
     rng = np.random.default_rng(seed)
-    places = [sorted(rng.choice(BITS, width, replace=False).tolist()) for _ in range(bands)]
-
-    def banded(df, name):
-        raw = df.select(F.col("doc_id").alias(name), F.unhex("fingerprint").alias(f"{name}_fp"))
-        digits = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(BITS // 32)), lambda i: F.lpad(F.conv(F.substring(F.hex(f"{name}_fp"), i * 8 - 7, F.lit(8)), 16, 2), 32, "0")))
-        with_digits = raw.withColumn("_d", digits)
-        keys = F.array(*(F.struct(F.lit(i).alias("i"), F.concat(*(F.substring("_d", p + 1, 1) for p in ps)).alias("v")) for i, ps in enumerate(places)))
-        return with_digits.select(name, F.col("_d").alias(f"{name}_d"), F.explode(keys).alias("_k")).select(name, f"{name}_d", "_k.i", "_k.v")
-
-    met = banded(queries, "query").join(banded(rows, "doc"), ["i", "v"]).where("query <> doc")
-    met = met.select("query", "doc", "query_d", "doc_d").dropDuplicates(["query", "doc"])
-    same = F.size(F.filter(F.zip_with(F.split("query_d", ""), F.split("doc_d", ""), lambda a, b: a == b), lambda x: x)) / float(BITS)
-    return met.select("query", "doc", F.greatest(F.lit(0.0), same * 2 - 1).alias("likeness")).where(F.col("likeness") >= least)
+    places = np.array([np.sort(rng.choice(BITS, width, replace=False)) for _ in range(bands)])
+    weight = np.int64(1) << np.arange(width, dtype=np.int64)
+
+    def banded(batches):
+        for batch in batches:
+            prints = batch.column(0).to_pylist()
+            bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(-1, BITS // 8), axis=1)
+            values = np.stack([bits[:, p].astype(np.int64) @ weight for p in places], 1) * bands + np.arange(bands)
+            take = np.repeat(np.arange(len(prints)), bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), pa.array(values.ravel())], ["fingerprint", "band"])
+
+    one = staged(queries.select("fingerprint").where("fingerprint is not null").distinct())
+    two = staged(rows.select("fingerprint").where("fingerprint is not null").distinct())
+    asked = staged(one.mapInArrow(banded, "fingerprint string, band long").withColumnRenamed("fingerprint", "query"))
+    met = asked.join(two.mapInArrow(banded, "fingerprint string, band long"), "band").select("query", "fingerprint").distinct()
+    part = lambda c, i: F.conv(F.substring(c, 16 * i + 1, 16), 16, -10).cast("long")
+    apart = sum((F.bit_count(part("query", i).bitwiseXOR(part("fingerprint", i))) for i in range(BITS // 64)), F.lit(0))
+    likeness = F.greatest(F.lit(0.0), 1 - 2 * apart / F.lit(float(BITS)))
+    return met.withColumn("likeness", likeness).where(F.col("likeness") >= least)
+
+
+def near_counts(prints: DataFrame, key: str = "doc_id", every: int = 100, least: float = 0.8) -> DataFrame:
+    """`prints` (key, fingerprint, ...) with near_count: for rows whose key is divisible by `every`, the number of other
+    rows of at least `least` likeness; null for the rest."""
+    asks = F.coalesce(F.col(key) % every == 0, F.lit(False))
+    members = staged(prints.groupBy("fingerprint").agg(F.count("*").alias("_n")))
+    pairs = search(prints.where(asks), prints, least)
+    found = staged(pairs.join(members, "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("_n").alias("_all")))
+    return prints.join(found, "fingerprint", "left").withColumn("near_count", F.when(asks, F.col("_all") - 1)).select(*prints.columns, "near_count")

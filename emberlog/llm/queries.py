@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, editprint, langid, lines, mixing, quality, recompress, simhash, suffixes, webp
-from .common import held_out, table
+from .common import held_out, staged, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -74,7 +74,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editprint.edited_prints(table(spark, sf_dir, "documents"))
+    return editprint.near_counts(staged(editprint.edited_prints(table(spark, sf_dir, "documents"))))
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
