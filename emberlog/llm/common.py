@@ -1,12 +1,8 @@
-"""Shared plumbing: session preparation, shared staging, Arrow text access, numpy hashing."""
+"""Shared plumbing: session preparation, Arrow text access, numpy hashing."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
-
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
@@ -17,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import forget, numbered, staged  # noqa: F401
+
 #: Rows and bytes of one Arrow batch that Spark sends, and bytes of text that are looked at together.
 BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 512, 16 << 20, 4 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -52,56 +50,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberlog-"))
-    return sc.getCheckpointDir()
-
-
-#: Spark's setting that drops a query's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet in the shared folder and read it back.
-
-    The files outlive lost executors; they are deleted by `forget`, or when the driver's Python ends.  The shuffles that
-    made them aren't needed again, so Spark may drop these at once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def forget(*staged_frames: DataFrame) -> None:
-    """Delete the files of staged frames that no later plan reads."""
-    for df in staged_frames:
-        _delete(df.sparkSession, df._staged_at)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may be gone already; cleaning up is best effort
-        pass
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` doesn't have."""
     while name in df.columns:

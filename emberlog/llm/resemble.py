@@ -99,24 +99,31 @@ def _marked(df: DataFrame, text: str, key: str, often: tuple[np.ndarray, np.ndar
     return rows.mapInArrow(run, f"id {kind}, fp long, sid long, n int, {', '.join(f'{q} long' for q in QUARTERS)}, marks array<long>")
 
 
-def _bounds(a: str, b: str):
-    """Whether two sets can be similar, by sizes, parity, and what stands before and after a shared key."""
-    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+def _pairs(left: DataFrame, right: DataFrame, where) -> DataFrame:
+    """Pairs under one key that can be similar by their sizes and by what stands before and after the key."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     total, least, most = x("n") + y("n"), F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
-    apart = sum((F.bit_count(x(q).bitwiseXOR(y(q))) for q in QUARTERS), F.lit(0))
-    can = (5 * least >= 4 * most) & (9 * apart <= total)
     shared = F.least(x("at"), y("at")) + F.least(x("n") - x("at"), y("n") - y("at"))
-    return can & (9 * shared >= 4 * total)
+    can = (x("sid") != y("sid")) & (5 * least >= 4 * most) & (9 * shared >= 4 * total)
+    met = left.alias("x").join(right.alias("y"), x("key") == y("key")).where(can & where)
+    return met.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, where) -> DataFrame:
-    met = left.alias("x").join(right.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.sid") != F.col("y.sid")) & _bounds("x", "y") & where)
-    return met.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+def _apart(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs whose parity bits let them be similar: sets that differ in k shingles differ in k bits at most."""
+    one, two = (nodes.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), *(F.col(q).alias(f"{c}_{q}") for q in columns)) for c in "ab")
+    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    if columns == ["wide"]:
+        apart = F.aggregate(F.zip_with("a_wide", "b_wide", bits), F.lit(0), lambda x, y: x + y)
+    else:
+        apart = sum((bits(F.col(f"a_{q}"), F.col(f"b_{q}")) for q in columns), F.lit(0))
+    return pairs.join(one, "a").join(two, "b").where(9 * apart <= F.col("a_n") + F.col("b_n")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
     """Of the pairs (a, b) of names, those whose whole sets have a similarity of at least 0.8."""
-    pairs = staged(pairs.distinct())
+    met = staged(pairs.distinct())
+    pairs = staged(_apart(met, nodes, QUARTERS))
     wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
     heads = staged(nodes.join(wanted, "sid").select(F.col("head").alias("id")).distinct())
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(heads, "id", "left_semi")
@@ -128,13 +135,8 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
             yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), wide, pa.array([x.tobytes() for x in found], pa.binary())], ["sid", "n", "wide", "body"])
 
     bodies = staged(rows.mapInArrow(whole, "sid long, n int, wide array<long>, body binary"))
-    if bodies.count() > wanted.count():  # repeated rows of one key
-        bodies = bodies.dropDuplicates(["sid"])
-    # Wide parities leave few pairs whose sets must meet.
-    one, two = (bodies.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide")) for c in "ab")
-    apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = staged(pairs.join(one, "a").join(two, "b").where(9 * apart <= F.col("a_n") + F.col("b_n")).select("a", "b"))
-    forget(pairs, wanted, heads)
+    told = bodies.dropDuplicates(["sid"]) if bodies.count() > wanted.count() else bodies  # repeated rows of one key
+    near = staged(_apart(pairs, told, ["wide"]))  # wide parities leave few pairs whose sets must meet
 
     def similar(batches):
         for batch in batches:
@@ -145,9 +147,9 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
                 good.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one, two = (bodies.select(F.col("sid").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
+    one, two = (told.select(F.col("sid").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
     good = staged(near.join(one, "a").join(two, "b").select("a", "b", "a_body", "b_body").mapInArrow(similar, "a long, b long"))
-    forget(near)
+    forget(met, pairs, wanted, heads, bodies, near)
     return good
 
 
@@ -160,12 +162,9 @@ def _hashed(nodes: DataFrame, df: DataFrame, text: str, key: str) -> DataFrame:
     return _verified(same.unionByName(near), df, nodes, text, key)
 
 
-def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members with their component as `root`."""
-    found = staged(components(edges))
-    out = staged(members.drop("root").join(found, members["sid"] == found["node"], "left").drop("node").withColumn("root", F.coalesce("root", "sid")))
-    forget(found)
-    return out
+    return staged(members.drop("root").join(found, members["sid"] == found["node"], "left").drop("node").withColumn("root", F.coalesce("root", "sid")))
 
 
 def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", dense: int = DENSE) -> DataFrame:
@@ -173,25 +172,31 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", dense
     prepare(df.sparkSession)
     rows = staged(_marked(df, text, key, _frequent(df, text, key)))
     nodes = staged(rows.groupBy("sid").agg(F.min("id").alias("head"), F.first("fp").alias("fp"), F.first("n").alias("n"), *(F.first(q).alias(q) for q in QUARTERS)))
-    edges = _hashed(nodes, df, text, key)
+    names = staged(rows.select("id", "sid"))
     one_each = rows.join(nodes.select("sid", F.col("head").alias("id")), ["sid", "id"])
     marks = staged(one_each.select("sid", F.posexplode("marks").alias("at", "key")).distinct())
     shared = staged(marks.groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("leader")).where("c > 1"))
-    # A single row of each name: its prefix; sizes and parities join what is left of it.
-    met = staged(marks.join(shared, "key"))
-    forget(marks, shared)
-    held = staged(met.join(nodes.drop("head", "fp"), "sid"))
-    forget(met)
-    held = _rooted(held, edges)
-    thin, members = held.where(F.col("c") <= dense), held.where(F.col("c") > dense).drop("c")
+    held = staged(marks.join(shared, "key"))
+    forget(rows, marks, shared)
+    edges = _hashed(nodes, df, text, key)
+    sized = held.join(nodes.select("sid", "n"), "sid")
+    found = staged(components(edges))
+    members = _rooted(sized, found)
+    forget(held, found)
+    thin = members.where(F.col("c") <= dense)
     edges = edges.unionByName(_verified(_pairs(thin, thin, (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))), df, nodes, text, key))
+    many = staged(members.where(F.col("c") > dense).drop("c"))
+    forget(members)
+    members = many
     if not members.isEmpty():
         firsts = members.where("sid = leader")
         for i in range(LEADERS + 1):
             edges = edges.unionByName(_verified(_pairs(members, firsts, F.col("x.root") != F.col("y.root")), df, nodes, text, key))
             if i == LEADERS:
                 break
-            members = _rooted(members, edges)
+            found, before = staged(components(edges)), members
+            members = _rooted(before, found)
+            forget(before, found)
             sizes = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
             outside = staged(members.join(staged(sizes), "key").where("root <> most").drop("most"))
             if outside.isEmpty():
@@ -204,7 +209,7 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", dense
     named = staged(linked.groupBy("root").agg(F.min("head").alias("component")))
     named = staged(linked.join(named, "root").select("sid", "component"))
     groups = staged(nodes.join(named, "sid", "left").select("sid", F.coalesce("component", "head").alias("component")))
-    return rows.select(F.col("id").alias(key), "sid").join(groups, "sid").select(key, "component")
+    return names.select(F.col("id").alias(key), "sid").join(groups, "sid").select(key, "component")
 
 
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", dense: int = DENSE) -> DataFrame:
