@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; all but the last return the
 columns of `documents`.  Line dedup changes `text` (and `n_chars`), mixing repeats or drops rows to reach the target
 weights, and the last stage returns a row of digests for each row of the mix.
+
+Null and empty texts have no language and go in the first stage.  Repeated rows are copies like any other: near-dedup
+keeps one of them.  Rows without a doc_id can't be named, so near-dedup leaves them.  Rows without a source count for no
+line and form a source of their own in the mix.  Extra columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -34,14 +38,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document keeps its lines and the next stage thins it out."""
     prepare(spark)
     kept = fresh(docs, "_kept")
-    found = lines.remove_spread(docs, out=kept, counted=lines.one_of_each(docs))
+    found = lines.remove_spread(docs, out=kept, counted=lines.one_of_each(docs), counts=False)
     new = {"text": F.col(kept), "n_chars": F.char_length(kept).cast("long")}
     return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by a five-word Jaccard similarity of at least 0.8: that of the least
-    doc_id.  Op4's SimHash at two bits of three-word shingles would leave most of these."""
+    doc_id.  SimHash of five-word shingles links what differs in two bits, which is verified; what lies beyond that
+    radius is found by prefixes."""
     prepare(spark)
     return resemble.keep_first(docs)
 
