@@ -92,11 +92,20 @@ class Input:
         self.made[name] = c
         return F.col(name)
 
+    def groups_of(self, whole: str, part: str, numbers: Iterable[int]) -> Column:
+        """The groups of a pattern by one replacement, the first after MARK; `whole` matches all of the text and `part`
+        what is looked for.  A text that holds the marks itself is matched once for each group."""
+        to = MARK + SEP.join(f"${i}" for i in numbers)
+        each = [F.regexp_extract(self.text, part, i) for i in numbers]
+        odd = F.array(F.concat(F.lit(MARK), each[0]), *each[1:]) if each else F.array(F.lit(MARK))
+        odd = F.when(F.rlike(self.text, F.lit(part)), odd).otherwise(F.array(F.lit("")))
+        return F.when(F.rlike(self.text, F.lit(f"[{MARK}{SEP}]")), odd).otherwise(F.split(F.regexp_replace(self.text, whole, to), SEP))
+
     def match(self, pattern: str, flags: str = "(?s)") -> tuple[Column, list[Column]]:
         """Whether the pattern matches the whole text, and its groups; an empty group is null."""
         n = groups(pattern)
-        to = MARK + SEP.join(f"${i + 1}" for i in range(n))
-        got = self.keep(F.split(F.regexp_replace(self.text, f"{flags}^{java_regex(pattern)}$", to), SEP))
+        whole = f"{flags}^{java_regex(pattern)}$"
+        got = self.keep(self.groups_of(whole, whole, range(1, n + 1)))
         ok = F.startswith(F.element_at(got, 1), F.lit(MARK))
         part = lambda i: F.when(ok, F.nullif(F.regexp_replace(F.try_element_at(got, F.lit(i + 1)), f"^{MARK}", "") if i == 0 else F.try_element_at(got, F.lit(i + 1)), F.lit("")))
         return F.coalesce(ok, F.lit(False)), [part(i) for i in range(n)]
@@ -369,8 +378,7 @@ def regex_format(inp: Input, options: dict) -> Parsed:
     made = {}
     # Java has no underscores in names of groups: they are taken by number.
     plain = re.sub(r"\(\?<[A-Za-z]\w*>", "(", pattern)
-    to = MARK + SEP.join(f"${i + 1}" for i in range(len(opens)))
-    got = inp.keep(F.split(F.regexp_replace(inp.text, f"(?s)^.*?(?-s:{plain}).*$", to), SEP))
+    got = inp.keep(inp.groups_of(f"(?s)^.*?(?-s:{plain}).*$", plain, range(1, len(opens) + 1)))
     ok = F.coalesce(F.startswith(F.element_at(got, 1), F.lit(MARK)), F.lit(False))
     for m in re.finditer(r"\(\?<([A-Za-z]\w*)>", pattern):
         if m[1] in kinds or not kinds:

@@ -54,6 +54,26 @@ def detect(lines: list[str]) -> str:
     return best
 
 
+def detect_all(df: DataFrame) -> str:
+    """What most of all lines (column value) look like, as `detect` tells it of a few; one pass."""
+    v = F.col("value")
+    fields = F.from_json(v, "log string, stream string, time string, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    whole = v.rlike(r"^\s*\{") & fields["__bad"].isNull()
+    kind = F.when(whole & fields["log"].isNotNull() & fields["stream"].isNotNull() & fields["time"].isNotNull(), "docker").when(whole, "json").when(v.rlike(_COMBINED.pattern), "combined").when(v.rlike(_SYSLOG.pattern), "syslog")
+    kind = kind.when(F.size(F.regexp_extract_all(v, F.lit(_LOGFMT.pattern), F.lit(0))) >= 2, "logfmt").otherwise("raw")
+    count = lambda sep: F.length(v) - F.length(F.replace(v, F.lit(sep)))
+    ends = [f(count(sep)).alias(f"{f.__name__}{i}") for i, sep in enumerate("\t,") for f in (F.min, F.max)]
+    votes = df.where(F.trim("value") != "").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), *ends).collect()
+    if not votes:
+        return "raw"
+    best = max(votes, key=lambda r: (r["n"], r["kind"]))
+    if best["kind"] == "raw" and len(votes) == 1 and best["n"] > 1:
+        for i, name in enumerate(("tsv", "csv")):
+            if best[f"min{i}"] == best[f"max{i}"] > 0:
+                return name
+    return best["kind"]
+
+
 def any_time(c: Column) -> Column:
     """A time in any of the usual layouts, or in seconds, milliseconds, microseconds or nanoseconds since 1970."""
     number = F.when(c.rlike(r"^\d+(\.\d+)?([eE]\d+)?$") & (c.try_cast("double") >= 1e8), c.try_cast("double"))
@@ -72,19 +92,26 @@ def builtin(df: DataFrame, raw: Column, source: Column, kind: Column, index: str
     return df.select(time.alias("_time"), *(own[n].alias(n) for n in BUILTIN[1:]), *map(col, rest))
 
 
+def read_lines(spark: SparkSession, items, index: str = "main") -> Frame:
+    """Events of a list of lines, or of any open text file such as sys.stdin."""
+    rows = [(str(x).rstrip("\r\n"), i) for i, x in enumerate(items)]
+    frame = from_dataframe(spark.createDataFrame(rows, "_raw string, _at long"), ["_at"])
+    return frame.having(builtin(frame.df.drop("_at"), col("_raw"), F.lit("lines"), F.lit("raw"), index))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value, _source (the file) and _at (its place in the file's part) of each line."""
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source"), F.monotonically_increasing_id().alias("_at"))
 
 
 def read_logs(spark: SparkSession, path: str, kind: str | None = None, index: str = "main") -> Frame:
-    """Lines of log files, with the fields of their format (found from the first lines unless named)."""
+    """Lines of log files, with the fields of their format (what most lines look like, unless named)."""
     from ..operators.parsing import parse_stage
     from ..plans.build import Builder
     from .catalog import Catalog
 
     df = lines(spark, path)
-    kind = kind or detect([r[0] for r in df.select("value").limit(20).collect()])
+    kind = kind or detect_all(df)
     if kind in ("csv", "tsv"):
         sep = "," if kind == "csv" else "\t"
         table = spark.read.csv(path, header=True, inferSchema=True, sep=sep)
@@ -106,13 +133,19 @@ def read_ndjson(spark: SparkSession, path: str, index: str = "main") -> Frame:
 
 
 def read_bulk(spark: SparkSession, path: str) -> Frame:
-    """Bulk files: an action line, then (but for deletes) a document.  Lines pair up within each file by their order."""
+    """Bulk files: an action line, then (but for deletes) a document.  Lines pair up within each file by their order.
+
+    A document may look like an action.  What isn't one, and a delete, leave the next line to be an action, so a line is
+    a document if an odd number of lookalikes stands straight before it.
+    """
     from pyspark.sql import Window
 
     df = lines(spark, path).where(F.trim("value") != "")
-    df = df.withColumn("_before", F.lag("value").over(Window.partitionBy("_source").orderBy("_at")))
-    is_action = lambda c: c.rlike(r'^\s*\{\s*"(index|create|update)"\s*:\s*\{')
-    docs = df.where(F.coalesce(is_action(F.col("_before")), F.lit(False)))
+    order = Window.partitionBy("_source").orderBy("_at")
+    like = F.col("value").rlike(r'^\s*\{\s*"(index|create|update)"\s*:\s*\{')
+    df = df.withColumn("_before", F.lag("value").over(order)).withColumn("_like", like).withColumn("_n", F.row_number().over(order))
+    since = F.max(F.when(~F.col("_like"), F.col("_n"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    docs = df.withColumn("_since", F.coalesce(since, F.lit(0))).where("(_n - 1 - _since) % 2 = 1")
     act = F.from_json("_before", "index struct<_index:string,_id:string>, create struct<_index:string,_id:string>, update struct<_index:string,_id:string>")
     target = F.coalesce(act["index"]["_index"], act["create"]["_index"], act["update"]["_index"], F.lit("main"))
     ident = F.coalesce(act["index"]["_id"], act["create"]["_id"], act["update"]["_id"])

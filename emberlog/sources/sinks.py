@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILES = ("json", "ndjson", "csv", "tsv", "parquet", "raw")
-#: Rows that the renderers of text show at most; files hold all.
+#: Rows that the renderers for reading show, with a line that says so; files and the other kinds hold all.
 SHOWN = 1000
+READ = ("table", "markdown", "box", "ascii", "glimpse", "vertical", "line")
 
 
 def write(df: DataFrame, path: str, kind: str = "json", mode: str = "append") -> None:
@@ -47,9 +48,14 @@ def _plain(x):
     return str(x)
 
 
-def render(df: DataFrame, kind: str = "table", limit: int = SHOWN) -> str:
-    """The first rows as table, markdown, vertical, json, ndjson, csv, tsv, line or raw."""
-    rows = [{c: _plain(r[c]) for c in df.columns} for r in df.limit(limit).collect()]
+def render(df: DataFrame, kind: str = "table", limit: int | None = None) -> str:
+    """Rows as table, markdown, box, ascii, glimpse, vertical, line (of these the first SHOWN, unless `limit` says
+    otherwise, and a note if there are more), json, ndjson, csv, tsv or raw."""
+    limit = SHOWN if limit is None and kind in READ else limit
+    found = (df if limit is None else df.limit(limit + 1)).collect()
+    if limit is not None and len(found) > limit:
+        return render(df.sparkSession.createDataFrame(found[:limit], df.schema), kind, limit) + (f"\n... and more; the first {limit} rows are shown" if kind in READ else "")
+    rows = [{c: _plain(r[c]) for c in df.columns} for r in found]
     cell = lambda x: "" if x is None else json.dumps(x) if isinstance(x, (dict, list, bool)) else str(x)
     if kind == "json":
         return json.dumps(rows, sort_keys=True)
@@ -68,8 +74,16 @@ def render(df: DataFrame, kind: str = "table", limit: int = SHOWN) -> str:
     if kind == "vertical":
         wide = max(map(len, df.columns), default=0)
         return "\n".join(f"--- {i + 1}\n" + "\n".join(f"{c:>{wide}}: {cell(r[c])}" for c in df.columns) for i, r in enumerate(rows))
+    if kind == "glimpse":
+        wide = max(map(len, df.columns), default=0)
+        return "\n".join(f"{c:<{wide}} <{t}> " + ", ".join(cell(r[c]) for r in rows[:10]) for c, t in df.dtypes)
     table = [df.columns, *[[cell(r[c]) for c in df.columns] for r in rows]]
     wide = [max(len(row[i]) for row in table) for i in range(len(df.columns))]
+    if kind in ("box", "ascii"):
+        (a, b, c), (d, e, f), (g, h, i), bar, dash = ("┌┬┐", "├┼┤", "└┴┘", "│", "─") if kind == "box" else ("+++", "+++", "+++", "|", "-")
+        edge = lambda x, y, z: x + y.join(dash * (w + 2) for w in wide) + z
+        body = [bar + bar.join(f" {x.ljust(w)} " for x, w in zip(row, wide)) + bar for row in table]
+        return "\n".join([edge(a, b, c), body[0], edge(d, e, f), *body[1:], edge(g, h, i)])
     lines = ["| " + " | ".join(x.ljust(w) for x, w in zip(row, wide)) + " |" for row in table]
     rule = "|" + "|".join("-" * (w + 2) for w in wide) + "|"
     if kind not in ("table", "markdown"):
