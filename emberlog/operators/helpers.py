@@ -14,6 +14,7 @@ from ..frame import HIDDEN, Frame, col
 from ..functions.types import bin_time, kind_of, micros, seconds
 from ..lang.ast import Assign, Field
 from ..lang.unparse import span as span_text
+from ..staging import numbered
 
 
 def _keys(b, frame, by: list[Assign]):
@@ -48,10 +49,13 @@ def describe(b, frame: Frame, stage) -> Frame:
     names = frame.columns
     pairs = F.array(*(F.struct(F.lit(n).alias("f"), _text(frame, n).alias("v")) for n in names))
     counts = frame.df.select(F.explode(pairs).alias("p")).groupBy(F.col("p.f").alias("field"), F.col("p.v").alias("v")).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(F.col("v").isNull(), F.col("n").desc(), F.col("v"))))
-    top = F.when((F.col("r") <= 5) & F.col("v").isNotNull(), F.struct("r", F.concat("v", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("t")))
     known = F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0))
-    made = ranked.groupBy("field").agg((known / F.sum("n")).alias("coverage"), F.count("v").alias("distinct_est"), F.transform(F.array_sort(F.collect_list(top)), lambda x: x["t"]).alias("top_values"))
+    made = counts.groupBy("field").agg((known / F.sum("n")).alias("coverage"), F.count("v").alias("distinct_est"))
+    # Each task keeps five values of a field before they are dealt out by field.
+    top = counts.where("v is not null").withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(F.col("n").desc(), F.col("v")))).where("r <= 5")
+    told = F.struct("r", F.concat("v", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("t"))
+    top = top.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(told)), lambda x: x["t"]).alias("top_values"))
+    made = made.join(top, "field", "left").withColumn("top_values", F.coalesce("top_values", F.array().cast("array<string>")))
     kinds = F.create_map(*(F.lit(x) for n in names for x in (n, kind_of(frame.kind(n)))))
     made = made.select("field", F.element_at(kinds, F.col("field")).alias("type"), "coverage", "distinct_est", "top_values")
     return _new(frame, made, [(F.array_position(F.array(*map(F.lit, names)), F.col("field")), False)])
@@ -108,6 +112,8 @@ def outliers(b, frame: Frame, stage) -> Frame:
     """
     quantile = (lambda c, p: F.percentile_approx(c, p, 10_000)) if b.approximate else F.percentile
     method = stage.get("method", "iqr")
+    if stage.get("mode") is not None:
+        b.fail("S003", "`outliers` has no `mode`; it marks all rows", stage, "| where _outlier")
     limit = float(stage.get("threshold", {"iqr": 1.5, "zscore": 3.0, "mad": 3.5}.get(method, 0)))
     v = b.exprs(frame).column(Field(stage.args["field"])).cast("double")
     zero = F.lit(0.0)
@@ -146,7 +152,7 @@ def sessionize(b, frame: Frame, stage) -> Frame:
     df = df.withColumn("__new", F.when(gap.isNull() | (gap > F.lit(round(stage.args["maxpause"]))), 1).otherwise(0))
     df = df.withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     sessions = df.groupBy(*marks, "__s").agg(F.min("_time").alias("_session_start"), F.max("_time").alias("_session_end"))
-    sessions = sessions.withColumn("_session_id", F.row_number().over(Window.orderBy(*(F.col(m).asc_nulls_first() for m in marks), "_session_start")).cast("bigint"))
+    sessions = numbered(sessions, [*(F.col(m).asc_nulls_first() for m in marks), F.col("_session_start").asc()], "_session_id")
     sessions = sessions.withColumnsRenamed({m: f"{m}r" for m in [*marks, "__s"]})
     on = reduce(lambda x, y: x & y, (F.col(m).eqNullSafe(F.col(f"{m}r")) for m in marks), F.col("__s") == F.col("__sr"))
     joined = df.join(sessions, on)
@@ -187,11 +193,15 @@ def transaction(b, frame: Frame, stage) -> Frame:
 
 
 def trace(b, frame: Frame, stage) -> Frame:
-    """Span trees: each trace's spans from the roots down, with depth and a drawn branch.  A task holds one trace."""
+    """Span trees: each trace's spans from the roots down, with depth and a drawn branch.  A task holds one trace.
+
+    Spans that are each other's parents have no root: the earliest of them stands as one, so that no span is lost.
+    """
     ids = stage.get("trace_id", "trace_id"), stage.get("span_id", "span_id")
     parent = stage.get("parent_id") or stage.get("parent_span_id") or ("parent_id" if "parent_id" in frame.columns else "parent_span_id")
     first = lambda *names: F.coalesce(*(F.nullif(col(n).cast("string"), F.lit("")) for n in names if n in frame.columns), F.lit(None).cast("string"))
     number = F.coalesce(*(col(n).cast("double") for n in ("duration_ms", "duration", "elapsed_ms") if n in frame.columns), F.lit(None).cast("double"))
+    # Names of fields are tried in turn (fixed values of the stage's output).
     made = frame.df.select(col("_time").cast("timestamp").alias("_time"), col(ids[0]).cast("string").alias("tid"), F.coalesce(col(ids[1]).cast("string"), F.lit("")).alias("sid"), F.coalesce(col(parent).cast("string"), F.lit("")).alias("pid"), first("service", "service_name", "component").alias("service"), first("operation", "operation_name", "name", "handler").alias("operation"), number.alias("ms"), F.row_number().over(Window.partitionBy(col(ids[0])).orderBy("_time", *frame.sort_columns())).alias("n")).where("tid is not null and tid <> ''")
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,9 +217,9 @@ def trace(b, frame: Frame, stage) -> Frame:
             name = ".".join(x for x in (r.service, r.operation) if isinstance(x, str) and x) or f"span:{r.sid[:8]}"
             return name + (f" [{r.ms:.0f}ms]" if r.ms == r.ms and r.ms is not None else "")
 
-        todo = [(i, 0, "", True) for i in reversed(roots)]
-        while todo:
-            i, depth, lead, is_last = todo.pop()
+        todo, rest = [(i, 0, "", True) for i in reversed(roots)], iter(range(len(rows)))
+        while todo or len(seen) < len(rows):
+            i, depth, lead, is_last = todo.pop() if todo else (next(rest), 0, "", True)
             if i in seen:
                 continue
             seen.add(i)
@@ -255,7 +265,7 @@ def correlate(b, frame: Frame, stage) -> Frame:
     df = frame.df.select(ex.column(Field(f1)).cast("double").alias("x"), ex.column(Field(f2)).cast("double").alias("y"), *map(col, frame.hidden)).where("x is not null and y is not null")
     if method == "spearman":
         order = frame.sort_columns()
-        df = df.select(*(F.row_number().over(Window.orderBy(c, *order)).cast("double").alias(c) for c in ("x", "y")))
+        df = numbered(numbered(df, [F.col("x").asc(), *order], "__x"), [F.col("y").asc(), *order], "__y").select(F.col("__x").cast("double").alias("x"), F.col("__y").cast("double").alias("y"))
     r = F.when(F.count("*") >= 2, F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)))
     made = df.agg(r.alias("_correlation"), F.lit(method).alias("_method"), F.count("*").alias("_n"), F.lit(f1).alias("_field1"), F.lit(f2).alias("_field2"))
     return Frame(made, warnings=frame.warnings)

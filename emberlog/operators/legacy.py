@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import HIDDEN, Frame, Order, col, from_dataframe
 from ..functions.types import kind_of
+from ..staging import numbered
 
 
 def fillnull(frame: Frame, value="0", fields: list[str] | None = None) -> Frame:
@@ -56,11 +57,27 @@ def reverse(frame: Frame) -> Frame:
     return replace(frame, order=flipped, sorted=True)
 
 
+def offset(frame: Frame, n: int) -> Frame:
+    """All but the first n rows of the order."""
+    df = frame.df.orderBy(*frame.sort_columns()) if frame.order else frame.df
+    return replace(frame, df=df.offset(n), sorted=frame.sorted or bool(frame.order))
+
+
+def unpack(frame: Frame, form: str, field: str = "_raw", prefix: str = "", options: dict | None = None) -> Frame:
+    """The fields of a format in a text field; texts that aren't of the format give nulls."""
+    from ..lang.ast import Field, Stage
+    from ..plans.build import Builder
+    from ..sources.catalog import Catalog
+    from .parsing import parse_stage
+
+    stage = Stage("parse", {"format": (form, options or {}), "from": Field(field), "into": [], "prefix": prefix, "on_error": "null"})
+    return parse_stage(Builder(Catalog(frame.df.sparkSession)), frame, stage)
+
+
 def appendcols(left: Frame, right: Frame) -> Frame:
     """Rows of both side by side, by their place; missing partners are null."""
-    number = lambda f: F.row_number().over(Window.orderBy(*f.sort_columns()))
-    a = left.df.withColumn("__n", number(left))
-    b = right.df.select(*(col(c) for c in right.columns if c not in left.columns), number(right).alias("__n"))
+    a, b = (numbered(f.df, f.sort_columns() or [F.lit(0)], "__n") for f in (left, right))
+    b = b.select(*(col(c) for c in right.columns if c not in left.columns), "__n")
     df = a.join(b, "__n", "full").drop("__n")
     shown = [c for c in df.columns if not c.startswith(HIDDEN)]
     return left.having(df.select(*map(col, shown), *(col(c) for c in df.columns if c.startswith(HIDDEN))))

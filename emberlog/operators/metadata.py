@@ -15,12 +15,13 @@ def histogram(df: DataFrame, span_us: float, time: str = "_time", by: str | None
     return df.groupBy(*keys).agg(F.count("*").alias("count"))
 
 
-def field_values(df: DataFrame, name: str, limit: int = 100) -> DataFrame:
-    """value, count and percent of the most frequent values of a field."""
+def field_values(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
+    """value, count and percent of a field's values, most frequent first: all of them, or the `limit` first."""
     counts = df.where(col(name).isNotNull()).groupBy(col(name).cast("string").alias("value")).agg(F.count("*").alias("count"))
     total = counts.agg(F.sum("count").alias("total"))
     made = counts.crossJoin(F.broadcast(total)).select("value", "count", F.round(F.col("count") * 100.0 / F.col("total"), 2).alias("percent"))
-    return made.orderBy(F.col("count").desc(), "value").limit(limit)
+    made = made.orderBy(F.col("count").desc(), "value")
+    return made if limit is None else made.limit(limit)
 
 
 def field_catalog(df: DataFrame) -> DataFrame:
@@ -45,9 +46,9 @@ def sample(df: DataFrame, share: float, seed: int = 1) -> DataFrame:
     return df.sample(fraction=share, seed=seed)
 
 
-def last(engine, source: str, span: str = "1h", limit: int = 100) -> DataFrame:
-    """The newest events of the last `span`, in order."""
-    return engine.query(f"from {source}[-{span}] | tail {limit}")
+def last(engine, source: str, span: str = "1h", limit: int | None = None) -> DataFrame:
+    """The events of the last `span`, in order: all of them, or the `limit` newest."""
+    return engine.query(f"from {source}[-{span}]" + (f" | tail {limit}" if limit is not None else ""))
 
 
 def diff(engine, text: str, span: str) -> DataFrame:

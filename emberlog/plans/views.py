@@ -7,12 +7,13 @@ sketch, so a query may also ask for fewer keys, wider time buckets, or any aggre
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import HIDDEN, Frame, col
@@ -22,12 +23,14 @@ from ..lang.desugar import Rewrite, desugar_query, show
 from ..lang.errors import QueryError, did_you_mean
 from ..lang.parser import parse
 from ..lang.unparse import unparse
+from ..staging import delete, shared_root
 
 SKETCH_LG, KLL_K = 14, 200
 PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 #: States that an aggregate needs, and how each begins and merges.
-NEEDS = {"count": ("n",), "sum": ("s", "n"), "avg": ("s", "n"), "min": ("lo",), "max": ("hi",), "range": ("lo", "hi"), "sumsq": ("q", "n"), "stdev": ("n", "s", "q"), "var": ("n", "s", "q"), "stdevp": ("n", "s", "q"), "varp": ("n", "s", "q"), "estdc": ("hll",)} | {p: ("kll",) for p in PERCENTILES}
-BEGIN = {"n": F.count, "s": F.sum, "q": lambda x: F.sum(x.cast("double") * x.cast("double")), "lo": F.min, "hi": F.max, "hll": lambda x: F.hll_sketch_agg(x, F.lit(SKETCH_LG)), "kll": lambda x: F.kll_sketch_agg_double(x.cast("double"), KLL_K)}
+NEEDS = {"count": ("n",), "sum": ("s", "n"), "avg": ("s", "n"), "min": ("lo",), "max": ("hi",), "range": ("lo", "hi"), "sumsq": ("q", "n"), "stdev": ("n", "s", "m2"), "var": ("n", "s", "m2"), "stdevp": ("n", "s", "m2"), "varp": ("n", "s", "m2"), "estdc": ("hll",)} | {p: ("kll",) for p in PERCENTILES}
+#: m2 is the sum of squared distances from the mean.
+BEGIN = {"m2": lambda x: F.var_pop(x.cast("double")) * F.count(x), "n": F.count, "s": F.sum, "q": lambda x: F.sum(x.cast("double") * x.cast("double")), "lo": F.min, "hi": F.max, "hll": lambda x: F.hll_sketch_agg(x, F.lit(SKETCH_LG)), "kll": lambda x: F.kll_sketch_agg_double(x.cast("double"), KLL_K)}
 MERGE = {"n": F.sum, "s": F.sum, "q": F.sum, "lo": F.min, "hi": F.max, "hll": lambda x: F.hll_union_agg(x), "kll": lambda x: F.kll_merge_agg_double(x)}
 ROWS = "rows"
 
@@ -58,22 +61,21 @@ def _final(call: Call) -> Column:
         return F.hll_sketch_estimate(get("hll"))
     if name in PERCENTILES:
         return F.kll_sketch_get_quantile_double(get("kll"), F.lit(PERCENTILES[name]))
-    n, spread = get("n"), F.greatest(F.lit(0.0), get("q") - get("s").cast("double") * get("s") / get("n"))
+    n, spread = get("n"), F.greatest(F.lit(0.0), get("m2"))
     var = F.when(n > 1, spread / (n - 1)) if name in ("stdev", "var") else F.when(n > 0, spread / n)
     return F.sqrt(var) if name.startswith("stdev") else var
 
 
 def shared_folder(spark) -> str:
-    """A new folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/views-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, deleted when the driver's Python ends."""
+    path = f"{shared_root(spark)}/views-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
 
 
 @dataclass
 class View:
-    """status: active or paused; retention in microseconds."""
+    """status: active, paused or rebuilding; retention in microseconds."""
 
     name: str
     text: str
@@ -124,6 +126,8 @@ class Views:
         stages = list(pipeline.stages)
         if stages[-1].name == "materialize":
             view.retention = stages[-1].get("retention", view.retention)
+            if stages[-1].get("partition_by"):
+                raise QueryError("S042", "views aren't partitioned by fields", stages[-1].at, view.text, "leave partition_by out: states are small")
             stages.pop()
         allowed = {"where", "parse", "extend"}
         bad = next((s for s in stages[1:-1] if s.name not in allowed), None)
@@ -173,22 +177,53 @@ class Views:
         source = None
         if batch is not None:
             source = from_dataframe(batch, time="_time" if "_time" in batch.columns else None)
-        self._partial(view, source).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={key or uuid.uuid4().hex}")
+        self._partial(view, source).write.mode("overwrite").parquet(f"{self.root}/{name}/{self._generation(name)}/batch={key or uuid.uuid4().hex}")
+
+    # A view's states lie in the generation that its pointer names; a new one is written whole before the pointer moves,
+    # and the old one goes last, so that a crash leaves one or the other.
+
+    def _generation(self, name: str) -> str:
+        for file in ("_current", "_next"):
+            p, fs = self._path(name, file)
+            if fs.exists(p):
+                jvm, stream = self.engine.spark.sparkContext._jvm, fs.open(p)
+                try:
+                    return str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                finally:
+                    stream.close()
+        return "first"
+
+    def _replace(self, name: str, states: DataFrame) -> None:
+        old, new = self._generation(name), uuid.uuid4().hex
+        states.write.parquet(f"{self.root}/{name}/{new}/batch={new}")
+        after, fs = self._path(name, "_next")
+        out = fs.create(after, True)
+        out.write(bytearray(new.encode()))
+        out.close()
+        now, _ = self._path(name, "_current")
+        fs.delete(now, False)
+        fs.rename(after, now)
+        fs.delete(self._path(name, old)[0], True)
 
     def rebuild(self, name: str) -> None:
-        self.drop_data(name)
-        self.append(name)
+        """The states anew from the source; readers see the old ones until the new ones are whole."""
+        view = self.views[name]
+        before, view.status = view.status, "rebuilding"
+        try:
+            self._replace(name, self._partial(view, None))
+        finally:
+            view.status = before
+
+    def pause(self, name: str) -> None:
+        """No more states and no answers until `resume`."""
+        self.views[name].status = "paused"
+
+    def resume(self, name: str) -> None:
+        self.views[name].status = "active"
 
     def compact(self, name: str) -> None:
         """Merge all batches into one."""
-        merged = self.merged(self.views[name], None)
-        new = uuid.uuid4().hex
-        merged.write.parquet(f"{self.root}/_new-{new}")
-        self.drop_data(name)
-        old, fs = self._path(f"_new-{new}")
-        to, _ = self._path(name, f"batch={new}")
-        fs.mkdirs(to.getParent())
-        fs.rename(old, to)
+        self._replace(name, self.merged(self.views[name], None))
 
     def drop_data(self, name: str) -> None:
         p, fs = self._path(name)
@@ -205,20 +240,20 @@ class Views:
             return
         low = (now or datetime.now(timezone.utc)) - timedelta(microseconds=view.retention)
         kept = self.merged(view, None).where(col("_time") >= F.lit(low.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp"))
-        new = uuid.uuid4().hex
-        kept.write.parquet(f"{self.root}/_new-{new}")
-        self.drop_data(name)
-        old, fs = self._path(f"_new-{new}")
-        to, _ = self._path(name, f"batch={new}")
-        fs.mkdirs(to.getParent())
-        fs.rename(old, to)
+        self._replace(name, kept)
 
     def merged(self, view: View, by: list[tuple[Column, str]] | None) -> DataFrame:
         """The view's states merged by `by` (columns and names), or by its own keys."""
-        df = self.engine.spark.read.parquet(f"{self.root}/{view.name}").drop("batch")
+        df = self.engine.spark.read.parquet(f"{self.root}/{view.name}/{self._generation(view.name)}").drop("batch")
         names = [a.name for a in view.stats.args["by"]]
         keys = [(col(n), n) for n in names] if by is None else by
-        aggs = [MERGE[c.split("|")[0]](col(c)).alias(c) for c in df.columns if "|" in c]
+        aggs = [MERGE[c.split("|")[0]](col(c)).alias(c) for c in df.columns if "|" in c and not c.startswith("m2|")]
+        for i, c in enumerate(c for c in df.columns if c.startswith("m2|")):
+            # Distances of the parts' means from a mean of theirs are small numbers, whose squares cancel nothing.
+            n, s = (col(f"{p}{c[2:]}") for p in ("n", "s"))
+            df = df.withColumn(f"__d{i}", s / n - F.avg(s / n).over(Window.partitionBy(*(k for k, _ in keys))))
+            d = F.col(f"__d{i}")
+            aggs.append((F.sum(col(c)) + F.sum(n * d * d) - F.sum(n * d) * F.sum(n * d) / F.sum(n)).alias(c))
         return df.groupBy(*(k.alias(n) for k, n in keys)).agg(*aggs) if keys else df.agg(*aggs)
 
     def read(self, name: str) -> DataFrame:
@@ -236,8 +271,10 @@ class Views:
         stats = stages[-1]
         prefix = tuple(show(s) for s in stages[:-1])
         for view in self.views.values():
-            if view.status != "active" or view.prefix != prefix:
+            if view.status not in ("active", "rebuilding") or view.prefix != prefix:
                 continue
+            if not self.engine.approximate and any(a.call.name in PERCENTILES for a in stats.args["aggs"]):
+                continue  # a sketch would answer where the engine is exact
             have = set()
             for a in [*view.stats.args["aggs"], Agg(Call("count"), "")]:
                 have |= {_state(a.call, p) for p in NEEDS[a.call.name]}

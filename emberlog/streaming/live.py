@@ -54,6 +54,35 @@ def tail(engine: Engine, text: str, stream: DataFrame, since=None, watermark: st
     return _run(engine, text, stream, False, watermark)
 
 
+def follow(engine: Engine, text: str, past: DataFrame, stream: DataFrame, sink, checkpoint: str, watermark: str = SKEW, **trigger) -> StreamingQuery:
+    """What has been and what comes, in one call: the query's rows over `past` go to `sink` (a function of a frame) once,
+    in the order of time, and then each micro-batch of the stream, without events up to the newest of the past.
+
+    The past's newest time is the cursor.  Events of that very time that come later are told from those that have been
+    shown by their whole row.  `trigger` bounds the micro-batches (processingTime="1 second", availableNow=True).
+    """
+    cursor = past.agg(F.max("_time")).first()[0]
+    edge = past.where(F.col("_time") == F.lit(cursor)) if cursor is not None else past.limit(0)
+    inner = Engine(engine.spark, engine.strict_fields, engine.approximate, engine.fragments)
+    query = desugar_query(parse(text, engine.fragments))
+    check(query)
+
+    def rows(df: DataFrame) -> DataFrame:
+        live = from_dataframe(df, ["_time"])
+        inner.catalog.makers = {**engine.catalog.makers, **{s.name: (lambda: live) for s in query.pipeline.stages[0].args["sources"]}}
+        frame = inner.builder(query).run(Pipeline(query.pipeline.stages))
+        return frame.df.orderBy(*frame.sort_columns()).select(*(F.col(f"`{c}`") for c in frame.columns))
+
+    sink(rows(past))
+    new = stream if cursor is None else stream.where(F.col("_time") >= F.lit(cursor))
+
+    def batch(df: DataFrame, _: int) -> None:
+        fresh = df if cursor is None else df.where(F.col("_time") > F.lit(cursor)).unionByName(df.where(F.col("_time") == F.lit(cursor)).exceptAll(edge))
+        sink(rows(fresh))
+
+    return new.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def windows(engine: Engine, text: str, stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """A query with stats by bin(_time, ...): each bucket's row comes once, when the watermark has passed its end.
 
@@ -100,8 +129,8 @@ def running(stream: DataFrame, key: str, value: str) -> DataFrame:
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total = state.get if state.exists else (0, 0.0)
-        for pdf in batches:
-            pdf = pdf.sort_values("_time", kind="stable")
+        parts = list(batches)  # one key's rows of one micro-batch
+        for pdf in [pd.concat(parts).sort_values("_time", kind="stable").reset_index(drop=True)] if parts else []:
             sums = pdf[value].fillna(0.0).cumsum() + total
             counts = pd.Series(range(n + 1, n + len(pdf) + 1), index=pdf.index)
             yield pd.DataFrame({key: pdf[key], "_time": pdf["_time"], value: pdf[value], "running_count": counts, "running_sum": sums})

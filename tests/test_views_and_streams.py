@@ -99,3 +99,82 @@ def test_streaming_state(spark, tmp_path):
     views.create("from main | stats count() as n by service", "live", backfill=False)
     live.maintain(views, "live", stream, str(tmp_path / "ck")).awaitTermination()
     assert rows(e.query("from main | stats count() as n by service")) == [("s0", 4), ("s1", 4), ("s2", 4)]
+
+
+def test_spread_of_large_values_is_that_without_a_view(spark, tmp_path):
+    df = spark.createDataFrame([(f"2024-01-01T0{i % 4}:00:00Z", 1e9 + i % 2, "x") for i in range(400)], "t string, v double, k string").selectExpr("cast(t as timestamp) _time", "v", "k")
+    text = "from src | stats stdev(v) as sd, varp(v) as vp by k"
+    plain = Engine(spark).source("src", df, time="_time").query(text).first()
+    e = Engine(spark).source("src", df, time="_time")
+    Views(e, str(tmp_path)).create("from src | stats stdev(v) as sd, varp(v) as vp by k, bin(_time, 1h)", "v")
+    found = e.run(text)
+    assert found.query.pipeline.stages[0].name == "viewscan"
+    got = found.df.first()
+    assert abs(got.sd - plain.sd) < 1e-9 and abs(got.vp - 0.25) < 1e-9
+
+
+def test_a_view_keeps_its_states_until_the_new_ones_are_whole(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z", 1), ("2024-01-02T00:00:00Z", 2)], "t string, v long").selectExpr("cast(t as timestamp) _time", "v")
+    e = Engine(spark).source("src", df, time="_time")
+    views = Views(e, str(tmp_path))
+    views.create("from src | stats sum(v) as s by bin(_time, 1d)", "daily")
+    before = sorted(map(tuple, views.read("daily").collect()))
+    path = Views._path
+
+    def broken(self, *parts):
+        if parts[-1] == "_next":
+            raise RuntimeError("lost")
+        return path(self, *parts)
+
+    generation = views._generation("daily")
+    monkeypatch.setattr(views, "_generation", lambda name: generation)
+    monkeypatch.setattr(Views, "_path", broken)
+    with pytest.raises(RuntimeError):
+        views.compact("daily")
+    monkeypatch.undo()
+    assert sorted(map(tuple, views.read("daily").collect())) == before
+    views.append("daily", df)
+    views.compact("daily")
+    assert sorted(r.s for r in views.read("daily").collect()) == [2, 4]
+    views.pause("daily")
+    assert views.match(e.run("from src | stats sum(v) as s by bin(_time, 1d)").query.pipeline.stages) is None
+    views.resume("daily")
+    with pytest.raises(QueryError):
+        views.create('from src | stats sum(v) as s by bin(_time, 1d) | materialize "x" partition_by=v')
+
+
+def test_percentiles_of_an_exact_engine_are_not_answered_by_sketches(spark, tmp_path):
+    df = spark.range(1000).selectExpr("timestamp_seconds(id) _time", "id v")
+    for approximate, first in ((False, "from"), (True, "viewscan")):
+        e = Engine(spark, approximate=approximate).source("src", df, time="_time")
+        Views(e, f"{tmp_path}/{approximate}").create("from src | stats p50(v) as p by bin(_time, 1h)", "p")
+        assert e.run("from src | stats p50(v) as p by bin(_time, 1h)").query.pipeline.stages[0].name == first
+
+
+def test_spans_in_a_circle_are_kept(spark):
+    rows = [(1, "t", "a", "b"), (2, "t", "b", "a"), (3, "t", "c", "c"), (4, "u", "d", "")]
+    df = spark.createDataFrame(rows, "n long, trace_id string, span_id string, parent_id string").selectExpr("timestamp_seconds(n) _time", "*")
+    got = Engine(spark).source("src", df, order=["n"], time="_time").query("from src | trace").collect()
+    assert sorted((r.trace_id, r._span_depth) for r in got) == [("t", 0), ("t", 0), ("t", 1), ("u", 0)]
+
+
+def test_follow_shows_the_past_once_and_then_what_comes(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(t, f"e{t}") for t in x], "n long, _raw string").selectExpr("timestamp_seconds(n) _time", "n", "_raw")
+    past = rows(1, 3, 2)
+    rows(2, 3, 4).write.parquet(f"{tmp_path}/in")
+    shown = []
+    stream = spark.readStream.schema(past.schema).parquet(f"{tmp_path}/in")
+    sink = lambda df: shown.extend(r.n for r in df.collect())
+    live.follow(Engine(spark), "from src | keep n", past, stream, sink, f"{tmp_path}/check").awaitTermination()
+    rows(5).write.mode("append").parquet(f"{tmp_path}/in")
+    live.follow(Engine(spark), "from src | keep n", past, stream, lambda df: shown.extend(-r.n for r in df.collect()), f"{tmp_path}/check").awaitTermination()
+    assert shown == [1, 2, 3, 4, -1, -2, -3, -5]
+
+
+def test_numbers_follow_the_order(spark):
+    from emberlog.staging import numbered
+
+    df = spark.range(5000).selectExpr("cast(id * 7919 % 5000 as int) v", "id % 3 g").repartition(7)
+    got = numbered(df, [df["v"].asc()], "n").collect()
+    assert all(r.n == r.v + 1 for r in got) and len(got) == 5000
+    assert numbered(df.where("v < 0"), [df["v"].asc()], "n").collect() == []
