@@ -6,10 +6,12 @@ A builder gets `Arg`s (column, kind, literal value if there is one) and returns
 from __future__ import annotations
 
 import ipaddress
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -278,12 +280,16 @@ def url_parse(a):
 
 @register("path_normalize", 1)
 def path_normalize(a):
-    out = F.regexp_replace(a.col, r"/+", "/")
-    out = F.regexp_replace(out, r"(/\.)+(?=/|$)", "")
-    for _ in range(4):  # each pass takes the innermost parent steps
-        out = F.regexp_replace(out, r"/(?!\.\.(?:/|$))[^/]+/\.\.(?=/|$)", "")
-    out = F.when(F.length(out) > 1, F.regexp_replace(out, r"/$", "")).otherwise(out)
-    return F.when((out == "") & (a.col != ""), "/").otherwise(out)
+    """Steps of a path one after another: empty ones and `.` go, `..` takes the step before, if there is one."""
+    rooted, none = F.startswith(a.col, F.lit("/")), F.array().cast("array<string>")
+
+    def step(done, p):
+        last = F.try_element_at(done, F.lit(-1))
+        up = F.when(last.isNotNull() & (last != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(rooted, done).otherwise(F.concat(done, F.array(p)))
+        return F.when((p == "") | (p == "."), done).when(p == "..", up).otherwise(F.concat(done, F.array(p)))
+
+    path = F.array_join(F.aggregate(F.split(a.col, "/"), none, step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), path)).when(a.col == "", "").when(path == "", ".").otherwise(path)
 
 
 @register("useragent_parse", 1)
@@ -565,4 +571,110 @@ simple("least", 2, F.least, 99)
 simple("random", 0, F.rand)
 
 
+def _as_json(a) -> Column:
+    """A value as JSON text; text that is a number counts as one."""
+    plain = F.to_json(F.array(a.col), {"ignoreNullFields": "false"})
+    plain = F.substring(plain, 2, F.length(plain) - 2)
+    return F.when(a.col.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?$"), a.col).otherwise(plain) if a.kind == "string" else plain
+
+
+@register("json_object", 0, 99)
+def json_object(*args):
+    """Keys in order; of a repeated key the last value counts."""
+    pairs = {str(need_literal(k, "a key")): v for k, v in zip(args[0::2], args[1::2])}
+    parts = [F.concat(F.lit(json.dumps(k) + ":"), F.coalesce(_as_json(pairs[k]), F.lit("null"))) for k in sorted(pairs)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+@register("json_array", 0, 99)
+def json_array(*args):
+    return F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(_as_json(a), F.lit("null")) for a in args)), F.lit("]"))
+
+
+def _json_path(path) -> str:
+    p = str(need_literal(path, "a path")) if path is not None else ""
+    return p if p.startswith("$") else f"${'' if not p or p.startswith('[') else '.'}{p}"
+
+
+@register("json_type", 1, 2)
+def json_type(a, path=None):
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(a.col), _json_path(path), "variant"))
+    return F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").when(kind.isNotNull(), "number")
+
+
+def _changed(change: Callable) -> Callable:
+    """A vectorised function of JSON texts and arguments; null where a text isn't JSON."""
+
+    def one(body, *args):
+        try:
+            return None if body is None or any(x is None for x in args) else json.dumps(change(json.loads(body), *args), separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, TypeError, IndexError):
+            return None
+
+    @F.pandas_udf("string")
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([one(*row) for row in zip(*columns)], dtype=object)
+
+    return run
+
+
+def _steps(path: str) -> list:
+    return [int(i) if i else name for name, i in re.findall(r"([^.\[\]$]+)|\[(\d+)\]", path)]
+
+
+@register("json_set", 3)
+def json_set(a, path, value):
+    steps = _steps(str(need_literal(path, "a path")))
+
+    def change(body, text):
+        at = body
+        for s, after in zip(steps, steps[1:]):
+            at = at[s] if isinstance(s, int) else at.setdefault(s, [] if isinstance(after, int) else {})
+        at[steps[-1]] = json.loads(text)
+        return body
+
+    return _changed(change)(a.col, F.coalesce(_as_json(value), F.lit("null")))
+
+
+@register("json_remove", 2)
+def json_remove(a, path):
+    steps = _steps(str(need_literal(path, "a path")))
+
+    def change(body):
+        at = body
+        for s in steps[:-1]:
+            at = at[s] if isinstance(s, int) else at.get(s, {})
+        if isinstance(at, dict):
+            at.pop(steps[-1], None)
+        elif isinstance(at, list) and steps[-1] < len(at):
+            del at[steps[-1]]
+        return body
+
+    return _changed(change)(a.col)
+
+
+@register("json_merge", 2)
+def json_merge(a, b):
+    return _changed(lambda x, y: x | json.loads(y))(a.col, b.col)
+
+
+@register("isnum", 1)
+def isnum(a):
+    return a.col.isNotNull() if a.kind in ("int", "float") else F.coalesce(text(a).try_cast("double").isNotNull(), F.lit(False))
+
+
+@register("isint", 1)
+def isint(a):
+    return a.col.isNotNull() if a.kind == "int" else F.coalesce(F.rlike(text(a), F.lit(r"^[-+]?\d+$")) & text(a).try_cast("bigint").isNotNull(), F.lit(False))
+
+
+@register("isbool", 1)
+def isbool(a):
+    return a.col.isNotNull() if a.kind == "bool" else F.lit(False)
+
+
+for _name, _kind, _mark in (("isarray", "array", "["), ("isobject", "object", "{")):
+    register(_name, 1)(lambda a, k=_kind, m=_mark: a.col.isNotNull() if a.kind == k else F.coalesce(F.startswith(F.ltrim(text(a)), F.lit(m)) & F.try_parse_json(text(a)).isNotNull(), F.lit(False)) if a.kind == "string" else F.lit(False))
+
+
 __all__ = ["Arg", "Function", "REGISTRY", "HIGHER", "micros"]

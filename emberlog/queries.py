@@ -171,6 +171,39 @@ q("fn_url", 'from pages | extend u = url_parse(url) | extend scheme = u.scheme,
 q("fn_path", 'from nation | extend a = path_normalize("/a//b/./c/../d/"), b = trim("xxnxx", "x"), c = len(urldecode("%41")), d = flatten([[1, 2], [3]]), e = now() - now() == 0s | keep n_nationkey, a, b, c, d, e', "SELECT n_nationkey, '/a/b/d' AS a, 'n' AS b, 1 AS c, [1, 2, 3] AS d, true AS e FROM nation")
 q("fn_agent", 'from nation | extend u = useragent_parse("Mozilla/5.0 (X11; Linux x86_64) Firefox/115.0") | extend b = u.browser, v = u.version, o = u.os | keep n_nationkey, b, v, o', "SELECT n_nationkey, 'Firefox' AS b, '115.0' AS v, 'Linux' AS o FROM nation")
 
+# Formats, over lines that are made of table columns
+LINE = "from orders | extend k = o_orderkey, c = o_custkey, s = o_orderstatus | extend line = "
+q("parse_kv_options", LINE + r'''printf("id:%d;status:'%s x';n:%d", k, s, c) | parse kv(sep=";", assign=":", quote="'") from line into (id as int, status, n as int) | keep k, id, status, n''', "SELECT o_orderkey AS k, o_orderkey AS id, o_orderstatus || ' x' AS status, o_custkey AS n FROM orders")
+q("parse_clf", LINE + r'printf("192.0.2.%d - ann [01/Mar/2025:08:00:00 +0000] \"POST /c/%d HTTP/2\" 201 -", c % 200, k) | parse clf from line | keep k, client_ip, user, method, uri, protocol, status, bytes', "SELECT o_orderkey AS k, '192.0.2.' || (o_custkey % 200) AS client_ip, 'ann' AS user, 'POST' AS method, '/c/' || o_orderkey AS uri, 'HTTP/2' AS protocol, 201 AS status, NULL AS bytes FROM orders")
+q("parse_syslog", LINE + r'if(k % 2 == 0, printf("<%d>Mar  1 08:00:00 node%d billing[%d]: order %s shipped", k % 192, c % 7, c, s), printf("<%d>1 2025-03-01T08:00:00Z node%d billing %d ID7 - order %s shipped", k % 192, c % 7, c, s)) | parse syslog from line | keep k, priority, facility, severity, hostname, appname, procid, message, format, version', "SELECT o_orderkey AS k, o_orderkey % 192 AS priority, (o_orderkey % 192) // 8 AS facility, o_orderkey % 8 AS severity, 'node' || (o_custkey % 7) AS hostname, 'billing' AS appname, o_custkey::VARCHAR AS procid, 'order ' || o_orderstatus || ' shipped' AS message, CASE WHEN o_orderkey % 2 = 0 THEN 'rfc3164' ELSE 'rfc5424' END AS format, CASE WHEN o_orderkey % 2 = 1 THEN 1 END AS version FROM orders")
+q("parse_nginx_error", LINE + r'printf("2025/03/01 08:00:00 [warn] %d#%d: *%d client sent too large body, client: 192.0.2.9, server: shop, request: \"PUT /o/%d HTTP/1.1\", host: \"shop.example\"", c, c % 5, k, k) | parse nginx_error from line | keep k, severity, pid, tid, cid, message, client, server, method, uri, host', "SELECT o_orderkey AS k, 'warn' AS severity, o_custkey AS pid, o_custkey % 5 AS tid, o_orderkey AS cid, 'client sent too large body' AS message, '192.0.2.9' AS client, 'shop' AS server, 'PUT' AS method, '/o/' || o_orderkey AS uri, 'shop.example' AS host FROM orders")
+q("parse_apache_error", LINE + r'printf("[Sat Mar 01 08:00:00.000001 2025] [proxy:warn] [pid %d:tid %d] [client 192.0.2.7:%d] AH01144: no handler for %s", c, k, 1024 + c % 60000, s) | parse apache_error from line | keep k, module, severity, pid, tid, client_ip, client_port, error_code, message', "SELECT o_orderkey AS k, 'proxy' AS module, 'warn' AS severity, o_custkey AS pid, o_orderkey AS tid, '192.0.2.7' AS client_ip, 1024 + o_custkey % 60000 AS client_port, 'AH01144' AS error_code, 'no handler for ' || o_orderstatus AS message FROM orders")
+q("parse_cef", LINE + r'printf("CEF:0|Acme|Gate|2.1|%d|order %s|5|cs1=%d act=held back dst=192.0.2.1", k, s, c) | parse cef from line | keep k, device_vendor, signature_id, name, severity, cs1, act, dst', "SELECT o_orderkey AS k, 'Acme' AS device_vendor, o_orderkey::VARCHAR AS signature_id, 'order ' || o_orderstatus AS name, '5' AS severity, o_custkey AS cs1, 'held back' AS act, '192.0.2.1' AS dst FROM orders")
+q("parse_leef", LINE + r'printf("LEEF:2.0|Acme|Gate|2.1|%d|;|cust=%d;state=%s x", k, c, s) | parse leef from line into (event_id, cust as int, state) | keep k, event_id, cust, state', "SELECT o_orderkey AS k, o_orderkey::VARCHAR AS event_id, o_custkey AS cust, o_orderstatus || ' x' AS state FROM orders")
+q("parse_docker", LINE + r'printf("{\"log\":\"order %d is %s\",\"stream\":\"stderr\",\"time\":\"2025-03-01T08:00:00Z\"}", k, s) | parse docker from line | keep k, log, stream, time', "SELECT o_orderkey AS k, 'order ' || o_orderkey || ' is ' || o_orderstatus AS log, 'stderr' AS stream, '2025-03-01T08:00:00Z' AS time FROM orders")
+q("parse_redis", LINE + r'printf("%d:S 01 Mar 2025 08:00:00.125 # order %d kept", c, k) | parse redis from line | keep k, pid, role, level, timestamp, message', "SELECT o_orderkey AS k, o_custkey AS pid, 'replica' AS role, 'warning' AS level, '01 Mar 2025 08:00:00.125' AS timestamp, 'order ' || o_orderkey || ' kept' AS message FROM orders")
+q("parse_postgres", LINE + r'printf("2025-03-01 08:00:00.125 UTC [%d] ann@shop LOG:  duration: %d.5 ms  statement: SELECT %d", c, c % 900, k) | parse postgres from line | keep k, pid, user, database, severity, duration_ms, statement', "SELECT o_orderkey AS k, o_custkey AS pid, 'ann' AS user, 'shop' AS database, 'LOG' AS severity, (o_custkey % 900) + 0.5::DOUBLE AS duration_ms, 'SELECT ' || o_orderkey AS statement FROM orders")
+q("parse_mysql_slow", LINE + r'printf("# Time: 2025-03-01T08:00:00.5Z\n# User@Host: ann[ann] @ shop [192.0.2.3]  Id: %d\n# Query_time: %d.25  Lock_time: 0.5  Rows_sent: %d  Rows_examined: %d\nSELECT %d;", k, c % 60, c, k, k) | parse mysql_slow from line | keep k, user, host, client_ip, connection_id, query_time, lock_time, rows_sent, rows_examined, statement', "SELECT o_orderkey AS k, 'ann' AS user, 'shop' AS host, '192.0.2.3' AS client_ip, o_orderkey AS connection_id, (o_custkey % 60) + 0.25::DOUBLE AS query_time, 0.5::DOUBLE AS lock_time, o_custkey AS rows_sent, o_orderkey AS rows_examined, 'SELECT ' || o_orderkey || ';' AS statement FROM orders")
+q("parse_haproxy", LINE + r'printf("192.0.2.8:%d [01/Mar/2025:08:00:00.125] shop~ carts/cart%d 1/2/3/%d/%d 503 %d - - sC-- 4/3/2/1/+1 0/0 \"GET /cart/%d HTTP/1.1\"", 1024 + c % 60000, c % 9, c % 100, c % 100 + 6, c, k) | parse haproxy from line | keep k, client_port, frontend, backend, server, tr, tt, status, bytes, term_state, actconn, method, uri', "SELECT o_orderkey AS k, 1024 + o_custkey % 60000 AS client_port, 'shop~' AS frontend, 'carts' AS backend, 'cart' || (o_custkey % 9) AS server, o_custkey % 100 AS tr, o_custkey % 100 + 6 AS tt, 503 AS status, o_custkey AS bytes, 'sC--' AS term_state, 4 AS actconn, 'GET' AS method, '/cart/' || o_orderkey AS uri FROM orders")
+q("parse_w3c", LINE + r'printf("2025-03-01 08:00:00 GET /o/%d - %d", k, c) | parse w3c("#Fields: date time cs-method cs-uri-stem cs-uri-query time-taken") from line into (cs_method, cs_uri_stem, cs_uri_query, time_taken as int) | keep k, cs_method, cs_uri_stem, cs_uri_query, time_taken', "SELECT o_orderkey AS k, 'GET' AS cs_method, '/o/' || o_orderkey AS cs_uri_stem, NULL AS cs_uri_query, o_custkey AS time_taken FROM orders")
+q("parse_late_fields", r'from events | extend line = if(event_id % 10 == 0, printf("{\"a\": %d.5, \"late\": \"x%d\"}", event_id, event_id), printf("{\"a\": %d}", event_id)) | parse json from line | keep event_id, a, late', "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN event_id + 0.5 ELSE event_id END::DOUBLE AS a, CASE WHEN event_id % 10 = 0 THEN 'x' || event_id END AS late FROM events")
+q("parse_odd_bytes", r'from nation | extend line = "k=1" + urldecode("%01") + "z" + urldecode("%02") + " " + n_name | parse regex r"k=(?<v>\S+) (?<w>\w+)" from line | extend v = md5(v) | keep n_nationkey, v, w', r"SELECT n_nationkey, md5('1' || chr(1) || 'z' || chr(2)) AS v, regexp_extract(n_name, '^\w+', 0) AS w FROM nation")
+
+# More functions
+q("fn_trigonometry", "from part | extend x = p_size / 100.0 | extend a = round(exp(x), 6), b = round(sin(x), 6), c = round(cos(x), 6), d = round(tan(x), 6), e = round(asin(x), 6), f = round(acos(x), 6), g = round(atan(x), 6) | keep p_partkey, a, b, c, d, e, f, g", "SELECT p_partkey, round(exp(p_size / 100.0), 6) AS a, round(sin(p_size / 100.0), 6) AS b, round(cos(p_size / 100.0), 6) AS c, round(tan(p_size / 100.0), 6) AS d, round(asin(p_size / 100.0), 6) AS e, round(acos(p_size / 100.0), 6) AS f, round(atan(p_size / 100.0), 6) AS g FROM part")
+q("fn_trims", 'from customer | extend a = ltrim("  " + c_name + " "), b = rtrim(" " + c_name + "  "), c = ltrim(c_name, "Cus"), d = coalesce(nullif(c_mktsegment, "BUILDING"), "none"), e = extract_all(c_name, r"[1-9]") | keep c_custkey, a, b, c, d, e', "SELECT c_custkey, c_name || ' ' AS a, ' ' || c_name AS b, ltrim(c_name, 'Cus') AS c, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS d, nullif(regexp_extract_all(c_name, '[1-9]'), []) AS e FROM customer")
+q("fn_objects", 'from region | extend a = {id: string(r_regionkey)}, b = {name: r_name}, c = merge(a, b), d = values(c), e = keys(c), f = time_of_day(timestamp("2024-01-02T03:04:05Z")) / 1s | keep r_regionkey, d, e, f', "SELECT r_regionkey, [r_regionkey::VARCHAR, r_name] AS d, ['id', 'name'] AS e, 11045.0 AS f FROM region")
+q("fn_strict", 'from orders | extend a = int!(string(o_custkey)), b = float!("2.5"), c = bool!("true") | keep o_orderkey, a, b, c', "SELECT o_orderkey, o_custkey AS a, 2.5 AS b, true AS c FROM orders")
+q("fn_paths", 'from nation | extend a = path_normalize("/a/b/c/d/e/../../../../.."), b = path_normalize("x/../../y/./z//"), c = path_normalize("/../" + n_name), d = path_normalize("a/..") | keep n_nationkey, a, b, c, d', "SELECT n_nationkey, '/' AS a, '../y/z' AS b, '/' || n_name AS c, '.' AS d FROM nation")
+q("fn_json_former", 'from nation | extend j = json_object("name", n_name, "n", n_nationkey, "s", "7"), t = json_type(j, "n"), u = json_type(j), a = json_array(n_nationkey, n_name, true), x = json_set(j, "o.p", 5), r = json_remove(j, "name"), m = json_merge(j, json_object("n", 0)), v = json_valid(j), p = json_extract(j, "$.s"), l = json_array_length(a) | keep n_nationkey, j, t, u, a, x, r, m, v, p, l', """SELECT n_nationkey, '{"n":' || n_nationkey || ',"name":"' || n_name || '","s":7}' AS j, 'number' AS t, 'object' AS u, '[' || n_nationkey || ',"' || n_name || '",true]' AS a, '{"n":' || n_nationkey || ',"name":"' || n_name || '","s":7,"o":{"p":5}}' AS x, '{"n":' || n_nationkey || ',"s":7}' AS r, '{"n":0,"name":"' || n_name || '","s":7}' AS m, true AS v, '7' AS p, 3 AS l FROM nation""")
+q("fn_former", 'from part | extend w = split(p_name, " "), a = ilike(p_name, "%A%"), b = mvjoin(w, "+"), c = mvcount(mvdedup(mvappend(w, w))), d = greatest(p_size, 10), e = least(p_size, 10), f = isnum(string(p_size)), g = isint("x"), h = isarray(w), i = isobject("{}"), j = isbool(true), k = len(sha512(p_name)) | keep p_partkey, a, b, c, d, e, f, g, h, i, j, k', "SELECT p_partkey, p_name ILIKE '%A%' AS a, replace(p_name, ' ', '+') AS b, len(list_distinct(string_split(p_name, ' '))) AS c, greatest(p_size, 10) AS d, least(p_size, 10) AS e, true AS f, false AS g, true AS h, true AS i, true AS j, 128 AS k FROM part")
+q("stats_null_keys", "from documents | join type=left on doc_id with [from labels] | stats count() as n, max(doc_id) as m by quality", "SELECT quality, count(*) AS n, max(doc_id) AS m FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+q("stats_default_names", "from orders | stats count(), max(o_totalprice), dc(o_custkey) by o_orderstatus", "SELECT o_orderstatus, count(*) AS "count()", max(o_totalprice) AS "max(o_totalprice)", count(DISTINCT o_custkey) AS "dc(o_custkey)" FROM orders GROUP BY 1")
+q("stats_estdc_bounds", "from events | stats estdc(user_id) as e, dc(user_id) as n, estdc_error(user_id) as r by event_type | extend near = abs(e - n) <= 0.05 * n + 1, some = r >= 0 | keep event_type, near, some", "SELECT event_type, true AS near, true AS some FROM events GROUP BY 1")
+q("stats_more_percentiles", "from events | stats p25(value) as a, perc(value, 33) as b by event_type | extend a = round(a, 6), b = round(b, 6)", "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS a, round(quantile_cont(value, 0.33), 6) AS b FROM events GROUP BY 1")
+q("describe_top_values", "from orders | keep o_orderstatus | describe | explode top_values as t | keep field, t", "SELECT 'o_orderstatus' AS field, o_orderstatus || '(' || count(*) || ')' AS t FROM orders GROUP BY o_orderstatus ORDER BY count(*) DESC, o_orderstatus LIMIT 5")
+q("trace_chain", 'from conversations | extend trace_id = string(conv_id), span_id = printf("%d-%d", conv_id, turn), parent_id = printf("%d-%d", conv_id, turn - 1), _time = timestamp(turn), operation = role | trace | keep trace_id, operation, _span_depth, _span_tree', "SELECT conv_id::VARCHAR AS trace_id, role AS operation, d AS _span_depth, CASE WHEN d = 0 THEN role ELSE repeat('    ', (d - 1)::INTEGER) || '└── ' || role END AS _span_tree FROM (SELECT *, turn - min(turn) OVER (PARTITION BY conv_id) AS d FROM conversations)")
+
 # The comparison set of the benchmark
 q("bench_filtered_agg", "from lineitem | where l_quantity >= 25 | stats count() as n, avg(l_extendedprice) as a by l_returnflag | extend a = round(a, 4)", "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS a FROM lineitem WHERE l_quantity >= 25 GROUP BY 1")
 q("bench_group_by", "from lineitem | stats count() as n, sum(l_quantity) as s by l_linestatus, l_returnflag", "SELECT l_linestatus, l_returnflag, count(*) AS n, sum(l_quantity) AS s FROM lineitem GROUP BY 1, 2")
@@ -228,6 +261,15 @@ def view_wider_buckets(spark, sf_dir):
     return viewed(spark, sf_dir, "from events | stats count() as n by bin(_time, 1d)")
 
 
+@call("view_large_values", "SELECT event_type, round(stddev_samp(value), 4) AS d FROM events GROUP BY 1")
+def view_large_values(spark, sf_dir):
+    """A spread of some tens about a thousand million."""
+    e = engine(spark, sf_dir)
+    start = "from events | extend far = value + 1000000000.0 | "
+    Views(e, shared_folder(spark)).create(start + "stats stdev(far) as d by event_type, bin(_time, 1h)", "far")
+    return e.run(start + "stats stdev(far) as d by event_type | extend d = round(d, 4)", NOW).df
+
+
 @call("meta_histogram", f"SELECT {bucket('o_orderdate', 7 * DAY)} AS bucket, o_orderstatus, count(*) AS count FROM orders GROUP BY 1, 2")
 def meta_histogram(spark, sf_dir):
     return metadata.histogram(engine(spark, sf_dir).query("from orders"), 7 * DAY, by="o_orderstatus")
@@ -271,6 +313,23 @@ def old_appendcols(spark, sf_dir):
     return legacy.appendcols(e.run("from nation | keep n_nationkey").frame, e.run("from region | keep r_name").frame).output()
 
 
+@call("old_offset", "SELECT c_custkey FROM customer WHERE c_custkey > (SELECT c_custkey FROM customer ORDER BY 1 LIMIT 1 OFFSET 9)")
+def old_offset(spark, sf_dir):
+    return legacy.offset(engine(spark, sf_dir).run("from customer | keep c_custkey").frame, 10).output()
+
+
+@call("old_unpack", "SELECT event_id, (props->>'$.k')::BIGINT AS \"p.k\" FROM events")
+def old_unpack(spark, sf_dir):
+    f = engine(spark, sf_dir).run("from events | keep event_id, props").frame
+    return legacy.unpack(f, "json", "props", "p.").output().select("event_id", "`p.k`")
+
+
+@call("old_reverse", "SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 3")
+def old_reverse(spark, sf_dir):
+    f = legacy.reverse(engine(spark, sf_dir).run("from nation | keep n_name").frame)
+    return f.df.orderBy(*f.sort_columns()).limit(3).select("n_name")
+
+
 @call("old_pack_json", "SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS packed FROM region")
 def old_pack_json(spark, sf_dir):
     return legacy.pack_json(engine(spark, sf_dir).run("from region").frame, ["r_regionkey", "r_name"], "packed").output().select("r_regionkey", "packed")
