@@ -1,13 +1,16 @@
 """Quality classifier (operator 1): Naive Bayes support vectors.
 
-Indicators of hashed byte n-grams, words, word pairs and shapes of word n-grams (which words repeat) are scaled by their class log-count ratios; a linear hinge-loss
-model is fitted on them by dual coordinate descent and interpolated with its mean weight.  Scores are a logistic
-function of the margin.  The fit takes a bounded sample of labelled rows (`per_class` of each class, those of least
-hash); every row is scored, on its whole text.
+Indicators of hashed n-grams are scaled by their class log-count ratios; a linear hinge-loss model is fitted on them by
+dual coordinate descent and interpolated with its mean weight.  The n-grams are those of bytes, of words, and of words
+told only by which of them are equal ("a b a": patterns of repetition, which hold whatever the words are).  Scores are a
+logistic function of the margin.  The fit takes a bounded sample of labelled rows (`per_class` of each class, those of
+least hash); every row is scored, on its whole text.
 
 Null and empty texts have no feature but the intercept and are scored like any other.  Rows of other labels than 0 and
 1 are not learnt from; of repeated labels of a row the least counts; without both classes every score is the share of
-class 1 (0.5 without labels).  Columns other than the key, the text and the label are not read.
+class 1 (0.5 without labels).  Repeated rows are scored alike; those of a sampled key are all learnt from.  Ties of the
+sample's hash are broken by key.  Texts are looked at one by one, with some 40 times a text's size at hand.  Columns
+other than the key, the text and the label are not read.
 """
 
 from __future__ import annotations
@@ -17,20 +20,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, prepare, word_hashes, words_of
+from .common import by_bytes, flat, mix, prepare, word_hashes, words_of
 
 BITS = 18
-#: Bounds of the classes of the share of words that equal the one before.
-SHARES = (1e-9, 0.02, 0.1, 0.3, 0.6)
+#: Words of an n-gram of repetition at most.
+REPEATS = 6
 ORDERS = (1, 2, 3, 4)
 #: Labelled rows of each class that the fit takes at most.
 PER_CLASS = 1200
 
 
+def repetitions(h: np.ndarray, most: int = REPEATS) -> list[np.ndarray]:
+    """Codes of the word n-grams of 2 to `most` words by which of their words are equal: each word by how far back in
+    the n-gram it stood last, 0 if it didn't."""
+    back = np.zeros(len(h), np.int64)
+    for d in range(min(most, len(h)) - 1, 0, -1):
+        back[d:][h[d:] == h[:-d]] = d
+    out = []
+    for n in range(2, min(most, len(h)) + 1):
+        count = len(h) - n + 1
+        code = np.zeros(count, np.int64)
+        for i in range(n):
+            own = back[i : i + count]
+            code = code * most + np.where(own <= i, own, 0)
+        out.append(np.unique(code) * (most + 1) + n)
+    return out
+
+
 def features(data: np.ndarray, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     """Sorted ids of the n-grams in a text's bytes."""
-    seen = np.zeros(1 << bits, bool)
-    shift = np.uint32(32 - bits)
+    found, shift, top = [], np.uint32(32 - bits), np.uint64(64 - bits)
     wide = data.astype(np.uint32)
     gram = np.zeros(len(data), np.uint32)
     for n in range(1, max(orders) + 1):
@@ -38,18 +57,16 @@ def features(data: np.ndarray, bits: int = BITS, orders: tuple[int, ...] = ORDER
             break
         gram = gram[: len(wide) - n + 1] * np.uint32(257) + wide[n - 1 :] + np.uint32(1)
         if n in orders:
-            seen[(gram * np.uint32(2654435761) ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B) >> shift] = True
+            found.append((gram * np.uint32(2654435761) ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B) >> shift)
     starts, ends, _ = words_of(data, np.array([0, len(data)]))
     h = word_hashes(data, starts, ends)
-    top = np.uint64(64 - bits)
-    seen[h >> top] = True
-    if len(h) > 1:
-        seen[mix(h[:-1] * np.uint64(3) + h[1:]) >> top] = True
-        # Shapes of word n-grams: which of three neighbours are equal, and how large a share equals its neighbour.
-        near, far = h[1:] == h[:-1], h[2:] == h[:-2]
-        shapes = np.unique(near[:-1] + 2 * near[1:] + 4 * far) if len(h) > 2 else np.zeros(0, np.int64)
-        share = 8 + np.searchsorted(SHARES, [near.mean()], "right")
-        seen[mix(np.concatenate([shapes, share]).astype(np.uint64) + np.uint64(1 << 40)) >> top] = True
+    found += [h >> top, mix(h[:-1] * np.uint64(3) + h[1:]) >> top]
+    found += [mix(x.astype(np.uint64) + np.uint64(1 << 40)) >> top for x in repetitions(h)]
+    if sum(map(len, found)) < 1 << 12:
+        return np.unique(np.concatenate([x.astype(np.int64) for x in found]))
+    seen = np.zeros(1 << bits, bool)
+    for x in found:
+        seen[x] = True
     return np.flatnonzero(seen)
 
 
@@ -146,7 +163,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     rows = df.select(df[key].alias("_key"), df[text].cast("string").alias("_text")).join(F.broadcast(ids), "_key")
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             data, off = flat(batch.column(1))
             got = [features(data[off[i] : off[i + 1]]).astype(np.uint32).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(got, pa.binary())], ["k", "y", "ids"])
@@ -165,7 +182,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
 
     def run(batches):
         m = sent.value
-        for batch in batches:
+        for batch in by_bytes(batches, len(keep)):
             data, off = flat(batch.column(len(keep)))
             got = np.array([m.score(data[off[i] : off[i + 1]]) for i in range(batch.num_rows)], float)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(got)], [*keep, out])
