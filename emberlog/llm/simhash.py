@@ -7,8 +7,10 @@ pairs: its members are keyed again by thirds of the other segment, one of which
 Where even such a key has more members, they are keyed by the other segment with one or two wildcards; each of these
 keys, whose members are within two bits of each other by construction, links them to its least one.  No link is lost.
 
-Only distinct fingerprints take part, so copies never make pairs.  Null texts count as empty; a text without words has
-fingerprint zero.  Rows with a null doc_id get a fingerprint and never name a component.
+Only distinct fingerprints take part, so copies and repeated rows never make pairs.  Null texts count as empty; a text
+without words has fingerprint zero.  A bit that half the shingles have is 0.  Rows with a null doc_id get a fingerprint
+and never name a component.  Very long texts are hashed in stretches of 65536 shingles, with some 20 times a text's size
+at hand.  Each aggregate is written before it is joined, so that Spark can split what a hot key has.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare, staged
+from .common import by_bytes, fresh, prepare, staged
 
 SEED = 42
 SHINGLE = 3
@@ -51,7 +53,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     df = df.select(*keep, df[text].cast("string").alias("_text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, len(keep)):
             fp = np.array([fingerprint(t, width) for t in batch.column(len(keep)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(fp)], [*keep, "fp"])
 
@@ -80,7 +82,7 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     # One long names segment, wildcard and the other 31 bits: 1 + 5 + 32 bits.
     key = part.bitwiseAND(F.bitwise_not(_mask(F.col("b")))) + F.col("s") * F.lit(1 << 32).cast("long") + F.col("b") * F.lit(1 << 33).cast("long")
     keyed = keyed.select("fp", key.alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     held = keyed.join(sizes, "key")
     held = staged(held)
     pairs = _verified(held.where(F.col("n") <= dense), ["key"])
@@ -90,7 +92,7 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     thirds = F.array(*(F.shiftrightunsigned(other_half, 11 * j).bitwiseAND(F.lit(2047).cast("long")) for j in range(3)))
     parts = many.select("fp", "key", F.posexplode(thirds).alias("j", "v"))
     counts = parts.groupBy("key", "j", "v").agg(F.count("*").alias("n")).where("n > 1")
-    parts = staged(parts.join(counts, ["key", "j", "v"]))
+    parts = staged(parts.join(staged(counts), ["key", "j", "v"]))
     pairs = pairs.unionByName(_verified(parts.where(F.col("n") <= dense), ["key", "j", "v"]))
     many = parts.where(F.col("n") > dense).select("fp", "key").distinct()
     s = F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(1).cast("long"))
@@ -122,11 +124,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: greater neighbours go to the least of the neighbourhood.
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(staged(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: of what is left, the smaller neighbours and the node itself go to the least.
         down = staged(large.where("a > b"))
         floor = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(floor, "a")
+        joined = down.join(staged(floor), "a")
         edges = staged(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
