@@ -1,8 +1,11 @@
 """Byte-level BPE encoding and decoding (operator 2).
 
 Two tiers: a minimal perfect hash resolves whole pre-tokens that are in the vocabulary; the others are merged with a
-heap over a doubly linked list of bytes.  Results equal those of the tiktoken library on the same ranks and pattern.
-Null texts count as empty and give no ids; empty tables give empty results; other columns are not read.
+heap over a doubly linked list of bytes.  What the two tiers have found is kept in a bounded cache of pre-tokens, as
+words recur; it never changes a result.  Results equal those of the tiktoken library on the same ranks and pattern.
+Null texts count as empty and give no ids; repeated rows give equal results, and nothing depends on ties; empty tables
+give empty results.  Texts are looked at in slices of a few MB; a pre-token of n bytes takes some 200 n bytes while it is
+merged.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import by_bytes, prepare
+
 #: Pre-tokens that one worker remembers before it starts anew; bounds memory, never changes a result.
 MEMO = 400_000
 MEMO_BYTES = 64
@@ -235,14 +240,14 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out:
 
 def digests(df: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep`, n_tokens, ids_sha256 and decoded_sha256 (of the decoded ids) for each row, in one pass."""
-    sent = _encoder(df.sparkSession, vocabulary, pattern)
+    sent = _encoder(prepare(df.sparkSession), vocabulary, pattern)
     df = df.select(*keep, df[text].cast("string").alias("_text"))
     fields = [f for f in df.schema if f.name != "_text"]
 
     def run(batches):
         gc.set_threshold(200_000, 50, 1000)  # the memo holds many tuples and no cycles
         codec = shared_codec(sent.value)
-        for batch in batches:
+        for batch in by_bytes(batches, len(keep)):
             n, sha, back = [], [], []
             for t in batch.column(len(keep)).to_pylist():
                 joined, ids = codec.encode_joined(t or "")
