@@ -106,6 +106,18 @@ def test_bpe_is_what_tiktoken_gives(spark, docs, texts, vocabulary):
     assert all(r.decoded == texts[r.doc_id].encode() and r.ids == theirs.encode_ordinary(texts[r.doc_id]) for r in back)
 
 
+def test_both_splitters_agree(vocabulary):
+    """Each code point that the faster engine may meet, between others of all classes."""
+    import regex
+
+    _, pattern = vocabulary
+    full, fast = regex.compile(pattern).findall, bpe.splitter(pattern)
+    for c in map(chr, range(bpe.PLAIN + 2)):
+        for around in ("", "a", "1", " ", "\n", "!", "'s", "  "):
+            text = f"x{around}{c}{around}{c}{c} y"
+            assert fast(text) == full(text), (ord(c), around)
+
+
 def test_bpe_merges_long_pieces_and_hashes_perfectly(vocabulary):
     import tiktoken
 
@@ -710,6 +722,74 @@ def test_quality_without_both_classes(spark):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.where("quality = 1"))).collect()} == {1.0}
 
 
+def test_patterns_of_repetition_are_told_by_equality():
+    rng = random.Random(20)
+    for _ in range(30):
+        words = [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+        h = np.array([ord(w) for w in words], np.uint64)
+        for n, codes in enumerate(quality.repetitions(h), 2):
+            grams = {tuple(words[i : i + n].index(w) for w in words[i : i + n]) for i in range(len(words) - n + 1)}
+            assert len(grams) == len(codes) and set(codes % (quality.REPEATS + 1)) == {n}
+        other = quality.repetitions(np.array([ord(w) * 7 + 1 for w in words], np.uint64))
+        assert all((x == y).all() for x, y in zip(quality.repetitions(h), other))
+    for n in (10, 3000):
+        data = np.frombuffer(prose(n, rng).encode(), np.uint8)
+        ids = quality.features(data)
+        assert (np.diff(ids) > 0).all() and set(quality.features(data[: len(data) // 2])) - set(ids) <= set(quality.features(data[len(data) // 2 - 40 : len(data) // 2]))
+
+
+def test_dual_coordinate_descent_finds_the_optimum():
+    """Against projected gradient steps on the dual of the same problem, with dense rows."""
+    rng = np.random.default_rng(21)
+    for c in (0.1, 1.0):
+        x = rng.normal(0, 1, (24, 6))
+        y = np.where(x[:, 0] + rng.normal(0, 1, 24) > 0, 1.0, -1.0)
+        w = quality.dual_coordinate_descent([np.arange(6)] * 24, list(x), y, 6, c, epochs=3000, tol=1e-9)
+        wide = np.hstack([x, np.ones((24, 1))]) * y[:, None]
+        alpha, gram = np.zeros(24), wide @ wide.T
+        for _ in range(60_000):
+            alpha = np.clip(alpha + (1 - gram @ alpha) / np.linalg.norm(gram, 2), 0, c)
+        assert np.allclose(w, wide.T @ alpha, atol=1e-3)
+
+
+def test_ftrl_steps_are_those_of_the_formula():
+    """Each coordinate by itself, in plain numbers."""
+    import math
+
+    rng = random.Random(22)
+    m = langid.Ftrl(3, 5, alpha=0.3, beta=0.7, l1=0.02, l2=0.1)
+    z, n = [[0.0] * 3 for _ in range(6)], [[0.0] * 3 for _ in range(6)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= 0.02:
+            return 0.0
+        return -(z[i][k] - math.copysign(0.02, z[i][k])) / ((0.7 + math.sqrt(n[i][k])) / 0.3 + 0.1)
+
+    for _ in range(50):
+        ids = sorted(rng.sample(range(5), 3))
+        values, label = [rng.random() for _ in ids], rng.randrange(3)
+        m.learn(np.array(ids), np.array(values), label)
+        row = [*zip(ids, values), (5, 1.0)]
+        logits = [sum(v * weight(i, k) for i, v in row) for k in range(3)]
+        total = sum(math.exp(x) for x in logits)
+        steps = [(i, k, v * (math.exp(logits[k]) / total - (k == label)), weight(i, k)) for i, v in row for k in range(3)]
+        for i, k, g, w in steps:
+            sigma = (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / 0.3
+            z[i][k] += g - sigma * w
+            n[i][k] += g * g
+    assert np.allclose(m.z, z) and np.allclose(m.n, n) and np.allclose(m.final(), [[weight(i, k) for k in range(3)] for i in range(6)])
+
+
+def test_gram_counts_by_counting():
+    rng = random.Random(23)
+    for n in (0, 5, 9000):
+        text = "".join(rng.choice("abé ") for _ in range(n))
+        ids, counts = langid.gram_counts(text)
+        assert counts.sum() == sum(max(0, n - k) for k in range(3)) and (np.diff(ids) > 0).all()
+        half = langid.gram_counts(text + text)
+        assert set(ids) <= set(half[0])
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(2)
     rows = [np.array([rng.integers(0, 5) if y > 0 else rng.integers(5, 10)]) for y in (1, -1) * 30]
