@@ -198,7 +198,7 @@ q("fn_paths", 'from nation | extend a = path_normalize("/a/b/c/d/e/../../../../.
 q("fn_json_former", 'from nation | extend j = json_object("name", n_name, "n", n_nationkey, "s", "7"), t = json_type(j, "n"), u = json_type(j), a = json_array(n_nationkey, n_name, true), x = json_set(j, "o.p", 5), r = json_remove(j, "name"), m = json_merge(j, json_object("n", 0)), v = json_valid(j), p = json_extract(j, "$.s"), l = json_array_length(a) | keep n_nationkey, j, t, u, a, x, r, m, v, p, l', """SELECT n_nationkey, '{"n":' || n_nationkey || ',"name":"' || n_name || '","s":7}' AS j, 'number' AS t, 'object' AS u, '[' || n_nationkey || ',"' || n_name || '",true]' AS a, '{"n":' || n_nationkey || ',"name":"' || n_name || '","s":7,"o":{"p":5}}' AS x, '{"n":' || n_nationkey || ',"s":7}' AS r, '{"n":0,"name":"' || n_name || '","s":7}' AS m, true AS v, '7' AS p, 3 AS l FROM nation""")
 q("fn_former", 'from part | extend w = split(p_name, " "), a = ilike(p_name, "%A%"), b = mvjoin(w, "+"), c = mvcount(mvdedup(mvappend(w, w))), d = greatest(p_size, 10), e = least(p_size, 10), f = isnum(string(p_size)), g = isint("x"), h = isarray(w), i = isobject("{}"), j = isbool(true), k = len(sha512(p_name)) | keep p_partkey, a, b, c, d, e, f, g, h, i, j, k', "SELECT p_partkey, p_name ILIKE '%A%' AS a, replace(p_name, ' ', '+') AS b, len(list_distinct(string_split(p_name, ' '))) AS c, greatest(p_size, 10) AS d, least(p_size, 10) AS e, true AS f, false AS g, true AS h, true AS i, true AS j, 128 AS k FROM part")
 q("stats_null_keys", "from documents | join type=left on doc_id with [from labels] | stats count() as n, max(doc_id) as m by quality", "SELECT quality, count(*) AS n, max(doc_id) AS m FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
-q("stats_default_names", "from orders | stats count(), max(o_totalprice), dc(o_custkey) by o_orderstatus", "SELECT o_orderstatus, count(*) AS "count()", max(o_totalprice) AS "max(o_totalprice)", count(DISTINCT o_custkey) AS "dc(o_custkey)" FROM orders GROUP BY 1")
+q("stats_default_names", "from orders | stats count(), max(o_totalprice), dc(o_custkey) by o_orderstatus", "SELECT o_orderstatus, count(*) AS \"count()\", max(o_totalprice) AS \"max(o_totalprice)\", count(DISTINCT o_custkey) AS \"dc(o_custkey)\" FROM orders GROUP BY 1")
 q("stats_estdc_bounds", "from events | stats estdc(user_id) as e, dc(user_id) as n, estdc_error(user_id) as r by event_type | extend near = abs(e - n) <= 0.05 * n + 1, some = r >= 0 | keep event_type, near, some", "SELECT event_type, true AS near, true AS some FROM events GROUP BY 1")
 q("stats_more_percentiles", "from events | stats p25(value) as a, perc(value, 33) as b by event_type | extend a = round(a, 6), b = round(b, 6)", "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS a, round(quantile_cont(value, 0.33), 6) AS b FROM events GROUP BY 1")
 q("describe_top_values", "from orders | keep o_orderstatus | describe | explode top_values as t | keep field, t", "SELECT 'o_orderstatus' AS field, o_orderstatus || '(' || count(*) || ')' AS t FROM orders GROUP BY o_orderstatus ORDER BY count(*) DESC, o_orderstatus LIMIT 5")
