@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..frame import Frame, from_dataframe
 from ..functions.scalar import glob_regex
@@ -13,6 +15,29 @@ from ..lang.ast import Source
 from ..lang.errors import QueryError, did_you_mean
 
 
+#: Schemas by path, with the path's time and length when they were read; a changed path is read anew.
+_schemas: dict[str, tuple[tuple, StructType]] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose footers are looked at once, as finding a schema takes a job of its own."""
+    stamp = None
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        stamp = status.getModificationTime(), status.getLen()
+    except Py4JJavaError:  # globs, and stores that can't tell
+        pass
+    if not stamp or not stamp[0]:
+        return spark.read.parquet(path)
+    known = _schemas.get(path)
+    if known and known[0] == stamp:
+        return spark.read.schema(known[1]).parquet(path)
+    df = spark.read.parquet(path)
+    _schemas[path] = stamp, df.schema
+    return df
+
+
 class Catalog:
     """Sources by name; what a name stands for is read when a query uses it."""
 
@@ -33,7 +58,7 @@ class Catalog:
         return self
 
     def add_parquet(self, name: str, path: str, **options) -> Catalog:
-        return self.add(name, lambda: self.spark.read.parquet(path), **options)
+        return self.add(name, lambda: read_parquet(self.spark, path), **options)
 
     def names(self) -> list[str]:
         return sorted(self.makers)
