@@ -147,10 +147,24 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
                 good.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one, two = (told.select(F.col("sid").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
-    good = staged(near.join(one, "a").join(two, "b").select("a", "b", "a_body", "b_body").mapInArrow(similar, "a long, b long"))
-    forget(met, pairs, wanted, heads, bodies, near)
-    return good
+    def checked(pairs: DataFrame) -> DataFrame:
+        one, two = (told.select(F.col("sid").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
+        return staged(pairs.join(one, "a").join(two, "b").select("a", "b", "a_body", "b_body").mapInArrow(similar, "a long, b long"))
+
+    # One pair of each name first: what these connect, as far as four steps tell, needs no more sets to travel.
+    first = staged(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    good = checked(first)
+    up = good.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    for i in range(2):
+        after = up.select(F.col("node").alias(f"n{i}"), F.col("root").alias(f"r{i}"))
+        up = up.join(after, F.col("root") == F.col(f"n{i}"), "left").select("node", F.coalesce(f"r{i}", "root").alias("root"))
+    roots = staged(up)
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    rest = near.join(first, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    rest = staged(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    more = checked(rest)
+    forget(met, pairs, wanted, heads, bodies, near, first, roots, rest)
+    return good.unionByName(more)
 
 
 def _hashed(nodes: DataFrame, df: DataFrame, text: str, key: str) -> DataFrame:

@@ -18,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fresh, prepare, staged
+from .common import by_bytes, forget, fresh, prepare, staged
 
 SEED = 42
 SHINGLE = 3
@@ -91,8 +91,8 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     other_half = F.when(F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(1).cast("long")) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(low))
     thirds = F.array(*(F.shiftrightunsigned(other_half, 11 * j).bitwiseAND(F.lit(2047).cast("long")) for j in range(3)))
     parts = many.select("fp", "key", F.posexplode(thirds).alias("j", "v"))
-    counts = parts.groupBy("key", "j", "v").agg(F.count("*").alias("n")).where("n > 1")
-    parts = staged(parts.join(staged(counts), ["key", "j", "v"]))
+    counts = staged(parts.groupBy("key", "j", "v").agg(F.count("*").alias("n")).where("n > 1"))
+    parts = staged(parts.join(counts, ["key", "j", "v"]))
     pairs = pairs.unionByName(_verified(parts.where(F.col("n") <= dense), ["key", "j", "v"]))
     many = parts.where(F.col("n") > dense).select("fp", "key").distinct()
     s = F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(1).cast("long"))
@@ -109,7 +109,9 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     # Two bits are free, so a group has four members at most.
     least = masked.groupBy("m", "rest").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
     stars = least.select("a", F.explode("all").alias("b")).where(F.col("a") < F.col("b")).distinct()
-    return pairs.unionByName(stars).distinct()
+    found = staged(pairs.unionByName(stars).distinct())
+    forget(sizes, held, counts, parts)
+    return found
 
 
 def _signed(x: int) -> int:
@@ -123,14 +125,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: greater neighbours go to the least of the neighbourhood.
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(staged(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: of what is left, the smaller neighbours and the node itself go to the least.
         down = staged(large.where("a > b"))
-        floor = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(staged(floor), "a")
-        edges = staged(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        floor = staged(down.groupBy("a").agg(F.min("b").alias("m")))
+        joined = down.join(floor, "a")
+        told = Observation()  # what the written edges are is summed up as they are written
+        made = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        new = staged(made.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+        forget(edges, least, down, floor)
+        edges, now = new, told.get
         if now == before:
             break
         before = now
