@@ -46,6 +46,19 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_B
             lo = hi
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts in `column` make up about `most` bytes, and cut where they are more."""
+    held, size = [], 0
+    for batch in by_bytes(batches, column, most):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

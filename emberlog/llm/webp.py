@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, flat, mix, prepare
+from .common import flat, gathered, mix, prepare
 
 ROW = 576
 CODES = (280, 256, 256, 256, 40)  # alphabets of green with lengths, red, blue, alpha, distance
@@ -683,9 +683,11 @@ def copies_of(pixels: np.ndarray, own: np.ndarray, first: np.ndarray) -> list[tu
     for i in range(1, LEAST_COPY):
         key = mix(key) ^ pixels[i : i + n]
     key = mix(key) ^ own[:n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(key, kind="stable")
-    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    place, source = order[again + 1], order[again]
+    # The place in the low bits makes keys unlike, so that a plain sort keeps equal ones in order of place.
+    low = np.uint64((1 << n.bit_length()) - 1)
+    key = np.sort((mix(key) & ~low) | np.arange(n, dtype=np.uint64))
+    again = np.flatnonzero((key[1:] ^ key[:-1]) <= low)
+    place, source = (key[again + 1] & low).astype(np.int64), (key[again] & low).astype(np.int64)
     inside = (own[place] == own[source]) & (place + LEAST_COPY <= first[own[place] + 1])
     for i in range(LEAST_COPY):
         inside &= pixels[place + i] == pixels[source + i]
@@ -737,30 +739,39 @@ def pack_many(images: list[np.ndarray]) -> list[bytes]:
     np.add.at(covered, starts + lengths, -1)
     literal = np.cumsum(covered[:-1]) == 0
     slot = (pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - CACHE_BITS)
-    order = np.argsort(own.astype(np.int64) << CACHE_BITS | slot, kind="stable")
+    bits = np.uint64(len(pixels).bit_length())
+    order = np.sort((own.astype(np.uint64) << np.uint64(CACHE_BITS) | slot) << bits | np.arange(len(pixels), dtype=np.uint64))
+    order = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     hit = np.zeros(len(pixels), bool)
     hit[order[1:]] = (pixels[order[1:]] == pixels[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
     hit &= literal
-    # The cheapest coding of each image.
+    # The cheapest coding of each image, by the bits of its literals and cached pixels.
     every, per = codings(), np.zeros((len(codings()), len(left)))
     fields = samples[:, (2, 1, 3, 0)]  # green, red, blue, alpha
+    whole = literal & ~hit
+    cached = np.bincount(own[hit], minlength=len(left))
     for k, coding in enumerate(every):
-        cost = sum(coding.sizes[c][fields[:, c]] for c in range(4))
-        cost = np.where(hit, coding.sizes[0][np.minimum(280 + slot, len(coding.sizes[0]) - 1)], cost) if coding.cache else cost
-        per[k] = np.bincount(own, np.where(literal, cost, 0), len(left)) + coding.head[1]
+        if k % 2 == 0:
+            cost = sum(coding.sizes[c].astype(np.uint8)[fields[:, c]] for c in range(4))
+            alone, again = (np.bincount(own[some], cost[some], len(left)) for some in (whole, hit))
+        per[k] = alone + coding.head[1] + (cached * int(coding.sizes[0][-1]) if coding.cache else again)
     best = per.argmin(0)
+    kind = best.astype(np.int64)[own]
+    hit &= kind % 2 == 1
+    whole = literal & ~hit
+    value, count = np.zeros((len(pixels), 4), np.uint64), np.zeros((len(pixels), 4), np.int64)
+    for c in range(4):
+        at = kind[whole] * 256 + fields[whole, c]
+        value[whole, c] = np.concatenate([x.bits[c][:256] for x in every])[at]
+        count[whole, c] = np.concatenate([x.sizes[c][:256] for x in every])[at]
+    for k in np.unique(best[np.unique(own[hit])]).tolist():
+        some = hit & (kind == k)
+        value[some, 0], count[some, 0] = every[k].bits[0][280 + slot[some]], every[k].sizes[0][280 + slot[some]]
     near = {144 * y + x: i for i, (x, y) in reversed([*enumerate(NEAR, 1)])}
     files = []
     copy_at = np.searchsorted(starts, first)
     for i in range(len(left)):
         coding, lo, hi = every[best[i]], first[i], first[i + 1]
-        value, n = np.zeros((hi - lo, 4), np.uint64), np.zeros((hi - lo, 4), np.int64)
-        cached = hit[lo:hi] & coding.cache
-        whole = literal[lo:hi] & ~cached
-        for c in range(4):
-            value[whole, c], n[whole, c] = coding.bits[c][fields[lo:hi, c][whole]], coding.sizes[c][fields[lo:hi, c][whole]]
-        if coding.cache:
-            value[cached, 0], n[cached, 0] = coding.bits[0][280 + slot[lo:hi][cached]], coding.sizes[0][280 + slot[lo:hi][cached]]
         width = left[i].shape[1]
         for j in range(copy_at[i], copy_at[i + 1]):
             d = int(distances[j])
@@ -768,8 +779,8 @@ def pack_many(images: list[np.ndarray]) -> list[bytes]:
             for c, code, offset, x in ((0, 0, 256, int(lengths[j])), (1, 4, 0, d)):
                 symbol, extra, more = _prefixed(x)
                 size = int(coding.sizes[code][offset + symbol])
-                value[starts[j] - lo, c], n[starts[j] - lo, c] = int(coding.bits[code][offset + symbol]) | extra << size, size + more
-        files.append(contained(_stream(heads[i], coding.head, value.ravel(), n.ravel())))
+                value[starts[j], c], count[starts[j], c] = int(coding.bits[code][offset + symbol]) | extra << size, size + more
+        files.append(contained(_stream(heads[i], coding.head, value[lo:hi].ravel(), count[lo:hi].ravel())))
     return files
 
 
@@ -849,12 +860,12 @@ def _pixels(jobs: list[tuple], table: np.ndarray) -> list[np.ndarray]:
     to = np.concatenate([[0], np.cumsum(total)])
     out = np.zeros(int(to[-1]), np.uint32)
     base = np.cumsum([0, *(len(j[1]) for j in jobs)])
-    raw = np.frombuffer(b"".join([*(j[1] for j in jobs), b"\0" * 8]), np.uint8).astype(np.uint32)
-    window = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    raw = b"".join([*(j[1] for j in jobs), b"\0" * 16])
+    window = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the 8 bytes from each byte on
     place = base[:-1] * 8 + np.array([j[2] for j in jobs])
     end = base[1:] * 8
     start = [np.array([j[7][c][0] for j in jobs]) for c in range(5)]
-    mask = [np.array([j[7][c][1] for j in jobs], np.uint32) for c in range(5)]
+    mask = [np.array([j[7][c][1] for j in jobs], np.uint64) for c in range(5)]
     cache_bits = np.array([j[6] for j in jobs])
     slots = np.where(cache_bits > 0, 1 << cache_bits, 1)
     cache_at, cache = np.cumsum(slots) - slots, np.zeros(int(slots.sum()), np.uint32)
@@ -864,32 +875,52 @@ def _pixels(jobs: list[tuple], table: np.ndarray) -> list[np.ndarray]:
 
     def peek(i):
         p = place[i]
-        return window[p >> 3] >> (p & 7).astype(np.uint32)
+        return window[p >> 3] >> (p & 7).astype(np.uint64)
+
+    def look(w, i, c):
+        """Symbol and length of the code that the bits w begin with."""
+        return table[start[c][i] + (w & mask[c][i]).astype(np.int64)]
 
     def read(i, c):
-        got = table[start[c][i] + (peek(i) & mask[c][i])]
+        got = look(peek(i), i, c)
         place[i] += got >> 16
         return got & 0xFFFF
 
+    # A window has 57 bits from any place on: enough for the four codes of a pixel, unless they are all very long.
+    once = sum(int(m.max()).bit_length() for m in mask[:4]) <= 57
+
     def number(i, symbol):
         """A length or distance from its prefix symbol and extra bits."""
         more = np.maximum(symbol - 2 >> 1, 0)
-        extra = (peek(i) & ((np.uint32(1) << more.astype(np.uint32)) - np.uint32(1))).astype(np.int64)
+        extra = (peek(i) & ((np.uint64(1) << more.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
         place[i] += more
         return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << more) + extra + 1)
 
     active = np.arange(n)
     steps = 0
     while len(active):
-        s = read(active, 0)
+        w = peek(active)
+        got = look(w, active, 0)
+        s, used = got & 0xFFFF, got >> 16
         plain = s < 256
         if plain.all():
             some, g = active, s
         else:
-            some, g = active[plain], s[plain]
+            place[active[~plain]] += used[~plain]
+            some, g, w, used = active[plain], s[plain], w[plain], used[plain]
         if len(some):
-            p = (read(some, 1) << 16 | g << 8 | read(some, 2)).astype(np.uint32)
-            p |= read(some, 3).astype(np.uint32) << np.uint32(24)
+            p = g << 8
+            for c, to_bit in ((1, 16), (2, 0), (3, 24)):
+                if once:
+                    rest = w >> used.astype(np.uint64)
+                else:
+                    q = place[some] + used
+                    rest = window[q >> 3] >> (q & 7).astype(np.uint64)
+                got = look(rest, some, c)
+                p |= (got & 0xFFFF) << to_bit
+                used = used + (got >> 16)
+            place[some] += used
+            p = p.astype(np.uint32)
             out[at[some]] = p
             at[some] += 1
             if keeps:
@@ -945,7 +976,7 @@ def media(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     names = [*keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media"] if stored else [])]
 
     def run(batches):
-        for batch in by_bytes(batches, len(keep), group_bytes):
+        for batch in gathered(batches, len(keep), group_bytes):
             data, off = flat(batch.column(len(keep)))
             sizes = np.diff(off).tolist()
             images, count = [], []
