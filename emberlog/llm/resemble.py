@@ -9,7 +9,7 @@ by hash; it steers cost only.  Pairs that share a key are held against exact bou
 bits of the sets), and what is left is verified on the whole sets.
 
 Keys of more than DENSE sets aren't paired at once: their members are compared with one leader a key, and again with a
-leader from outside the key's largest component; what then is outside is compared with all members.  Members of one
+leader from outside the key's largest connected part; what then is outside is compared with all members.  Members of one
 component need no pair.  Only distinct sets take part, and no link between two components is lost.  Sets are told by
 64-bit digests.
 
@@ -23,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import by_bytes, flat, forget, mix, prepare, shingles, staged, word_hashes, words_of
@@ -122,10 +122,12 @@ def _apart(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
 
 def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
     """Of the pairs (a, b) of names, those whose whole sets have a similarity of at least 0.8."""
-    met = staged(pairs.distinct())
-    pairs = staged(_apart(met, nodes, QUARTERS))
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    heads = staged(nodes.join(wanted, "sid").select(F.col("head").alias("id")).distinct())
+    pairs = staged(_apart(pairs.distinct(), nodes, QUARTERS))
+    if pairs.isEmpty():
+        return pairs
+    wanted = Observation()
+    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().observe(wanted, F.count("*").alias("n"))
+    heads = staged(nodes.join(sids, "sid").select(F.col("head").alias("id")).distinct())
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(heads, "id", "left_semi")
 
     def whole(batches):
@@ -134,8 +136,9 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
             wide = pa.array([parity(x, WIDE).tolist() for x in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), wide, pa.array([x.tobytes() for x in found], pa.binary())], ["sid", "n", "wide", "body"])
 
-    bodies = staged(rows.mapInArrow(whole, "sid long, n int, wide array<long>, body binary"))
-    told = bodies.dropDuplicates(["sid"]) if bodies.count() > wanted.count() else bodies  # repeated rows of one key
+    had = Observation()
+    bodies = staged(rows.mapInArrow(whole, "sid long, n int, wide array<long>, body binary").observe(had, F.count("*").alias("n")))
+    told = bodies.dropDuplicates(["sid"]) if had.get["n"] > wanted.get["n"] else bodies  # repeated rows of one key
     near = staged(_apart(pairs, told, ["wide"]))  # wide parities leave few pairs whose sets must meet
 
     def similar(batches):
@@ -151,22 +154,28 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
         one, two = (told.select(F.col("sid").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
         return staged(pairs.join(one, "a").join(two, "b").select("a", "b", "a_body", "b_body").mapInArrow(similar, "a long, b long"))
 
-    # One pair of each name first: what these connect, as far as four steps tell, needs no more sets to travel.
-    first = staged(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # One pair of each name first: what these connect needs no more sets to travel.
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     good = checked(first)
-    up = good.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    for i in range(2):
-        after = up.select(F.col("node").alias(f"n{i}"), F.col("root").alias(f"r{i}"))
-        up = up.join(after, F.col("root") == F.col(f"n{i}"), "left").select("node", F.coalesce(f"r{i}", "root").alias("root"))
-    roots = staged(up)
+    roots = staged(_upward(good))
     one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
     rest = near.join(first, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
-    rest = staged(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-    more = checked(rest)
-    forget(met, pairs, wanted, heads, bodies, near, first, roots, rest)
+    more = checked(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    forget(pairs, heads, bodies, near, roots)
     return good.unionByName(more)
 
 
+def _upward(edges: DataFrame, jumps: int = 2) -> DataFrame:
+    """`node` and a `root` that it reaches by going to the least neighbour, 2^jumps times: a part of its component, which
+    is all of it where edges point to few leaders."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    up = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"))
+    for i in range(jumps):
+        after = up.select(F.col("node").alias(f"n{i}"), F.col("root").alias(f"r{i}"))
+        up = up.join(after, F.col("root") == F.col(f"n{i}"), "left").select("node", F.coalesce(f"r{i}", "root").alias("root"))
+    return up
+
+
 def _hashed(nodes: DataFrame, df: DataFrame, text: str, key: str) -> DataFrame:
     """Verified pairs among sets of equal fingerprints and of fingerprints that SimHash links."""
     reps = staged(nodes.groupBy("fp").agg(F.min("sid").alias("rep")))
@@ -194,9 +203,8 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", dense
     forget(rows, marks, shared)
     edges = _hashed(nodes, df, text, key)
     sized = held.join(nodes.select("sid", "n"), "sid")
-    found = staged(components(edges))
-    members = _rooted(sized, found)
-    forget(held, found)
+    members = _rooted(sized, _upward(edges))
+    forget(held)
     thin = members.where(F.col("c") <= dense)
     edges = edges.unionByName(_verified(_pairs(thin, thin, (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))), df, nodes, text, key))
     many = staged(members.where(F.col("c") > dense).drop("c"))
@@ -208,16 +216,16 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", dense
             edges = edges.unionByName(_verified(_pairs(members, firsts, F.col("x.root") != F.col("y.root")), df, nodes, text, key))
             if i == LEADERS:
                 break
-            found, before = staged(components(edges)), members
-            members = _rooted(before, found)
-            forget(before, found)
+            before = members
+            members = _rooted(before, _upward(edges, 3))
+            forget(before)
             sizes = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
-            outside = staged(members.join(staged(sizes), "key").where("root <> most").drop("most"))
+            outside = staged(members.join(sizes, "key").where("root <> most").drop("most"))
             if outside.isEmpty():
                 break
             # The last turn compares all that is outside.
-            leaders = staged(outside.groupBy("key").agg(F.min_by("sid", F.xxhash64("sid", F.lit(i))).alias("now")))
-            firsts = outside if i == LEADERS - 1 else staged(outside.join(leaders, "key").where("sid = now").drop("now"))
+            leaders = outside.groupBy("key").agg(F.min_by("sid", F.xxhash64("sid", F.lit(i))).alias("now"))
+            firsts = outside if i == LEADERS - 1 else outside.join(leaders, "key").where("sid = now").drop("now")
     found = components(edges)
     linked = staged(found.join(nodes, found["node"] == nodes["sid"]).select("sid", "root", "head"))
     named = staged(linked.groupBy("root").agg(F.min("head").alias("component")))
