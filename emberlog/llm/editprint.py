@@ -192,12 +192,14 @@ def search(queries: DataFrame, rows: DataFrame, least: float = 0.8, bands: int =
             bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(-1, BITS // 8), axis=1)
             values = np.stack([bits[:, p].astype(np.int64) @ weight for p in places], 1) * bands + np.arange(bands)
             take = np.repeat(np.arange(len(prints)), bands)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), pa.array(values.ravel())], ["fingerprint", "band"])
-
-    one = staged(queries.select("fingerprint").where("fingerprint is not null").distinct())
-    two = staged(rows.select("fingerprint").where("fingerprint is not null").distinct())
-    asked = staged(one.mapInArrow(banded, "fingerprint string, band long").withColumnRenamed("fingerprint", "query"))
-    met = asked.join(two.mapInArrow(banded, "fingerprint string, band long"), "band").select("query", "fingerprint").distinct()
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(take)), pa.array(values.ravel())], ["id", "band"])
+
+    # Only a number of each fingerprint travels with its bands; should two have one number, both are verified.
+    named = lambda df: staged(df.select("fingerprint").where("fingerprint is not null").distinct().withColumn("id", F.xxhash64("fingerprint")))
+    one, two = named(queries), named(rows)
+    asked = staged(one.mapInArrow(banded, "id long, band long").select(F.col("id").alias("qid"), "band"))
+    met = staged(asked.join(two.mapInArrow(banded, "id long, band long"), "band").select("qid", "id").distinct())
+    met = met.join(one.select(F.col("fingerprint").alias("query"), F.col("id").alias("qid")), "qid").join(two, "id").select("query", "fingerprint")
     part = lambda c, i: F.conv(F.substring(c, 16 * i + 1, 16), 16, -10).cast("long")
     apart = sum((F.bit_count(part("query", i).bitwiseXOR(part("fingerprint", i))) for i in range(BITS // 64)), F.lit(0))
     likeness = F.greatest(F.lit(0.0), 1 - 2 * apart / F.lit(float(BITS)))
