@@ -198,7 +198,8 @@ def search(queries: DataFrame, rows: DataFrame, least: float = 0.8, bands: int =
     named = lambda df: staged(df.select("fingerprint").where("fingerprint is not null").distinct().withColumn("id", F.xxhash64("fingerprint")))
     one, two = named(queries), named(rows)
     asked = staged(one.mapInArrow(banded, "id long, band long").select(F.col("id").alias("qid"), "band"))
-    met = staged(asked.join(two.mapInArrow(banded, "id long, band long"), "band").select("qid", "id").distinct())
+    # The queries' bands grow with the input, so they are dealt out at every size and never broadcast.
+    met = staged(asked.hint("merge").join(two.mapInArrow(banded, "id long, band long"), "band").select("qid", "id").distinct())
     met = met.join(one.select(F.col("fingerprint").alias("query"), F.col("id").alias("qid")), "qid").join(two, "id").select("query", "fingerprint")
     part = lambda c, i: F.conv(F.substring(c, 16 * i + 1, 16), 16, -10).cast("long")
     apart = sum((F.bit_count(part("query", i).bitwiseXOR(part("fingerprint", i))) for i in range(BITS // 64)), F.lit(0))
