@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, digests, flat, mix, prepare, sliding_min, window_hashes, word_hashes, words_of
-from .repeats import SEGMENT, earlier, settle
+from .repeats import SEGMENT, earlier, settle, told_apart
 
 WIDTH = 50
 RUN = 4  # words of a run that gets a name
@@ -116,42 +116,41 @@ def dedup_words(df: DataFrame, text: str = "text", key: str = "doc_id", with_tex
     """
     prepare(df.sparkSession)
     kind = dict(df.dtypes)[key]
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("row"), F.col(text).cast("string").alias("text"))
+    rows = told_apart(df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("row"), F.col(text).cast("string").alias("text")))
 
     def segments(batches):
-        for batch in by_bytes(batches, 1):
-            words = Words(batch, 1)
+        for batch in by_bytes(batches, 2):
+            words = Words(batch, 2)
             t, at, n, k = segments_of(words.names(), words.first)
             c1, c2 = words.digests(at, n + WIDTH - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[t]), pa.array(at - words.first[t], pa.int32()), pa.array(n, pa.int32()), pa.array((k >> np.uint64(64 - sieve)).view(np.int64)), pa.array(c1), pa.array(c2)], ["row", "at", "n", "key", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(c).to_numpy()[t]) for c in (0, 1)), pa.array(at - words.first[t], pa.int32()), pa.array(n, pa.int32()), pa.array((k >> np.uint64(64 - sieve)).view(np.int64)), pa.array(c1), pa.array(c2)], ["row", "v", "at", "n", "key", "c1", "c2"])
 
     copies, rest = settle(rows.mapInArrow(segments, SEGMENT), within=False)
     # Each text's open stretches of windows; a text has no more of them than words.
-    stretches = rest.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    stretches = rest.groupBy("row", "v").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def windows(batches):
-        for batch in by_bytes(batches, 1):
-            words = Words(batch, 1)
-            count = np.diff(words.first)
+        for batch in by_bytes(batches, 2):
+            words = Words(batch, 2)
             places = []
-            for i, own in enumerate(batch.column(2)):
+            for i, own in enumerate(batch.column(3)):
                 lo, n = (own.values.field(c).to_numpy().astype(np.int64) for c in ("at", "n"))
                 at = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                places.append(at[at + WIDTH <= count[i]])  # rows of one id may differ in length
+                places.append(at)
             text, at = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate([*places, np.zeros(0, np.int64)])
             c1, c2 = words.digests(words.first[text] + at, np.full(len(at), WIDTH))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[text]), pa.array(at, pa.int32()), pa.array(c1), pa.array(c2)], ["row", "at", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(c).to_numpy()[text]) for c in (0, 1)), pa.array(at, pa.int32()), pa.array(c1), pa.array(c2)], ["row", "v", "at", "c1", "c2"])
 
-    single = earlier(rows.join(stretches, "row").select("row", "text", "spans").mapInArrow(windows, "row long, at int, c1 long, c2 long"))
-    gone = copies.unionByName(single.select("row", "at", F.lit(1).alias("n")))
-    gone = gone.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    single = earlier(rows.join(stretches, ["row", "v"]).select("row", "v", "text", "spans").mapInArrow(windows, "row long, v long, at int, c1 long, c2 long"))
+    gone = copies.unionByName(single.select("row", "v", "at", F.lit(1).alias("n")))
+    gone = gone.groupBy("row", "v").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def removed(batches):
-        for batch in by_bytes(batches, 1):
-            words = Words(batch, 1)
+        for batch in by_bytes(batches, 2):
+            words = Words(batch, 2)
             body = words.data.tobytes()
             out: list[list] = [[] for _ in range(4)]
-            for i, own in enumerate(batch.column(2)):
+            for i, own in enumerate(batch.column(3)):
                 a, b = words.first[i], words.first[i + 1]
                 n = int(b - a)
                 cover = np.zeros(n + 1, np.int64)
@@ -166,5 +165,5 @@ def dedup_words(df: DataFrame, text: str = "text", key: str = "doc_id", with_tex
             arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[3], pa.string())] * with_text, ["row", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
-    final = rows.join(gone, "row", "left").select("row", "text", "spans").mapInArrow(removed, "row long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    final = rows.join(gone, ["row", "v"], "left").select("row", "v", "text", "spans").mapInArrow(removed, "row long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
     return final.select(F.nullif("row", F.lit(NULL_ID)).cast(kind).alias(key), *final.columns[1:])

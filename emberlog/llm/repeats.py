@@ -23,12 +23,22 @@ from pyspark.sql import functions as F
 
 from .common import forget, staged
 
-#: Rows of segments: row (number of the text), at (first window), n (windows), key, and the content's digest.
-SEGMENT = "row long, at int, n int, key long, c1 long, c2 long"
+#: Rows of segments: row and v (which text), at (first window), n (windows), key, and the content's digest.
+SEGMENT = "row long, v long, at int, n int, key long, c1 long, c2 long"
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """Rows (row, text) as (row, v, text): v is 0, or names the text where rows of one id have several, so that what is
+    found in one of them isn't taken from another."""
+    named = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = staged(rows.groupBy("row").agg(F.min(named).alias("a"), F.max(named).alias("z")).where("a < z").select("row", F.lit(True).alias("several")))
+    if several.isEmpty():
+        return rows.select("row", F.lit(0).cast("long").alias("v"), "text")
+    return rows.join(several, "row", "left").select("row", F.when(F.col("several"), named).otherwise(F.lit(0).cast("long")).alias("v"), "text")
 
 
 def settle(segments: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
-    """(copies, open): segments (row, at, n) all of whose windows have an earlier copy, and those (row, at, n, key,
+    """(copies, open): segments (row, v, at, n) all of whose windows have an earlier copy, and those (row, v, at, n, key,
     several) that must be looked at by window.
 
     within: whether an earlier place of the same text counts as earlier.
@@ -39,15 +49,15 @@ def settle(segments: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
     held = staged(segments.join(shared, "key"))
     first = staged(held.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.min("key").alias("key")))
     kinds = staged(first.groupBy("key").agg(F.count("*").alias("several")).where("several > 1"))
-    told = staged(held.join(first.drop("key"), ["c1", "c2"]).select("row", "at", "n", "key", (place > F.col("first")).alias("copy")))
+    told = staged(held.join(first.drop("key"), ["c1", "c2"]).select("row", "v", "at", "n", "key", (place > F.col("first")).alias("copy")))
     # A text's later segments of its own first content stay open only if they can't be copies (place equal to first).
-    rest = staged(told.where(~F.col("copy")).join(kinds, "key").select("row", "at", "n", "key", "several"))
+    rest = staged(told.where(~F.col("copy")).join(kinds, "key").select("row", "v", "at", "n", "key", "several"))
     forget(shared, held, first, kinds)
-    return told.where("copy").select("row", "at", "n"), rest
+    return told.where("copy").select("row", "v", "at", "n"), rest
 
 
 def earlier(windows: DataFrame) -> DataFrame:
-    """(row, at) of the windows (row, at, c1, c2) of which an earlier row has an equal one."""
+    """(row, v, at) of the windows (row, v, at, c1, c2) of which an earlier row has an equal one."""
     windows = staged(windows)
     first = staged(windows.groupBy("c1", "c2").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").drop("last"))
-    return windows.join(first, ["c1", "c2"]).where("row > first").select("row", "at")
+    return windows.join(first, ["c1", "c2"]).where("row > first").select("row", "v", "at")

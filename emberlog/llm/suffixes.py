@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_VALUE, by_bytes, digests, flat, mix, prepare, sliding_min, staged, window_hashes
-from .repeats import SEGMENT, earlier, settle
+from .repeats import SEGMENT, earlier, settle, told_apart
 
 WIDTH, GRAM = 100, 32
 #: Distinct segments that a bucket holds, about.
@@ -98,7 +98,7 @@ def factors_of(parts: list[bytes], row: np.ndarray, at: np.ndarray) -> tuple[np.
     return own, inside, longest_previous_factors(order, lcp, place)
 
 
-PART = "b int, row long, at int, again boolean, part binary"
+PART = "b int, row long, v long, at int, again boolean, part binary"
 
 
 def copied(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +108,7 @@ def copied(pdf: pd.DataFrame) -> pd.DataFrame:
     gone = factors >= WIDTH
     told = np.flatnonzero(gone | again[own])
     left = [None if g else parts[p][i : i + WIDTH] for g, p, i in zip(gone[told].tolist(), own[told].tolist(), inside[told].tolist())]
-    return pd.DataFrame({"row": pdf["row"].to_numpy()[own[told]], "at": (pdf["at"].to_numpy()[own[told]] + inside[told]).astype(np.int32), "part": pd.Series(left, dtype=object)})
+    return pd.DataFrame({"row": pdf["row"].to_numpy()[own[told]], "v": pdf["v"].to_numpy()[own[told]], "at": (pdf["at"].to_numpy()[own[told]] + inside[told]).astype(np.int32), "part": pd.Series(left, dtype=object)})
 
 
 def dedup_bytes(df: DataFrame, text: str = "text", key: str = "doc_id", with_bytes: bool = False, bucket: int = BUCKET, sieve: int = 64) -> DataFrame:
@@ -118,12 +118,12 @@ def dedup_bytes(df: DataFrame, text: str = "text", key: str = "doc_id", with_byt
     """
     prepare(df.sparkSession)
     kind = dict(df.dtypes)[key]
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("row"), F.col(text).cast("string").alias("text"))
+    rows = told_apart(df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("row"), F.col(text).cast("string").alias("text")))
 
     def segments(batches):
-        for batch in by_bytes(batches, 1):
-            data, off = flat(batch.column(1))
-            ids, out = batch.column(0).to_numpy(), [[] for _ in range(4)]
+        for batch in by_bytes(batches, 2):
+            data, off = flat(batch.column(2))
+            ids, variant, out = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [[] for _ in range(4)]
             for i in range(batch.num_rows):
                 for lo in range(off[i], off[i + 1] - WIDTH + 1, PIECE):  # windows that start in a piece
                     at, n, k = segments_of(data[lo : min(lo + PIECE + WIDTH - 1, off[i + 1])])
@@ -131,39 +131,38 @@ def dedup_bytes(df: DataFrame, text: str = "text", key: str = "doc_id", with_byt
                         column.append(x)
             text, at, n, k = (np.concatenate([*c, np.zeros(0, np.int64)]) for c in out)
             c1, c2 = digests(memoryview(data), at, at + n + WIDTH - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(at - off[text], pa.int32()), pa.array(n, pa.int32()), pa.array(k), pa.array(c1), pa.array(c2)], ["row", "at", "n", "key", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(variant[text]), pa.array(at - off[text], pa.int32()), pa.array(n, pa.int32()), pa.array(k), pa.array(c1), pa.array(c2)], ["row", "v", "at", "n", "key", "c1", "c2"])
 
     copies, rest = settle(rows.mapInArrow(segments, SEGMENT), within=True)
     buckets = F.lit(max(1, -(-rest.count() // bucket)))
     shares = F.ceil(F.col("several") / bucket)
     b = F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("row", "at"), shares)), buckets).cast("int")
-    spans = rest.select("row", F.struct("at", "n", b.alias("b"), (shares > 1).alias("again")).alias("s")).groupBy("row").agg(F.collect_list("s").alias("spans"))  # a text's own segments
+    spans = rest.select("row", "v", F.struct("at", "n", b.alias("b"), (shares > 1).alias("again")).alias("s")).groupBy("row", "v").agg(F.collect_list("s").alias("spans"))  # a text's own segments
 
     def cut(batches):
-        for batch in by_bytes(batches, 1):
-            data, off = flat(batch.column(1))
-            ids, out = batch.column(0).to_pylist(), [[] for _ in range(5)]
-            for i, own in enumerate(batch.column(2).to_pylist()):
+        for batch in by_bytes(batches, 2):
+            data, off = flat(batch.column(2))
+            ids, variant, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [[] for _ in range(6)]
+            for i, own in enumerate(batch.column(3).to_pylist()):
                 body = data[off[i] : off[i + 1]].tobytes()
                 for s in own:
                     part = body[s["at"] : s["at"] + s["n"] + WIDTH - 1]
-                    if len(part) == s["n"] + WIDTH - 1:  # rows of one id may differ in length
-                        for column, x in zip(out, (s["b"], ids[i], s["at"], s["again"], part)):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["b", "row", "at", "again", "part"])
-
-    parts = rows.join(spans, "row").select("row", "text", "spans").mapInArrow(cut, PART)
-    once = staged(parts.groupBy("b").applyInPandas(copied, "row long, at int, part binary"))
-    left = once.where("part is not null").select(F.pmod(F.xxhash64("part"), buckets * 32).cast("int").alias("b"), "row", "at", F.lit(False).alias("again"), "part")
-    twice = left.groupBy("b").applyInPandas(copied, "row long, at int, part binary")
-    single = once.where("part is null").unionByName(twice).select("row", "at", F.lit(1).alias("n"))
-    gone = copies.unionByName(single).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+                    for column, x in zip(out, (s["b"], ids[i], variant[i], s["at"], s["again"], part)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["b", "row", "v", "at", "again", "part"])
+
+    parts = rows.join(spans, ["row", "v"]).select("row", "v", "text", "spans").mapInArrow(cut, PART)
+    once = staged(parts.groupBy("b").applyInPandas(copied, "row long, v long, at int, part binary"))
+    left = once.where("part is not null").select(F.pmod(F.xxhash64("part"), buckets * 32).cast("int").alias("b"), "row", "v", "at", F.lit(False).alias("again"), "part")
+    twice = left.groupBy("b").applyInPandas(copied, "row long, v long, at int, part binary")
+    single = once.where("part is null").unionByName(twice).select("row", "v", "at", F.lit(1).alias("n"))
+    gone = copies.unionByName(single).groupBy("row", "v").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def removed(batches):
-        for batch in by_bytes(batches, 1):
-            data, off = flat(batch.column(1))
+        for batch in by_bytes(batches, 2):
+            data, off = flat(batch.column(2))
             out: list[list] = [[] for _ in range(5)]
-            for i, own in enumerate(batch.column(2)):
+            for i, own in enumerate(batch.column(3)):
                 body = data[off[i] : off[i + 1]]
                 n = len(body)
                 stays, spans = np.ones(n, bool), 0
@@ -180,5 +179,5 @@ def dedup_bytes(df: DataFrame, text: str = "text", key: str = "doc_id", with_byt
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[4], pa.binary())] * with_bytes, ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes)
 
-    final = rows.join(gone, "row", "left").select("row", "text", "spans").mapInArrow(removed, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+    final = rows.join(gone, ["row", "v"], "left").select("row", "v", "text", "spans").mapInArrow(removed, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
     return final.select(F.nullif("row", F.lit(NULL_ID)).cast(kind).alias(key), *final.columns[1:])

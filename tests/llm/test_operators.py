@@ -301,6 +301,15 @@ def test_repeated_ids_beside_partly_equal_texts(spark):
     assert got == sorted(want)
 
 
+def test_what_goes_from_one_text_of_an_id_stays_in_its_others(spark):
+    p, q = prose(60), prose(70)
+    df = spark.createDataFrame([(0, p), (1, p), (1, q), (None, q), (None, p), (None, "a")], "doc_id long, text string")
+    for found, n, sizes in ((recompress.dedup_words(df), "n_words", (60, 70, 1)), (suffixes.dedup_bytes(df), "n_bytes", (len(p), len(q), 1))):
+        a, b, c = sizes
+        got = sorted((r.doc_id is None, r.doc_id or 0, r[n], r.n_removed) for r in found.collect())
+        assert got == sorted([(False, 0, a, 0), (False, 1, a, a), (False, 1, b, 0), (True, 0, b, b), (True, 0, a, a), (True, 0, c, 0)])
+
+
 # 4
 
 
