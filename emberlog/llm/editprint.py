@@ -6,7 +6,8 @@ Hamming distance, as walks that an edit has set apart meet again.  A fingerprint
 each of BITS sampled steps; slot k samples the step of least rank among those the walk has, so texts of different
 lengths sample alike.  Likeness is the share of agreeing bits, with chance agreement taken as 0.  `search` finds near
 fingerprints by bands of sampled bits, which are then verified; it works on distinct fingerprints, so that copies never
-make pairs.
+make pairs, and many near ones under a band are told by how far they are from one leader, so that `near_counts` makes
+pairs only of what that leaves open.
 
 Null texts count as empty; the empty text's fingerprint is all zeros.  Rows follow each other by descending key, null
 keys last, repeated keys by text.  A task holds two texts at a time, each with some 40 times its size.  Other columns
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, staged
+from .common import forget, mix, prepare, staged
 
 PERIOD, CLASSES, BITS = 4096, 64, 256
 _state: dict = {}
@@ -169,19 +170,30 @@ def edited_prints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return neighbours(df, text, key).mapInArrow(run, f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-#: Bands, and sampled bits of each.
-BANDS, BAND_BITS = 60, 24
+#: Bands, and sampled bits of each; fingerprints under one band beyond which they are told by a leader.
+BANDS, BAND_BITS, DENSE = 60, 24, 8
 
 
-def search(queries: DataFrame, rows: DataFrame, least: float = 0.8, bands: int = BANDS, width: int = BAND_BITS, seed: int = 5) -> DataFrame:
-    """Pairs (query, fingerprint, likeness) of distinct fingerprints of two frames with a column `fingerprint`, of at
-    least `least` likeness; a fingerprint that both have is its own partner.  Members follow by joining the frames.
+def _apart(a: str, b: str):
+    """Differing bits of two columns of fingerprints."""
+    part = lambda c, i: F.conv(F.substring(c, 16 * i + 1, 16), 16, -10).cast("long")
+    return sum((F.bit_count(part(a, i).bitwiseXOR(part(b, i))) for i in range(BITS // 64)), F.lit(0))
 
-    Banding by sampled bits: fingerprints that agree on all `width` bits of one of `bands` samples are verified on all
-    bits.  At 90 % agreeing bits (likeness 0.8) a pair is missed with probability (1 - 0.9^24)^60, below 0.01, and less
-    often the nearer it is.
+
+def _most(least: float) -> int:
+    """Bits that may differ at a likeness of at least `least`."""
+    return max((d for d in range(BITS + 1) if max(0.0, 1 - 2 * d / BITS) >= least), default=-1)
+
+
+def _met(queries: DataFrame, rows: DataFrame, most: int, bands: int, width: int, seed: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """(query, lead, d) and (fingerprint, lead, r), staged: what shares a band with a query, by leaders.
+
+    A fingerprint within three quarters of `most` bits of the least one under a dense band follows it, r bits away;
+    others lead themselves.  A band holds a leader once, however many follow it there; d is how far a query is from the
+    leader.
     """
     prepare(queries.sparkSession)
+    radius = most - most // 4
     rng = np.random.default_rng(seed)
     places = np.array([np.sort(rng.choice(BITS, width, replace=False)) for _ in range(bands)])
     weight = np.int64(1) << np.arange(width, dtype=np.int64)
@@ -199,19 +211,56 @@ def search(queries: DataFrame, rows: DataFrame, least: float = 0.8, bands: int =
     one, two = named(queries), named(rows)
     asked = staged(one.mapInArrow(banded, "id long, band long").select(F.col("id").alias("qid"), "band"))
     # The queries' bands grow with the input, so they are dealt out at every size and never broadcast.
-    met = staged(asked.hint("merge").join(two.mapInArrow(banded, "id long, band long"), "band").select("qid", "id").distinct())
-    met = met.join(one.select(F.col("fingerprint").alias("query"), F.col("id").alias("qid")), "qid").join(two, "id").select("query", "fingerprint")
-    part = lambda c, i: F.conv(F.substring(c, 16 * i + 1, 16), 16, -10).cast("long")
-    apart = sum((F.bit_count(part("query", i).bitwiseXOR(part("fingerprint", i))) for i in range(BITS // 64)), F.lit(0))
-    likeness = F.greatest(F.lit(0.0), 1 - 2 * apart / F.lit(float(BITS)))
-    return met.withColumn("likeness", likeness).where(F.col("likeness") >= least)
+    held = staged(two.mapInArrow(banded, "id long, band long").join(asked.select("band").hint("merge"), "band", "left_semi"))
+    keys = staged(held.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lid")).where(F.col("n") > dense))
+    led = staged(held.join(keys, "band").where("id <> lid").select("id", "lid").distinct())
+    led = led.join(two, "id").join(two.select(F.col("fingerprint").alias("lead"), F.col("id").alias("lid")), "lid")
+    led = led.withColumn("r", _apart("fingerprint", "lead")).where(F.col("r") <= radius)
+    # The least leader, so that few lead many.
+    led = staged(led.groupBy("fingerprint").agg(F.min(F.struct("lid", "lead", "r")).alias("l")).select("fingerprint", "l.lead", "l.r"))
+    seen = staged(held.select("id").distinct())
+    members = staged(two.join(seen, "id").join(led, "fingerprint", "left").select("id", "fingerprint", F.coalesce("lead", "fingerprint").alias("lead"), F.coalesce("r", F.lit(0)).alias("r")))
+    bands_of = staged(held.join(members.select("id", F.xxhash64("lead").alias("lid")), "id").select("lid", "band").distinct())
+    met = staged(asked.join(bands_of.hint("merge"), "band").select("qid", "lid").distinct())
+    leads = staged(members.select("lead").distinct().withColumn("lid", F.xxhash64("lead")))
+    met = met.join(one.select(F.col("fingerprint").alias("query"), F.col("id").alias("qid")), "qid").join(leads, "lid")
+    met = staged(met.select("query", "lead", _apart("query", "lead").alias("d")).where(F.col("d") <= most + radius))
+    forget(asked, held, keys, led, seen, bands_of, leads)
+    return met, members.drop("id")
+
+
+def search(queries: DataFrame, rows: DataFrame, least: float = 0.8, bands: int = BANDS, width: int = BAND_BITS, seed: int = 5, dense: int = DENSE) -> DataFrame:
+    """Pairs (query, fingerprint, likeness) of distinct fingerprints of two frames with a column `fingerprint`, of at
+    least `least` likeness; a fingerprint that both have is its own partner.  Members follow by joining the frames.
+
+    Banding by sampled bits: fingerprints that agree on all `width` bits of one of `bands` samples are verified on all
+    bits, and so is what follows their leaders.  At 90 % agreeing bits (likeness 0.8) a pair is missed with probability
+    (1 - 0.9^24)^60, below 0.01, and less often the nearer it is.
+    """
+    most = _most(least)
+    met, members = _met(queries, rows, most, bands, width, seed, dense)
+    pairs = met.join(members, "lead").where(F.col("d") - F.col("r") <= most).select("query", "fingerprint", _apart("query", "fingerprint").alias("d"))
+    return pairs.where(F.col("d") <= most).select("query", "fingerprint", F.greatest(F.lit(0.0), 1 - 2 * F.col("d") / F.lit(float(BITS))).alias("likeness"))
 
 
-def near_counts(prints: DataFrame, key: str = "doc_id", every: int = 100, least: float = 0.8) -> DataFrame:
+def near_counts(prints: DataFrame, key: str = "doc_id", every: int = 100, least: float = 0.8, dense: int = DENSE) -> DataFrame:
     """`prints` (key, fingerprint, ...) with near_count: for rows whose key is divisible by `every`, the number of other
-    rows of at least `least` likeness; null for the rest."""
+    rows of at least `least` likeness; null for the rest.
+
+    What `search` finds, without its pairs where a leader decides: d bits from the leader to the query and r to a
+    fingerprint leave them d + r apart at most and |d - r| at least.  Between these bounds pairs are verified.
+    """
     asks = F.coalesce(F.col(key) % every == 0, F.lit(False))
-    members = staged(prints.groupBy("fingerprint").agg(F.count("*").alias("_n")))
-    pairs = search(prints.where(asks), prints, least)
-    found = staged(pairs.join(members, "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("_n").alias("_all")))
+    most = _most(least)
+    met, members = _met(prints.where(asks), prints, most, BANDS, BAND_BITS, 5, dense)
+    counts = staged(prints.groupBy("fingerprint").agg(F.count("*").alias("n")))
+    members = staged(members.join(counts, "fingerprint"))
+    by_r = members.groupBy("lead", "r").agg(F.sum("n").alias("n"))
+    rings = staged(by_r.groupBy("lead").agg(F.collect_list(F.struct("r", "n")).alias("rings")))  # no more than the radius
+    sure = F.aggregate(F.filter("rings", lambda x: x["r"] + F.col("d") <= most), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    open_ = lambda r: (r + F.col("d") > most) & (F.col("d") - r <= most)
+    told = staged(met.join(rings, "lead").select("query", "lead", "d", sure.alias("n"), F.exists("rings", lambda x: open_(x["r"])).alias("more")))
+    pairs = told.where("more").drop("n").join(members, "lead").where(open_(F.col("r")) & (_apart("query", "fingerprint") <= most))
+    both = told.select("query", "n").unionByName(pairs.select("query", "n"))
+    found = staged(both.groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("_all")))
     return prints.join(found, "fingerprint", "left").withColumn("near_count", F.when(asks, F.col("_all") - 1)).select(*prints.columns, "near_count")

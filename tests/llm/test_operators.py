@@ -680,6 +680,29 @@ def test_search_recalls_what_brute_force_finds(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 70
 
 
+def test_near_copies_under_one_band_are_counted_by_leaders(spark, monkeypatch):
+    rng = random.Random(23)
+    flips = lambda x, n: x ^ sum(1 << i for i in rng.sample(range(256), n))
+    centre = rng.getrandbits(256)
+    raw = [flips(centre, rng.choice([2, 4, 6])) for _ in range(400)] + [flips(centre, rng.choice([11, 15, 20])) for _ in range(40)] + [rng.getrandbits(256) for _ in range(10)]
+    raw += raw[:5]
+    frame = spark.createDataFrame([(i, f"{x:064x}") for i, x in enumerate(raw)], "doc_id long, fingerprint string")
+    sizes, staged = [], editprint.staged
+
+    def told(df):
+        out = staged(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(editprint, "staged", told)
+    counts = {r.doc_id: r.near_count for r in editprint.near_counts(frame, every=2).collect()}
+    want = {i: sum((x ^ y).bit_count() <= 25 for y in raw) - 1 for i, x in enumerate(raw) if i % 2 == 0}
+    assert all(counts[i] is None for i in range(1, len(raw), 2))
+    found, all_ = sum(counts[i] for i in want), sum(want.values())
+    assert all(counts[i] <= n for i, n in want.items()) and found >= 0.99 * all_ > 60_000
+    assert max(sizes) <= editprint.BANDS * len(raw) < all_ / 2  # bands, but never pairs
+
+
 def test_edit_prints_of_null_and_repeated_keys(spark):
     rows = [(5, "fifth " * 3), (5, "again " * 4), (3, None), (None, "none " * 5), (8, "eighth")]
     got = {(r.doc_id, r.n_chars): r.edited_sha256 for r in editprint.edited_prints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
