@@ -6,7 +6,8 @@ five words, 17 bits of 64 were seen), and a radius that lost none would need seg
 what it hasn't linked is searched by prefixes: in any common order of all shingles, two sets of similarity 0.8 share one
 of the first n - ceil(0.8 n) + 1 of each.  The order puts shingles last that a sample of the texts has often, then goes
 by hash; it steers cost only.  Pairs that share a key are held against exact bounds (sizes, places of the key, parity
-bits of the sets), and what is left is verified on the whole sets.
+bits of the sets, first 256 and then two or more a shingle), and what is left is verified on the whole sets, which are
+made anew from their texts and sent once for each pair.
 
 Keys of more than DENSE sets aren't paired at once: their members are compared with one leader a key, and again with a
 leader from outside the key's largest connected part; what then is outside is compared with all members.  Members of one
@@ -34,8 +35,10 @@ WIDTH = 5
 DENSE, LEADERS = 8, 3
 #: A text in SHARE is counted; a shingle that OFTEN of them have goes last.
 SHARE, OFTEN = 64, 4
-#: Parity bits by which candidates are told apart before their whole sets are read.
-WIDE = 2048
+#: Parity bits a shingle (about) by which candidates are told apart before their whole sets are read, and at most.
+PER_SHINGLE, WIDEST = 2, 1 << 17
+#: Sets that are held against one set in one stretch; names that all tasks get, where texts would travel to fewer.
+STRETCH, FEW = 256, 100_000
 QUARTERS = [f"q{i}" for i in range(4)]
 
 
@@ -109,51 +112,103 @@ def _pairs(left: DataFrame, right: DataFrame, where) -> DataFrame:
     return met.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
 
 
-def _apart(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+def _apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose parity bits let them be similar: sets that differ in k shingles differ in k bits at most."""
-    one, two = (nodes.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), *(F.col(q).alias(f"{c}_{q}") for q in columns)) for c in "ab")
-    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    if columns == ["wide"]:
-        apart = F.aggregate(F.zip_with("a_wide", "b_wide", bits), F.lit(0), lambda x, y: x + y)
-    else:
-        apart = sum((bits(F.col(f"a_{q}"), F.col(f"b_{q}")) for q in columns), F.lit(0))
+    one, two = (nodes.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), *(F.col(q).alias(f"{c}_{q}") for q in QUARTERS)) for c in "ab")
+    apart = sum((F.bit_count(F.col(f"a_{q}").bitwiseXOR(F.col(f"b_{q}"))) for q in QUARTERS), F.lit(0))
     return pairs.join(one, "a").join(two, "b").where(9 * apart <= F.col("a_n") + F.col("b_n")).select("a", "b")
 
 
+def wide_parity(found: np.ndarray) -> bytes:
+    """Parity bits of a set, as many as suit its size."""
+    return parity(found, min(WIDEST, max(256, 1 << (PER_SHINGLE * len(found) - 1).bit_length()))).tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Differing parity bits of two sets; the wider parity is folded, as the place of a shingle is its hash's low bits."""
+    x, y = (np.frombuffer(z, np.uint64) for z in (x, y))
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
     """Of the pairs (a, b) of names, those whose whole sets have a similarity of at least 0.8."""
-    pairs = staged(_apart(pairs.distinct(), nodes, QUARTERS))
+    pairs = staged(_apart(pairs.distinct(), nodes))
     if pairs.isEmpty():
         return pairs
     wanted = Observation()
     sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().observe(wanted, F.count("*").alias("n"))
-    heads = staged(nodes.join(sids, "sid").select(F.col("head").alias("id")).distinct())
-    rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(heads, "id", "left_semi")
+    heads = staged(nodes.join(sids, "sid").select("sid", F.col("head").alias("id")))
+    rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
-    def whole(batches):
+    def wide(batches):
         for batch in by_bytes(batches, 1):
             found = [*sets_of(batch.column(1))]
-            wide = pa.array([parity(x, WIDE).tolist() for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), wide, pa.array([x.tobytes() for x in found], pa.binary())], ["sid", "n", "wide", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([wide_parity(x) for x in found], pa.binary())], ["sid", "n", "wide"])
 
+    dealt = F.broadcast if wanted.get["n"] <= FEW else lambda names: names
     had = Observation()
-    bodies = staged(rows.mapInArrow(whole, "sid long, n int, wide array<long>, body binary").observe(had, F.count("*").alias("n")))
-    told = bodies.dropDuplicates(["sid"]) if had.get["n"] > wanted.get["n"] else bodies  # repeated rows of one key
-    near = staged(_apart(pairs, told, ["wide"]))  # wide parities leave few pairs whose sets must meet
+    wides = staged(rows.join(dealt(heads.select("id")), "id", "left_semi").mapInArrow(wide, "sid long, n int, wide binary").observe(had, F.count("*").alias("n")))
+    told = wides.dropDuplicates(["sid"]) if had.get["n"] > wanted.get["n"] else wides  # repeated rows of one key
+    one, two = (told.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide")) for c in "ab")
+
+    def close(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(i) for i in range(6))
+            most = n.to_numpy().astype(np.int64) + m.to_numpy()
+            good = [9 * bits_apart(p.as_buffer(), q.as_buffer()) <= k for p, q, k in zip(x, y, most.tolist())]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    # Wide parities leave few pairs whose sets must meet.
+    near = staged(pairs.join(one, "a").join(two, "b").select("a", "b", "a_n", "b_n", "a_wide", "b_wide").mapInArrow(close, "a long, b long"))
+    forget(pairs, wides)
+
+    def whole(batches):
+        for batch in by_bytes(batches, 2):
+            out: list[list] = [[] for _ in range(5)]
+            for sid, under, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(2))):
+                if name_of(found) == sid:  # rows of one key may have different texts
+                    for u in under:
+                        for column, x in zip(out, (u["a"], u["part"], u["first"], sid, found.tobytes())):
+                            column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["a", "part", "first", "sid", "body"])
 
     def similar(batches):
+        at, x = None, None
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            out: list[list] = [[], []]
+            a, first, sid, body = (batch.column(c) for c in ("a", "first", "sid", "body"))
+            for a, first, sid, body in zip(a.to_pylist(), first.to_pylist(), sid.to_pylist(), body):
+                y = np.frombuffer(body.as_buffer(), np.uint64)
+                if first:
+                    at, x = a, y.copy()
+                    continue
+                assert a == at, "a pair's first set comes first"
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(5 * both >= 4 * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+                if 5 * both >= 4 * (len(x) + len(y) - both):
+                    out[0].append(a)
+                    out[1].append(sid)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
     def checked(pairs: DataFrame) -> DataFrame:
-        one, two = (told.select(F.col("sid").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
-        return staged(pairs.join(one, "a").join(two, "b").select("a", "b", "a_body", "b_body").mapInArrow(similar, "a long, b long"))
-
+        """A set travels once for each pair as its second, and once for each STRETCH (about) of its pairs as their first."""
+        counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        parts = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STRETCH)).alias("part"))
+        under = lambda c, first: F.struct(F.col(c).alias("sid"), "a", "part", F.lit(first).alias("first"))
+        each = parts.select(F.explode(F.array(under("a", True), under("b", False))).alias("u")).select("u.*").distinct()
+        sent = staged(each.groupBy("sid").agg(F.collect_list(F.struct("a", "part", "first")).alias("under")).join(heads, "sid"))
+        bodies = rows.join(dealt(sent), "id").select("sid", "under", "text").mapInArrow(whole, "a long, part long, first boolean, sid long, body binary")
+        met = bodies.repartition("a", "part").sortWithinPartitions("a", "part", F.col("first").desc())
+        good = staged(met.mapInArrow(similar, "a long, b long").distinct())
+        forget(sent)
+        return good
+
+    if near.count() <= wanted.get["n"]:  # no more pairs than sets
+        good = checked(near)
+        forget(heads, near)
+        return good
     # One pair of each name first: what these connect needs no more sets to travel.
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     good = checked(first)
@@ -161,7 +216,7 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
     one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
     rest = near.join(first, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
     more = checked(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-    forget(pairs, heads, bodies, near, roots)
+    forget(heads, near, roots)
     return good.unionByName(more)
 
 

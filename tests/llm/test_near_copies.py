@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -71,3 +73,36 @@ def test_stage_thins_near_copies(spark):
     docs = spark.createDataFrame([(i, " ".join(w), "en", f"s{i}", 1) for i, w in enumerate([words, near, far])] + [(None, " ".join(words), "en", "s", 1)], SCHEMA)
     kept = pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns and sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 0), (False, 2), (True, None)]
+
+
+def test_parity_bits_bound_what_sets_differ_in():
+    rng = np.random.default_rng(4)
+    for n, m in ((0, 3), (1, 1), (60, 70), (900, 1000), (5000, 4100)):
+        x, y = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+        y = np.unique(np.concatenate([x[: int(0.85 * n)], y[: m - int(0.85 * n)]]))
+        bits = [resemble.bits_apart(resemble.wide_parity(a), resemble.wide_parity(b)) for a, b in ((x, y), (y, x))]
+        apart = len(np.setxor1d(x, y))
+        assert bits[0] == bits[1] and 0.75 * apart <= bits[0] <= apart
+
+
+@pytest.mark.parametrize("stretch", [256, 2])
+def test_long_texts_below_the_threshold_are_told_without_their_sets(spark, monkeypatch, stretch):
+    rng, sent, staged = random.Random(6), [], resemble.staged
+    monkeypatch.setattr(resemble, "STRETCH", stretch, raising=False)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(base[:2480] + [f"t{i}x{j}" for j in range(520)]) for i in range(7)]
+    texts += [texts[0] + " end", texts[0] + " of it", texts[0][3:]]
+    rows = list(enumerate(texts, 1))
+
+    def told(df):
+        out = staged(df)
+        for name, kind in df.dtypes:
+            if name != "marks" and (kind == "binary" or kind == "array<bigint>"):
+                size = F.length(name) if kind == "binary" else 8 * F.size(name)
+                sent.append(out.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(resemble, "staged", told)
+    got = {r.doc_id: r.component for r in resemble.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), dense=3).collect()}
+    assert got == brute(rows) and len(set(got.values())) == 7
+    assert 0 < max(sent) <= len(rows) * 3000  # whole sets have 8 bytes for each of some 3000 shingles
