@@ -12,7 +12,8 @@ made anew from their texts and sent once for each pair.
 Keys of more than DENSE sets aren't paired at once: their members are compared with one leader a key, and again with a
 leader from outside the key's largest connected part; what then is outside is compared with all members.  Members of one
 component need no pair.  Only distinct sets take part, and no link between two components is lost.  Sets are told by
-64-bit digests.
+64-bit digests.  Up to FEW pairs or links are dealt with in one task, as each turn of the distributed way makes a task
+for each shuffle partition, which the driver has to keep a record of; more go the distributed way, to the same result.
 
 Null and empty texts and texts of white space are one empty set, which is like itself only; a text of fewer words is one
 shingle.  Rows without a key link nothing; repeated rows of a key are one document for each text.
@@ -20,11 +21,12 @@ shingle.  Rows without a key link nothing; repeated rows of a key are one docume
 
 from __future__ import annotations
 
+import gc
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, flat, forget, mix, prepare, shingles, staged, word_hashes, words_of
@@ -37,7 +39,8 @@ DENSE, LEADERS = 8, 3
 SHARE, OFTEN = 64, 4
 #: Parity bits a shingle (about) by which candidates are told apart before their whole sets are read, and at most.
 PER_SHINGLE, WIDEST = 2, 1 << 17
-#: Sets that are held against one set in one stretch; names that all tasks get, where texts would travel to fewer.
+#: Sets that are held against one set in one stretch; names that all tasks get, where texts would travel to fewer, and
+#: pairs that one task deals with.
 STRETCH, FEW = 256, 100_000
 QUARTERS = [f"q{i}" for i in range(4)]
 
@@ -134,12 +137,13 @@ def bits_apart(x: bytes, y: bytes) -> int:
 
 def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
     """Of the pairs (a, b) of names, those whose whole sets have a similarity of at least 0.8."""
-    pairs = staged(_apart(pairs.distinct(), nodes))
-    if pairs.isEmpty():
+    _let_go(df.sparkSession)
+    pairs, n = _counted(_apart(pairs.distinct(), nodes))
+    if not n:
         return pairs
     wanted = Observation()
-    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().observe(wanted, F.count("*").alias("n"))
-    heads = staged(nodes.join(sids, "sid").select("sid", F.col("head").alias("id")))
+    sids = _gathered(pairs, n).select(F.explode(F.array("a", "b")).alias("sid")).distinct().observe(wanted, F.count("*").alias("n"))
+    heads = staged(nodes.join(F.broadcast(sids) if n <= FEW else sids, "sid").select("sid", F.col("head").alias("id")))
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
     def wide(batches):
@@ -150,7 +154,8 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
     dealt = F.broadcast if wanted.get["n"] <= FEW else lambda names: names
     had = Observation()
     wides = staged(rows.join(dealt(heads.select("id")), "id", "left_semi").mapInArrow(wide, "sid long, n int, wide binary").observe(had, F.count("*").alias("n")))
-    told = wides.dropDuplicates(["sid"]) if had.get["n"] > wanted.get["n"] else wides  # repeated rows of one key
+    repeated = had.get["n"] > wanted.get["n"]  # rows of one key
+    told = wides.dropDuplicates(["sid"]) if repeated else wides
     one, two = (told.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide")) for c in "ab")
 
     def close(batches):
@@ -161,7 +166,7 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     # Wide parities leave few pairs whose sets must meet.
-    near = staged(pairs.join(one, "a").join(two, "b").select("a", "b", "a_n", "b_n", "a_wide", "b_wide").mapInArrow(close, "a long, b long"))
+    near, n = _counted(pairs.join(one, "a").join(two, "b").select("a", "b", "a_n", "b_n", "a_wide", "b_wide").mapInArrow(close, "a long, b long"))
     forget(pairs, wides)
 
     def whole(batches):
@@ -194,35 +199,87 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
 
     def checked(pairs: DataFrame) -> DataFrame:
         """A set travels once for each pair as its second, and once for each STRETCH (about) of its pairs as their first."""
+        pairs, names = _gathered(pairs, n), _gathered(heads, wanted.get["n"])
         counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
         parts = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STRETCH)).alias("part"))
         under = lambda c, first: F.struct(F.col(c).alias("sid"), "a", "part", F.lit(first).alias("first"))
         each = parts.select(F.explode(F.array(under("a", True), under("b", False))).alias("u")).select("u.*").distinct()
-        sent = staged(each.groupBy("sid").agg(F.collect_list(F.struct("a", "part", "first")).alias("under")).join(heads, "sid"))
+        sent = staged(each.groupBy("sid").agg(F.collect_list(F.struct("a", "part", "first")).alias("under")).join(names, "sid"))
         bodies = rows.join(dealt(sent), "id").select("sid", "under", "text").mapInArrow(whole, "a long, part long, first boolean, sid long, body binary")
         met = bodies.repartition("a", "part").sortWithinPartitions("a", "part", F.col("first").desc())
-        good = staged(met.mapInArrow(similar, "a long, b long").distinct())
+        good = met.mapInArrow(similar, "a long, b long")
+        good = staged(good.distinct() if repeated else good)
         forget(sent)
         return good
 
-    if near.count() <= wanted.get["n"]:  # no more pairs than sets
+    if n <= wanted.get["n"]:  # no more pairs than sets
         good = checked(near)
         forget(heads, near)
         return good
     # One pair of each name first: what these connect needs no more sets to travel.
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    near_ = _gathered(near, n)
+    first = near_.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     good = checked(first)
     roots = staged(_upward(good))
-    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-    rest = near.join(first, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    linked = _gathered(roots, n)  # a root for each end of a pair of `first` at most
+    one, two = (linked.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    rest = near_.join(first, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
     more = checked(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
     forget(heads, near, roots)
     return good.unionByName(more)
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`df` staged, and its rows, which are counted as they are written."""
+    told = Observation()
+    out = staged(df.observe(told, F.count("*").alias("n")))
+    return out, told.get["n"]
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Spark drops what finished plans have left (broadcasts, shuffles, metrics) when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _gathered(df: DataFrame, n: int) -> DataFrame:
+    """`df` of `n` rows in one partition if they are few, so that nothing made of it alone is dealt out."""
+    return df.coalesce(1) if n <= FEW else df
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b), and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _reached(edges: DataFrame) -> DataFrame:
+    """`node` and `root`, the least node it reaches, of few edges: all in one task."""
+
+    def run(batches):
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if held:
+            nodes, roots = least_reached(*(np.concatenate(c) for c in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def _upward(edges: DataFrame, jumps: int = 2) -> DataFrame:
-    """`node` and a `root` that it reaches by going to the least neighbour, 2^jumps times: a part of its component, which
-    is all of it where edges point to few leaders."""
+    """`node` and a `root` that it reaches: of few edges the least node of all; else by going to the least neighbour,
+    2^jumps times, a part of its component, which is all of it where edges point to few leaders."""
+    edges, n = _counted(edges.select("a", "b"))
+    if n <= FEW:
+        return _reached(edges)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     up = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"))
     for i in range(jumps):
@@ -281,7 +338,8 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", dense
             # The last turn compares all that is outside.
             leaders = outside.groupBy("key").agg(F.min_by("sid", F.xxhash64("sid", F.lit(i))).alias("now"))
             firsts = outside if i == LEADERS - 1 else outside.join(leaders, "key").where("sid = now").drop("now")
-    found = components(edges)
+    edges, n = _counted(edges.select("a", "b"))
+    found = staged(_reached(edges)) if n <= FEW else components(edges)
     linked = staged(found.join(nodes, found["node"] == nodes["sid"]).select("sid", "root", "head"))
     named = staged(linked.groupBy("root").agg(F.min("head").alias("component")))
     named = staged(linked.join(named, "root").select("sid", "component"))

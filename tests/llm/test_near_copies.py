@@ -106,3 +106,52 @@ def test_long_texts_below_the_threshold_are_told_without_their_sets(spark, monke
     got = {r.doc_id: r.component for r in resemble.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), dense=3).collect()}
     assert got == brute(rows) and len(set(got.values())) == 7
     assert 0 < max(sent) <= len(rows) * 3000  # whole sets have 8 bytes for each of some 3000 shingles
+
+
+def test_least_reached_is_the_least_node_of_each_component():
+    rng = np.random.default_rng(4)
+    for nodes, links in ((1, 1), (50, 20), (50, 60), (3000, 2500), (3000, 2999)):
+        a, b = rng.integers(-nodes, nodes, (2, links)) if links != nodes - 1 else np.array([np.arange(nodes - 1), np.arange(1, nodes)])
+        root = {}
+
+        def top(x, root=root):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            low, high = sorted((top(x), top(y)))
+            root[high] = low
+        got = dict(zip(*(c.tolist() for c in resemble.least_reached(a, b))))
+        assert got == {x: top(x) for x in root}
+
+
+def tasks_of(spark, name, run):
+    """What `run` returns, and how many tasks Spark ran for it."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+
+def test_few_links_take_few_tasks(spark):
+    """A table of links that one task can deal with isn't dealt out."""
+    links = [(i, i + 7) for i in range(300) if i % 50 < 40]
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.createDataFrame(links, "a long, b long")
+        found, tasks = tasks_of(spark, "few links", lambda: resemble._upward(edges).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = resemble.least_reached(*np.array(links).T)
+    assert sorted((r.node, r.root) for r in found) == sorted(zip(*(c.tolist() for c in want)))
+    assert 0 < tasks < 24
