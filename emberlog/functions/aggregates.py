@@ -12,6 +12,8 @@ from .types import seconds
 
 #: Relative error of `estdc`: that of a HyperLogLog sketch of 2^14 registers.
 HLL_LG, RSD = 14, 0.008
+#: Aggregates whose state is wide from the first row on (26 KB for `estdc`).
+WIDE = {"estdc"}
 
 
 @dataclass

@@ -165,10 +165,28 @@ class Builder:
         made = [ex.aggregate(a.call, ctx).alias(a.name) for a in aggs]
         return keys, made, self.noted(frame, ex)
 
+    def summed(self, df: DataFrame, keys: list[Column], aggs: list[Agg], made: list[Column]) -> DataFrame:
+        """The aggregates of each group, in one row.
+
+        Beside each value that `dc` tells apart Spark keeps the states of all aggregates.  A sketch is wide however few
+        rows it has seen, so sketches are made apart, one a group and task; the two rows of a group then become one.
+        """
+        of = lambda d, columns: d.groupBy(*keys).agg(*columns) if keys else d.agg(*columns)
+        wide = [a.call.name in A.WIDE for a in aggs]
+        if df.isStreaming or not any(wide) or not any(a.call.name == "dc" for a in aggs):
+            return of(df, made)
+        marks, held = [f"__k{i}" for i in range(len(keys))], [f"__a{i}" for i in range(len(made))]
+        named, keys = keys, [k.alias(m) for k, m in zip(keys, marks)]
+        parts = [of(df, [c.alias(h) for c, h, w in zip(made, held, wide) if w == is_wide]) for is_wide in (False, True)]
+        both, keys = parts[0].unionByName(parts[1], allowMissingColumns=True), [col(m) for m in marks]
+        both = of(both, [F.first(h, ignorenulls=True).alias(h) for h in held])
+        names = df.select(*named).columns + [a.name for a in aggs]
+        return both.select(*(col(m).alias(n) for m, n in zip(marks + held, names)))
+
     def do_stats(self, frame: Frame, stage: Stage) -> Frame:
         by = stage.args["by"]
         keys, made, frame = self.grouped(frame, stage.args["aggs"], by)
-        df = frame.df.groupBy(*keys).agg(*made) if keys else frame.df.agg(*made)
+        df = self.summed(frame.df, keys, stage.args["aggs"], made)
         out = Frame(df, streaming=frame.streaming, warnings=frame.warnings)
         named = [a.name for a in by if orderable(df.schema[a.name].dataType)]
         return out if frame.streaming else out.ordered_by([(col(n), False) for n in named], keep=False, is_sorted=False)
@@ -181,10 +199,10 @@ class Builder:
         names = [a.name for a in stage.args["aggs"]]
         left = frame.df.drop(*names)
         if not keys:
-            values = frame.df.agg(*made)
+            values = self.summed(frame.df, [], stage.args["aggs"], made)
             return frame.having(_hidden_last(left.crossJoin(F.broadcast(values))))
         marks = [f"__k{i}" for i in range(len(keys))]
-        values = frame.df.groupBy(*(k.alias(m) for k, m in zip(keys, marks))).agg(*made)
+        values = self.summed(frame.df, [k.alias(m) for k, m in zip(keys, marks)], stage.args["aggs"], made)
         own = [f"__l{i}" for i in range(len(keys))]
         ex = self.exprs(frame)
         left = frame.df.withColumns({o: ex.column(a.value) for o, a in zip(own, by)}).drop(*names)
