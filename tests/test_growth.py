@@ -1,5 +1,6 @@
 """What a task holds or calls mustn't grow beside the input."""
 
+import random
 import re
 
 import pytest
@@ -29,3 +30,53 @@ def test_sketches_beside_distinct_counts_of_no_rows_and_of_maps(spark, engine):
     e = Engine(spark).source("main", df, order=["n"])
     assert sorted(r[1:] for r in rows(e.query("from main | stats dc(n) as d, estdc(n) as e by k"))) == [(3, 3), (3, 3)]
     assert rows(e.query("from main | stats dc(n) as d, estdc(n) as e by z | keep d, e")) == [(6, 6)]
+
+
+def trees(spans):
+    """(trace, depth, branch) of (n, trace, span, parent, name, ms), trace by trace."""
+    out = []
+    for t in sorted({s[1] for s in spans if s[1]}):
+        mine = [s for s in spans if s[1] == t]
+        known, seen = {s[2] for s in mine if s[2]}, set()
+
+        def draw(span, depth, lead, mark, inner, t=t, mine=mine, known=known, seen=seen):
+            if span[0] in seen:
+                return
+            seen.add(span[0])
+            name = (span[4] or f"span:{(span[2] or '')[:8]}") + (f" [{span[5]:.0f}ms]" if span[5] is not None else "")
+            out.append((t, depth, lead + mark + name))
+            below = [s for s in mine if span[2] and s[3] == span[2]]
+            for s in below:
+                last = s is below[-1]
+                draw(s, depth + 1, inner, "└── " if last else "├── ", inner + ("    " if last else "│   "))
+
+        for s in mine:
+            if not (s[3] and s[3] in known):
+                draw(s, 0, "", "", "")
+        for s in mine:
+            draw(s, 0, "", "", "")
+    return out
+
+
+@pytest.fixture()
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_traces_are_drawn_in_one_call_a_task(spark, small_batches, seed):
+    from emberlog.engine import Engine
+
+    rng, spans = random.Random(seed), []
+    for n in range(120):
+        t = rng.choice(["a", "b", "b", "b", "c", *(f"t{i}" for i in range(25)), "", None])
+        spans.append((n, t, rng.choice([f"s{n}", f"s{n}", f"s{n}", f"s{rng.randrange(120)}", "", None]), rng.choice([f"s{rng.randrange(120)}", f"s{max(0, n - 5)}", "", None]), rng.choice(["get", "put", None]), rng.choice([1.0, 12.6, None])))
+    schema = "n long, trace_id string, span_id string, parent_id string, operation string, duration_ms double"
+    shuffled = rng.sample(spans, len(spans))
+    df = spark.createDataFrame(shuffled, schema).selectExpr("*", "timestamp_seconds(n div 2) _time")
+    got = Engine(spark).source("main", df, order=["n"]).query("from main | trace")
+    assert [(r.trace_id, r._span_depth, r._span_tree) for r in got.collect()] == trees(spans)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
