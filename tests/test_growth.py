@@ -80,3 +80,49 @@ def test_traces_are_drawn_in_one_call_a_task(spark, small_batches, seed):
     assert [(r.trace_id, r._span_depth, r._span_tree) for r in got.collect()] == trees(spans)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def plainly_merged(lines, similarity):
+    """{pattern: (count, least example)}, and how many lines have a pattern."""
+    counts = {}
+    for x in lines:
+        parts = re.split(r"[ \t\n\x0b\f\r]+", x or "")
+        p = " ".join("<*>" if re.fullmatch(r"\d+", t) else t for t in parts if t)
+        if p:
+            n, e = counts.get(p, (0, x))
+            counts[p] = (n + 1, min(e, x))
+    groups = {}
+    for p, (n, e) in sorted(counts.items(), key=lambda x: (-x[1][0], x[0])):
+        parts = p.split(" ")
+        templates = groups.setdefault((len(parts), parts[0]), [])
+        scores = [sum(x == y or x == "<*>" for x, y in zip(t[0], parts)) / len(parts) for t in templates]
+        if scores and max(scores) >= similarity:
+            t = templates[scores.index(max(scores))]
+            t[:] = [x if x == y else "<*>" for x, y in zip(t[0], parts)], t[1] + n, min(t[2], e)
+        else:
+            templates.append([parts, n, e])
+    out = {}
+    for t in (t for g in groups.values() for t in g):
+        had = out.get(" ".join(t[0]), (0, t[2]))
+        out[" ".join(t[0])] = (had[0] + t[1], min(had[1], t[2]))
+    return out, sum(n for n, _ in counts.values())
+
+
+@pytest.mark.parametrize("seed, similarity", [(0, 0.4), (1, 0.6), (2, 0.75), (3, 1.0)])
+def test_messages_are_merged_in_one_call_a_task(spark, small_batches, seed, similarity):
+    from emberlog.engine import Engine
+
+    rng = random.Random(seed)
+    lines = [rng.choice([" ", "", "\t", "  "]) + rng.choice([" ", "  ", "\n"]).join(rng.choice(["a", "b", "c", "é", "<*>", "12", "7", "\U0001f600", "\uffee", "\u00a0"]) for _ in range(rng.choice([0, 1, 2, 4, 4, 5]))) for _ in range(400)] + [None]
+    lines += [f"single{i}" for i in range(60)]
+    e = Engine(spark).source("main", spark.createDataFrame(list(enumerate(lines)), "n long, _raw string"), order=["n"])
+    got = e.query(f"from main | patterns similarity={similarity} max_templates=100000")
+    want, total = plainly_merged(lines, similarity)
+    found = rows(got)
+    assert {p: (n, x) for p, n, _, x in found} == want and len(found) == len(want)
+    assert [(-n, p) for p, n, _, _ in found] == sorted((-n, p) for p, n, _, _ in found)
+    assert all(abs(r - 100 * n / total) <= 0.00501 for _, n, r, _ in found)
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 1
+    # Masked messages are made once: the total doesn't mask them again.
+    assert plan.count("functions=[partial_count(1), partial_min(line") == 1
