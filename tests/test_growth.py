@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 
@@ -126,3 +127,25 @@ def test_messages_are_merged_in_one_call_a_task(spark, small_batches, seed, simi
     assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 1
     # Masked messages are made once: the total doesn't mask them again.
     assert plan.count("functions=[partial_count(1), partial_min(line") == 1
+
+
+@pytest.mark.parametrize("seed, words, similarity", [(0, 3, 0.6), (1, 12, 0.5), (2, 40, 0.4), (3, 40, 0.9), (4, 12, 1.1), (5, 12, 0.0)])
+def test_templates_found_by_their_rare_tokens_are_those_of_all(seed, words, similarity):
+    from emberlog.operators.helpers import merged
+
+    rng = random.Random(seed)
+    tokens = ["<*>", *(f"w{i}" for i in range(words))]
+    lines = sorted({" ".join(["h", *(rng.choice(tokens) for _ in range(6))]) for _ in range(400)})
+    batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array([1] * len(x)), pa.array(x)], ["pattern", "count", "example"]) for x in (lines[:150], lines[150:])]
+    got = [r for b in merged(iter(batches), similarity) for r in b.to_pylist()]
+    assert {r["pattern"]: (r["count"], r["example"]) for r in got} == plainly_merged(lines, similarity)[0]
+
+
+def test_a_message_meets_few_of_many_unlike_templates():
+    from emberlog.operators.helpers import Templates
+
+    group = Templates(0.4, 8)
+    for i in range(500):
+        group.add(["h", *(f"w{i * 7 % 500 + j}" for j in range(7))], 1, "x")
+    assert len(group.counts) == 500
+    assert len(group.table[group.close([group.codes[t] for t in ["h", *(f"w{70 + j}" for j in range(7))]])]) < 20
